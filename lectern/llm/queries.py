@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import media, packing
+from lectern.llm import media, mixing, packing, sharding
 from lectern.llm.common import documents
 
 
@@ -19,9 +19,17 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
 
 
+def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(documents(spark, sf_dir).select("doc_id"), "doc_id")
+
+
+def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_media": op6_media, "op7_pack": op7_pack}
+    return {"op6_media": op6_media, "op7_pack": op7_pack, "op9_shard": op9_shard, "op10_mix": op10_mix}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_shard": sharding.place_sql(), "op10_mix": mixing.schedule_sql()}
