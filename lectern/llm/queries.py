@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import media, mixing, packing, sharding
+from lectern.llm import media, mixing, packing, quality, sharding
 from lectern.llm.common import documents
 
 
@@ -19,6 +19,10 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir)).drop("lang", "source")
+
+
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(documents(spark, sf_dir).select("doc_id"), "doc_id")
 
@@ -28,7 +32,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_media": op6_media, "op7_pack": op7_pack, "op9_shard": op9_shard, "op10_mix": op10_mix}
+    return {"op6_media": op6_media, "op7_pack": op7_pack, "op8_quality": op8_quality, "op9_shard": op9_shard, "op10_mix": op10_mix}
 
 
 def oracle_sql() -> dict[str, str]:
