@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a Python worker (whole documents).
 SLICE_BYTES = 1 << 20
@@ -143,3 +144,57 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, poly: Poly) -> tuple[np.n
     """A mixed 64-bit hash of each word, and the first word of each document (len+1)."""
     starts, ends, first = word_spans(data, offsets)
     return mix(poly.spans(poly.prefix(data), starts, ends)), first
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Sorted batches regrouped so that no group of equal ``keys`` is split between tables."""
+    carry: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table, same = pa.Table.from_batches([batch]), np.ones(batch.num_rows, bool)
+        for key in keys:
+            values = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+            same &= values == values[-1]
+        last = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if last or carry and any(carry[-1][k][-1] != table[k][0] for k in keys):
+            head = pa.concat_tables([*carry, table.slice(0, last)]) if last else pa.concat_tables(carry)
+            carry = [table.slice(last)]
+            yield head
+        else:
+            carry.append(table)
+    if carry:
+        yield pa.concat_tables(carry)
+
+
+def group_starts(*keys: np.ndarray) -> np.ndarray:
+    """Where each group of equal neighbours begins, and the end."""
+    n = len(keys[0])
+    new = np.ones(n, bool)
+    if n:
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.append(np.flatnonzero(new), n)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``edges`` (a, b bigint): root is the smallest node that it is linked with.
+
+    Alternates two steps until nothing changes: each node passes its smallest neighbour
+    to its larger ones, then to its smaller ones.  Both are aggregates and joins over the
+    edges, cut after each round.
+    """
+    pairs = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
+    while True:
+        both = pairs.select(F.col("v").alias("x"), F.col("u").alias("y")).union(pairs.select(F.col("u").alias("x"), F.col("v").alias("y")))
+        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
+        large = both.where("y > x").join(least, "x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
+        large = cut(large)
+        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        joined = large.join(least, "v")
+        small = joined.select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.v", "e.u").where("v <> u").distinct()
+        small = cut(small)
+        # a fixed point is a forest of stars: every node has one edge, and no root is a node
+        facts = small.agg(F.count("*").alias("n"), F.countDistinct("v").alias("nodes")).first()
+        if facts["n"] == facts["nodes"] and not small.join(small.select(F.col("v").alias("u")), "u", "left_semi").head(1):
+            return small.select(F.col("v").alias("node"), F.col("u").alias("root"))
+        pairs = small
