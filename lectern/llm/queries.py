@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import media, mixing, packing, quality, sharding, simhash
+from lectern.llm import media, mixing, packing, quality, sharding, simhash, suffix_dedup
 from lectern.llm.common import documents
 
 
+def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(documents(spark, sf_dir))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.grouped(documents(spark, sf_dir), simhash.EXACT)
     return found.select("doc_id", simhash.hex_digits(found["f0"]).alias("fingerprint"), "component_id")
@@ -37,7 +41,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_simhash": op5_simhash, "op6_media": op6_media, "op7_pack": op7_pack, "op8_quality": op8_quality, "op9_shard": op9_shard, "op10_mix": op10_mix}
+    return {"op1_suffix": op1_suffix, "op5_simhash": op5_simhash, "op6_media": op6_media, "op7_pack": op7_pack, "op8_quality": op8_quality, "op9_shard": op9_shard, "op10_mix": op10_mix}
 
 
 def oracle_sql() -> dict[str, str]:
