@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import media, mixing, packing, quality, sharding, simhash, suffix_dedup
+from lectern.llm import lm_score, media, mixing, packing, quality, sharding, simhash, suffix_dedup
 from lectern.llm.common import documents
 
 
@@ -15,6 +16,10 @@ def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(documents(spark, sf_dir))
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(documents(spark, sf_dir)).withColumn("log_score", F.round("log_score", 3))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.grouped(documents(spark, sf_dir), simhash.EXACT)
     return found.select("doc_id", simhash.hex_digits(found["f0"]).alias("fingerprint"), "component_id")
@@ -41,8 +46,8 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix": op1_suffix, "op5_simhash": op5_simhash, "op6_media": op6_media, "op7_pack": op7_pack, "op8_quality": op8_quality, "op9_shard": op9_shard, "op10_mix": op10_mix}
+    return {"op1_suffix": op1_suffix, "op4_lm": op4_lm, "op5_simhash": op5_simhash, "op6_media": op6_media, "op7_pack": op7_pack, "op8_quality": op8_quality, "op9_shard": op9_shard, "op10_mix": op10_mix}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_shard": sharding.place_sql(), "op10_mix": mixing.schedule_sql()}
+    return {"op4_lm": lm_score.score_sql(), "op9_shard": sharding.place_sql(), "op10_mix": mixing.schedule_sql()}
