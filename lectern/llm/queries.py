@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import lm_score, media, mixing, packing, quality, sharding, simhash, suffix_dedup
+from lectern.llm import lm_score, media, mixing, packing, quality, sharding, simhash, suffix_dedup, toxicity, url_filter
 from lectern.llm.common import documents
 
 
@@ -16,6 +16,15 @@ def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(documents(spark, sf_dir))
 
 
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.scored(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(documents(spark, sf_dir)).withColumn("log_score", F.round("log_score", 3))
 
@@ -46,7 +55,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix": op1_suffix, "op4_lm": op4_lm, "op5_simhash": op5_simhash, "op6_media": op6_media, "op7_pack": op7_pack, "op8_quality": op8_quality, "op9_shard": op9_shard, "op10_mix": op10_mix}
+    return {"op1_suffix": op1_suffix, "op2_urls": op2_urls, "op3_toxicity": op3_toxicity, "op4_lm": op4_lm, "op5_simhash": op5_simhash, "op6_media": op6_media, "op7_pack": op7_pack, "op8_quality": op8_quality, "op9_shard": op9_shard, "op10_mix": op10_mix}
 
 
 def oracle_sql() -> dict[str, str]:
