@@ -42,6 +42,7 @@ from lectern.llm.common import Poly, cut, group_starts, mix, shuffle_partitions,
 
 LENGTH, GRAM = 400, 128
 CHUNK = 2 << 20
+SCAN = 1 << 17  # bytes scanned at once: what fits a core's cache
 GROUP_SEGMENTS = 4_096
 SORT_WINDOWS = 1 << 18
 _PLACE = np.uint64((1 << 24) - 1)
@@ -100,7 +101,7 @@ def runs(docs: DataFrame) -> DataFrame:
         names = [part.strip().split(" ")[0] for part in RUNS.split(",")]
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, SCAN):
                 ranges = [(int(offsets[lo]), int(offsets[hi]), offsets[lo : hi + 1] - offsets[lo], 0)]
                 if offsets[hi] - offsets[lo] > CHUNK and hi - lo == 1:
                     size = int(offsets[hi] - offsets[lo])
@@ -125,12 +126,12 @@ class SuffixSort:
         self.prefix = poly.prefix(data)
         padded = np.concatenate([data, np.zeros(8, np.uint8)])
         eight = np.ndarray(len(data) + 1, dtype=">u8", buffer=padded.tobytes(), strides=(1,))
-        self.head = eight[starts].astype(np.uint64)  # the first bytes decide most comparisons
+        self.head = eight[starts].astype(np.uint64)
         self.full = poly.spans(self.prefix, starts, starts + LENGTH)
 
     def extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common extension, less than LENGTH, of positions whose suffixes differ."""
-        lo, hi = np.zeros(len(a), np.int64), np.full(len(a), LENGTH)
+        lo, hi = np.full(len(a), 8), np.full(len(a), LENGTH)
         while len(a) and (hi - lo).max() > 1:
             mid = (lo + hi) >> 1
             equal = self.poly.spans(self.prefix, a, a + mid) == self.poly.spans(self.prefix, b, b + mid)
@@ -138,10 +139,9 @@ class SuffixSort:
         return lo
 
     def compare(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """-1, 0 or 1 for suffix numbers."""
-        x, y = self.head[a], self.head[b]
-        sign = (x > y).astype(np.int8) - (x < y).astype(np.int8)
-        open_ = np.flatnonzero((sign == 0) & (self.full[a] != self.full[b]))
+        """-1, 0 or 1 for suffix numbers with the same first eight bytes."""
+        sign = np.zeros(len(a), np.int8)
+        open_ = np.flatnonzero(self.full[a] != self.full[b])
         if len(open_):
             p, q = self.starts[a[open_]], self.starts[b[open_]]
             common = self.extension(p, q)
@@ -150,10 +150,12 @@ class SuffixSort:
         return sign
 
     def order(self) -> np.ndarray:
-        """Suffix numbers in order: a bottom-up mergesort of all groups at once."""
-        order = np.arange(len(self.starts))
-        sizes = np.diff(self.bounds)
-        low, high = np.repeat(self.bounds[:-1], sizes), np.repeat(self.bounds[1:], sizes)
+        """Suffix numbers in order: groups are split by their suffixes' first eight bytes, then a bottom-up mergesort orders all parts at once."""
+        group = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+        order = np.lexsort((self.head, group))
+        parts = group_starts(group[order], self.head[order])
+        sizes = np.diff(parts)
+        low, high = np.repeat(parts[:-1], sizes), np.repeat(parts[1:], sizes)
         run, largest = 1, int(sizes.max(initial=0))
         while run < largest:
             place = np.flatnonzero(high - low > run)
