@@ -44,7 +44,7 @@ class Model:
     order: int = 2
     min_count: int = 2
     backoff: float = 0.4
-    block_bytes: int = 24 << 20
+    block_bytes: int = 8 << 20
 
 
 PRODUCTION = Model()
