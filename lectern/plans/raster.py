@@ -113,5 +113,5 @@ def _(spark, sf_dir):
 @query("raster_denoise_pipeline")
 def _(spark, sf_dir):
     small = kernels.Settings(padding=0, dilate=1, crop_area=2, border=1, speck_area=2, sigma=3.0)
-    spread = _images(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "id")
+    spread = _images(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
     return kernels.prepare_images(spread, small)
