@@ -15,14 +15,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
-from lectern.functions.common import column
+from lectern.functions.common import bind, column
 
 #: Letters for words that both sides have: more than fit on any line.
 ALPHABET = "".join(map(chr, range(0x4E00, 0x9E00)))
 
 
 def char_edits(reference: Column | str, text: Column | str) -> Column:
-    return F.levenshtein(column(reference), column(text))
+    """Equal texts, the most common case, cost a comparison."""
+    reference, text = column(reference), column(text)
+    return F.when(reference == text, 0).otherwise(F.levenshtein(reference, text))
 
 
 def cer(reference: Column | str, text: Column | str) -> Column:
@@ -53,14 +55,17 @@ def _long_edits(a: pd.Series, b: pd.Series) -> pd.Series:
 def word_edits(reference: Column | str, text: Column | str) -> Column:
     """Edits of words; both texts are normalised."""
     reference, text = column(reference), column(text)
-    both = F.array_distinct(F.array_intersect(words(reference), words(text)))
-    wide = F.size(both) > len(ALPHABET)
+    sides = F.struct(words(reference).alias("a"), words(text).alias("b"))
+    shared = F.size(F.array_distinct(F.array_intersect(words(reference), words(text))))
+    wide = shared > len(ALPHABET)
 
-    def spelled(side: Column, other: str) -> Column:
-        letter = lambda t: F.when(F.array_contains(both, t), F.substr(F.lit(ALPHABET), F.array_position(both, t).cast("int"), F.lit(1))).otherwise(F.lit(other))
-        return F.array_join(F.transform(words(side), letter), "")
+    def spelled(side: Column, both: Column, other: str) -> Column:
+        place = lambda t: F.array_position(both, t).cast("int")
+        letter = lambda t: bind(place(t), lambda k: F.when(k > 0, F.substr(F.lit(ALPHABET), k, F.lit(1))).otherwise(F.lit(other)))
+        return F.array_join(F.transform(side, letter), "")
 
-    short = F.levenshtein(spelled(reference, "a"), spelled(text, "b"))
+    with_both = lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), F.array_distinct(F.array_intersect(s["a"], s["b"])).alias("both"))
+    short = bind(sides, lambda s: bind(with_both(s), lambda t: F.levenshtein(spelled(t["a"], t["both"], "a"), spelled(t["b"], t["both"], "b"))))
     long = _long_edits(F.when(wide, reference), F.when(wide, text))
     return F.when(reference == text, 0).when(wide, long).otherwise(short)
 

@@ -25,7 +25,9 @@ def word_metrics(completed: DataFrame, manifest: DataFrame, keys: Sequence[str],
     page_key, ground_truth_text and keys.  ``fold`` compares ASCII-folded texts.  A record
     without its image path takes the manifest's.
     """
-    ready = completed.withColumn("prediction_text", T.normalize("text")).drop("text")
+    # one row can be seconds of work, so rows are dealt by key and not by size; the join takes that dealing over
+    n = int(completed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ready = completed.repartition(n, *keys).withColumn("prediction_text", T.normalize("text")).drop("text")
     truth = manifest.withColumn("ground_truth_text", T.normalize("ground_truth_text"))
     joined = ready.join(truth, list(keys))
     ref, hyp = (T.ascii_fold(c) if fold else F.col(c) for c in ("ground_truth_text", "prediction_text"))
@@ -51,7 +53,8 @@ def page_totals(words: DataFrame, manifest: DataFrame, by: Sequence[str] = ()) -
 def page_texts(words: DataFrame, by: Sequence[str] = (), order: str = "image") -> DataFrame:
     """True and predicted texts of a page's words, in image order, joined by spaces."""
     members = F.array_sort(F.collect_list(F.struct(T.image_order(order).alias("n"), F.col(order).alias("o"), F.col("ground_truth_text").alias("t"), F.col("prediction_text").alias("p"))))
-    pages = words.groupBy(*by, "page_key").agg(members.alias("m"))
+    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pages = words.repartition(n, *by, "page_key").groupBy(*by, "page_key").agg(members.alias("m"))
     joined = lambda f: T.normalize(F.array_join(F.transform("m", lambda x: x[f]), " "))
     return pages.select(*by, "page_key", joined("t").alias("ground_truth_text"), joined("p").alias("prediction_text"), F.size("m").alias("completed_words"))
 

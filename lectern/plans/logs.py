@@ -14,7 +14,7 @@ DONE = "status in ('ok', 'empty_output')"
 
 
 def latest_log(spark, sf_dir, which, mode):
-    return logs.latest(X.recognition_log(spark, sf_dir, which), ["input_path"], mode=mode)
+    return logs.latest(X.recognition_log(spark, sf_dir, which), KEYS, mode=mode)
 
 
 def with_page(rows):
