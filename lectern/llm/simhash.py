@@ -275,7 +275,10 @@ def one_of_each(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
 
     Rows with the kept doc_id are one document; of these the first by text stays.
     """
+    names = docs.columns
+    renamed = docs.toDF(*[f"_doc_{k}" for k in range(len(names))])
+    doc_id, text = (F.col(f"_doc_{names.index(c)}") for c in ("doc_id", "text"))
     keep = grouped(docs, scheme).select(F.col("component_id").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    order = Window.partitionBy(doc_id).orderBy(F.xxhash64(text))
+    kept = renamed.join(keep, doc_id.eqNullSafe(F.col("_keep")), "left_semi").withColumn("_rank", F.row_number().over(order)).where("_rank = 1")
+    return kept.drop("_rank").toDF(*names)
