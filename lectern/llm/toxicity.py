@@ -13,7 +13,7 @@ Scale: training uses at most ``max_toxic`` + ``max_clean`` labelled texts, taken
 order of a hash; these bounds are the only ones.  The model has a fixed size (a few MB).
 Scoring is a map over the scan; nothing is shuffled.
 
-Cases: null and empty texts score what no feature at all scores; a label is toxic if any
+Cases: null and empty texts have no feature and score the bias; a label is toxic if any
 row of its doc_id says so; null labels are ignored; a null doc_id is never held out nor
 labelled; where the labels don't hold both classes, every score is 0; repeated rows are
 scored each for itself; an empty table gives an empty result; :func:`clean_only` carries
@@ -91,21 +91,23 @@ class Network:
         return np.concatenate(parts) if parts else np.zeros(0)
 
     def _scores(self, buckets: np.ndarray, first: np.ndarray) -> np.ndarray:
-        n, n_docs, each = len(buckets), len(first) - 1, self.settings.filters
+        n_docs, each, edge = len(first) - 1, self.settings.filters, max(self.settings.widths) - 1
         features = np.zeros((n_docs, each * len(self.filters)), np.float32)
-        if n:
-            x = self.embedding[buckets[:, 0]]
-            for k in range(1, buckets.shape[1]):
-                x += self.embedding[buckets[:, k]]
-            some = np.flatnonzero(np.diff(first))
-            left = np.repeat(first[1:], np.diff(first)) - np.arange(n)  # words up to the text's end
+        some = np.flatnonzero(np.diff(first))
+        if len(some):
+            # empty words stand before, between and after the texts
+            counts = np.diff(first)
+            at = first[:-1] + edge * (np.arange(n_docs) + 1)
+            x = np.zeros((len(buckets) + edge * (n_docs + 1), self.settings.size), np.float32)
+            place = np.arange(len(buckets)) + edge * (np.repeat(np.arange(n_docs), counts) + 1)
+            for k in range(buckets.shape[1]):
+                x[place] += self.embedding[buckets[:, k]]
             for w, (weights, bias) in enumerate(zip(self.filters, self.bias, strict=True)):
                 width = len(weights)
-                value = np.full((n, each), -1.0, np.float32)
-                if n >= width:
-                    value[: n - width + 1] = sum(x[j : n - width + 1 + j] @ weights[j] for j in range(width)) + bias
-                value[left < width] = -1.0
-                features[some, w * each : (w + 1) * each] = np.maximum(np.maximum.reduceat(value, first[some], axis=0), 0)
+                value = sum(x[j : len(x) - width + 1 + j] @ weights[j] for j in range(width)) + bias
+                value = np.concatenate([value, np.full((width, each), -1.0, np.float32)])
+                bounds = np.stack([at[some] - width + 1, at[some] + counts[some]], axis=1).reshape(-1)
+                features[some, w * each : (w + 1) * each] = np.maximum(np.maximum.reduceat(value, bounds, axis=0)[::2], 0)
         return 1 / (1 + np.exp(-np.clip(features @ self.out + self.out_bias, -30, 30).astype(np.float64)))
 
 
@@ -134,20 +136,22 @@ def fit(settings: Settings, docs: list[np.ndarray], toxic: np.ndarray) -> Networ
     out_square, each, rate = 1e-2, settings.filters, settings.rate
     columns = np.arange(each)
     weight = np.where(toxic == 1, 1.0, 0.5 + 0.5 * toxic.mean())
+    edge = max(settings.widths) - 1
     for _ in range(settings.epochs):
         for d in rng.permutation(len(docs)):
             buckets = docs[d]
             n = len(buckets)
-            x = net.embedding[buckets].sum(axis=1)
+            if not n:
+                continue
+            x = np.zeros((n + 2 * edge, settings.size), np.float32)
+            x[edge : edge + n] = net.embedding[buckets].sum(axis=1)
             features, at = np.zeros(each * len(net.filters), np.float32), []
             for w, (weights, bias) in enumerate(zip(net.filters, net.bias, strict=True)):
                 width = len(weights)
-                if n < width:
-                    at.append(None)
-                    continue
-                value = sum(x[j : n - width + 1 + j] @ weights[j] for j in range(width)) + bias
+                lo, hi = edge - width + 1, edge + n  # every window that holds a word
+                value = sum(x[lo + j : hi + j] @ weights[j] for j in range(width)) + bias
                 top = value.argmax(axis=0)
-                at.append(top)
+                at.append(top + lo)
                 features[w * each : (w + 1) * each] = np.maximum(value[top, columns], 0)
             p = 1 / (1 + np.exp(-np.clip(features @ net.out + net.out_bias, -30, 30)))
             slope = (p - toxic[d]) * weight[d]
@@ -156,12 +160,10 @@ def fit(settings: Settings, docs: list[np.ndarray], toxic: np.ndarray) -> Networ
             back = slope * net.out
             step = slope * features
             squares[3] += step**2
-            net.out -= rate * step / np.sqrt(squares[3])
+            net.out = np.maximum(net.out - rate * step / np.sqrt(squares[3]), 0)  # features only add to the evidence
             out_square += slope**2
             net.out_bias -= rate * slope / out_square**0.5
             for w, top in enumerate(at):
-                if top is None:
-                    continue
                 live = np.flatnonzero(features[w * each : (w + 1) * each] > 0)
                 if not len(live):
                     continue
@@ -175,7 +177,8 @@ def fit(settings: Settings, docs: list[np.ndarray], toxic: np.ndarray) -> Networ
                     dw = x[where].T * g
                     squares[1][w][j][:, live] += dw**2
                     weights[j][:, live] -= rate * dw / np.sqrt(squares[1][w][j][:, live])
-                    rows = buckets[where]
+                    inside = (where >= edge) & (where < edge + n)
+                    rows, dx = buckets[where[inside] - edge], dx[inside]
                     for k in range(rows.shape[1]):
                         np.add.at(squares[0], rows[:, k], dx**2)
                         np.add.at(net.embedding, rows[:, k], -rate * dx / np.sqrt(squares[0][rows[:, k]]))
