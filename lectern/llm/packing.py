@@ -6,13 +6,14 @@ and may be shorter.  Pieces are then packed by bounded-space online best fit: a
 fixed number of bins is open at a time, a bitset holds which amounts of free
 space occur among them, a piece goes to the bin with the least free space that
 still holds it, and when a new bin is needed while all are open, the fullest
-closes.
+closes.  The pieces of a group arrive by falling length, which leaves short ones to fill
+what is left, and the fixed number is large enough to keep the bins of a usual group open.
 
 Scale: tokenising is a map over the scan that keeps only piece lengths and
 checksums; packing shuffles those few bytes a piece.  Pack groups are dealt out by
 a hash of the document and hold about ``group_docs`` documents each, so no task's
-input grows with the corpus, and each group leaves at most ``open_bins`` partly
-filled sequences.
+input grows with the corpus, and a task keeps at most
+``open_bins`` bins open.
 
 Cases: a null text is an empty one (its only id is the closing one); repeated
 rows are packed each for itself; a null ``doc_id`` is carried along; an empty table
@@ -111,13 +112,13 @@ def best_fit(lengths: list[int], size: int, open_bins: int) -> tuple[list[int],
     return numbers, offsets
 
 
-def pack(docs: DataFrame, *, ranks_path: str, pattern: str, end_id: int = 2, size: int = 1024, open_bins: int = 512, group_docs: int = 65_536) -> DataFrame:
+def pack(docs: DataFrame, *, ranks_path: str, pattern: str, end_id: int = 2, size: int = 1024, open_bins: int = 65_536, group_docs: int = 65_536) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``; sequence ids are unique, not dense."""
     groups = max(1, -(-docs.count() // group_docs))
     cut_docs = pieces(docs, ranks_path=ranks_path, pattern=pattern, end_id=end_id, size=size)
     spread = F.xxhash64("doc_id", "piece", "ids_crc32")
     dealt = cut_docs.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", F.lit("group")), F.lit(groups))).withColumn("arrival", spread)
-    dealt = dealt.repartition(groups, "pack_group").sortWithinPartitions("pack_group", "arrival", "doc_id", "piece")
+    dealt = dealt.repartition(groups, "pack_group").sortWithinPartitions(F.desc("length"), "arrival", "doc_id", "piece")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a partition holds whole groups; several groups of one partition are packed together
