@@ -41,7 +41,7 @@ class Mixture:
     entropy_share: float = 0.97
     repetition_limit: float = 2.0
     block_tokens: int = 1_000_000
-    bucket_rows: int = 20_000
+    bucket_rows: int = 2_000
 
 
 PRODUCTION = Mixture()
