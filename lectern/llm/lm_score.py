@@ -15,8 +15,11 @@ Scale: all n-grams of all documents are counted, without pruning.  A block sends
 once however often it has it, so a very common one costs a row per block.  Both
 directions travel as arrays of one range of hashes per block and partition, in byte
 planes that compress.  Blocks hold ``block_bytes`` of text and partitions of the table as
-many hashes as a block sends, so tasks don't grow with the corpus.  Texts are shuffled
-once, into blocks; that exchange serves both counting and scoring.
+many hashes as a block sends, so tasks don't grow with the corpus.  The number of arrays
+grows with the square of the number of blocks; beyond ``ARRAY_BLOCKS`` blocks, where arrays
+would be short, n-grams travel as rows of a table instead, with an aggregate and a join
+that Spark plans.  Texts are shuffled once, into blocks; that exchange serves both
+counting and scoring.  Very long texts are one block and are scored whole.
 
 Cases: words are ``[^\\x20\\x09-\\x0D]+`` as written; a null text counts as empty; texts
 without words score 0 and have no mean; repeated rows count and score each for
@@ -37,6 +40,8 @@ from pyspark.sql import functions as F
 from lectern.llm.common import Poly, mix, slices, text_bytes, word_hashes
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: An array then holds at least some hundred hashes of the default block.
+ARRAY_BLOCKS = 2_000
 
 
 @dataclass(frozen=True)
@@ -129,16 +134,31 @@ def score(docs: DataFrame, model: Model = PRODUCTION) -> DataFrame:
         types = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
         return pa.table({c: pa.array(v, t) for c, v, t in zip(("block", "n", "bucket", "totals"), columns, types, strict=True)})
 
+    def count_rows(table: pa.Table) -> pa.Table:
+        grams, parts = Grams(table["text"], order), []
+        for n in range(1, order + 1):
+            hashes, counts = np.unique(grams.of(n), return_counts=True)
+            size = len(hashes)
+            parts.append(pa.table({"block": pa.array(np.full(size, table["block"][0].as_py(), np.int32)), "n": pa.array(np.full(size, n, np.int32)), "hash": pa.array(hashes.view(np.int64)), "count": pa.array(counts.astype(np.int64))}))
+        return pa.concat_tables(parts)
+
+    def totals_of(answers: pa.Table, n: int) -> np.ndarray:
+        """The totals of a block's n-grams in the order of their hashes."""
+        mine = answers.filter(pc.equal(answers["n"], n))
+        if "totals" in mine.column_names:
+            parts = [from_planes(x.as_py()) for x in mine.sort_by("bucket")["totals"]]
+            return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        return mine["total"].to_numpy()[np.argsort(mine["hash"].to_numpy().view(np.uint64), kind="stable")]
+
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         grams = Grams(table["text"], order)
-        answers = answers.sort_by([("n", "ascending"), ("bucket", "ascending")])
         n_words = len(grams.hashes[0])
         logs = context = np.zeros(n_words)
         for n in range(1, order + 1):
-            mine = [from_planes(x.as_py()) for x in answers.filter(pc.equal(answers["n"], n))["totals"]]
             _, where = np.unique(grams.of(n), return_inverse=True)
             counts = np.zeros(n_words)
-            counts[grams.ends[n - 1]] = np.concatenate(mine)[where] if mine else 0
+            if len(where):
+                counts[grams.ends[n - 1]] = totals_of(answers, n)[where]
             if n == 1:
                 logs = np.log(counts / max(all_words, 1), where=counts > 0, out=np.zeros(n_words))
             else:
@@ -154,8 +174,14 @@ def score(docs: DataFrame, model: Model = PRODUCTION) -> DataFrame:
             sums[some] = np.add.reduceat(logs, grams.first[some])
         return pa.table({"doc_id": table["doc_id"], "n_words": pa.array(grams.n_words, pa.int64()), "log_score": pa.array(sums)})
 
-    asked = blocks.groupBy("block").applyInArrow(count, "bucket int, block int, n int, hashes binary, counts binary")
-    answers = asked.groupBy("bucket").applyInArrow(total, "block int, n int, bucket int, totals binary")
+    if n_blocks > ARRAY_BLOCKS:
+        asked = blocks.groupBy("block").applyInArrow(count_rows, "block int, n int, hash bigint, count bigint")
+        sums = asked.groupBy("n", "hash").agg(F.sum("count").alias("sum"))
+        kept = F.when((F.col("n") == 1) | (F.col("sum") >= min_count), F.col("sum")).otherwise(0)
+        answers = asked.join(sums.select("n", "hash", kept.alias("total")), ["n", "hash"]).select("block", "n", "hash", "total")
+    else:
+        asked = blocks.groupBy("block").applyInArrow(count, "bucket int, block int, n int, hashes binary, counts binary")
+        answers = asked.groupBy("bucket").applyInArrow(total, "block int, n int, bucket int, totals binary")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, "doc_id bigint, n_words bigint, log_score double")
 
 

@@ -31,8 +31,9 @@ TEXTS = [None, "", " \n", "a", "a b a b a b", "the cat sat", "the cat sat on the
 
 
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
-@pytest.mark.parametrize("block", [40, 1 << 20])
-def test_against_counters(spark, make, order, block):
+@pytest.mark.parametrize(("block", "arrays"), [(40, 2_000), (40, 3), (1 << 20, 2_000)])
+def test_against_counters(spark, make, monkeypatch, order, block, arrays):
+    monkeypatch.setattr(L, "ARRAY_BLOCKS", arrays)
     model = L.Model(order=order, block_bytes=block)
     got = {r["doc_id"]: r for r in L.score(make(list(enumerate(TEXTS))), model).collect()}
     for k, (n, log) in enumerate(plain(TEXTS, model)):
