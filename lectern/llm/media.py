@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Magic bytes by format.
 MAGIC = {
@@ -238,6 +239,13 @@ def sniff(df: DataFrame, column: str, declared: str | None = None) -> DataFrame:
     return kept.mapInArrow(look, schema)
 
 
+def carve(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """One row per embedded file: ``keys``, offset, length, type and its bytes."""
+    found = sniff(df.select(*keys, column), column)
+    each = found.select(*keys, column, F.explode("embedded").alias("e"))
+    return each.select(*keys, "e.offset", "e.length", "e.type", F.substring(F.col(column), F.col("e.offset").cast("int") + 1, F.col("e.length").cast("int")).alias("bytes"))
+
+
 def payload(text: bytes, unit: int = 192) -> bytes:
     """The text padded with spaces to a positive multiple of ``unit`` bytes."""
     return text + b" " * (-len(text) % unit if text else unit)

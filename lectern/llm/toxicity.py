@@ -10,7 +10,8 @@ calibrated for each language on labelled texts that training has not seen; they
 what :func:`clean_only` rejects and are no part of a score.
 
 Scale: training uses at most ``max_toxic`` + ``max_clean`` labelled texts, taken in the
-order of a hash; these bounds are the only ones.  The model has a fixed size (a few MB).
+order of a hash, and of these as many as fit into ``max_bytes``; these bounds are the only
+ones, and scores are of whole texts, however long.  The model has a fixed size (a few MB).
 Scoring is a map over the scan; nothing is shuffled.
 
 Cases: null and empty texts have no feature and score the bias; a label is toxic if any
@@ -27,7 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import LOWER, Poly, mix, slices, text_bytes, word_spans
@@ -48,6 +49,7 @@ class Settings:
     rate: float = 0.05
     max_toxic: int = 4_000
     max_clean: int = 8_000
+    max_bytes: int = 96 << 20  # of training text on the driver
     threshold: float = 0.3
     least_calibration: int = 25  # toxic texts of a language; with fewer the threshold above holds
     seed: int = 3
@@ -213,7 +215,12 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = PRODUCTION) -
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
     taken = known.where("toxic = 1").orderBy(order).limit(settings.max_toxic).union(known.where("toxic = 0").orderBy(order).limit(settings.max_clean))
-    rows = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(taken), "doc_id")  # bounded by the settings
+    taken = F.broadcast(taken)  # bounded by the settings
+    text = F.coalesce("text", F.lit(""))
+    sizes = docs.select("doc_id", F.octet_length(text).alias("size")).join(taken, "doc_id").groupBy("doc_id").agg(F.sum("size").alias("size"))
+    upto = F.sum("size").over(Window.orderBy(order, "doc_id"))  # one row per text taken
+    fitting = sizes.withColumn("upto", upto).where(F.col("upto") <= settings.max_bytes).select("doc_id")
+    rows = docs.select("doc_id", "lang", text.alias("text")).join(taken, "doc_id").join(F.broadcast(fitting), "doc_id", "left_semi")
     table = rows.select("doc_id", "lang", "text", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     toxic = table["toxic"].to_numpy()
     if len(set(toxic.tolist())) < 2:

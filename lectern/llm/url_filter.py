@@ -126,6 +126,14 @@ def production_regression() -> Regression:
     return Regression().fit(labelled_urls())
 
 
+def regression_of(labelled: DataFrame, max_rows: int = 20_000) -> Regression:
+    """Trained on a small table of (url, label), 1 for block; a larger one is an error, as it is read by the driver."""
+    rows = [(r["url"], int(r["label"])) for r in labelled.select("url", "label").where("label is not null").limit(max_rows + 1).collect()]
+    if len(rows) > max_rows or len({label for _, label in rows}) < 2:
+        raise ValueError(f"the labelled table has at most {max_rows} rows and both labels")
+    return Regression().fit(sorted(rows, key=str))
+
+
 SCHEMA = "page_id bigint, host string, path string, rule string, verdict string, block_probability double"
 
 

@@ -68,6 +68,12 @@ def test_declared_types_are_corrected(spark):
     assert [(out[k]["media_type"], out[k]["type_wrong"]) for k in range(1, 6)] == [("png", True), ("png", False), (None, False), (None, False), (None, False)]
 
 
+def test_carving_out(spark):
+    data = b"head " + FILES["gif"] + b" mid " + FILES["zip"]
+    rows = M.carve(spark.createDataFrame([(1, bytearray(data), "x"), (2, None, "x")], "id int, data binary, type string"), "data", ["id"]).orderBy("offset").collect()
+    assert [(r["id"], r["type"], bytes(r["bytes"])) for r in rows] == [(1, "gif", FILES["gif"]), (1, "zip", FILES["zip"])]
+
+
 def test_round_trip_of_texts(spark, make):
     texts = [None, "", "a", "é" * 96, "x" * 192, "x" * 193, "RIFF BM " * 5000, "same", "same"]
     got = {r["doc_id"]: r for r in M.digest(M.as_media(make(list(enumerate(texts))))).collect()}

@@ -68,6 +68,16 @@ def test_clean_only(spark, trained, make):
     assert X.clean_only(make([]), net).count() == 0
 
 
+def test_training_text_is_bounded(spark):
+    from dataclasses import replace
+
+    rows, labels = corpus(300)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    frame = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    assert X.train(docs, frame, replace(X.PRODUCTION, max_bytes=20_000)) is not None
+    assert X.train(docs, frame, replace(X.PRODUCTION, max_bytes=10)) is None
+
+
 def test_without_labels(spark, make):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     docs = make([(1, "a b")])

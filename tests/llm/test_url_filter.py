@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from lectern.llm import url_filter as U
 
 
@@ -67,3 +69,15 @@ def test_held_out_folds():
         model = U.Regression().fit([r for r in rows if not inside(r[0])])
         hits += sum((model.probability(*U.host_and_path(u)) >= 0.5) == bool(y) for u, y in rows if inside(u))
     assert hits >= 0.7 * len(rows)
+
+
+def test_own_table(spark):
+    rows = [(f"http://bad{k}.evilsite.net/x", 1) for k in range(20)] + [(f"http://n{k}.goodplace.net/x", 0) for k in range(20)] + [(None, None)]
+    frame = spark.createDataFrame(rows, "url string, label int")
+    model = U.regression_of(frame)
+    pages = spark.createDataFrame([(1, "http://new.evilsite.net/y"), (2, "http://new.goodplace.net/y")], "page_id bigint, url string")
+    assert [r["verdict"] for r in U.judge(pages, rules=(), regression=model).orderBy("page_id").collect()] == ["block", "allow"]
+    with pytest.raises(ValueError):
+        U.regression_of(frame.where("label = 1"))
+    with pytest.raises(ValueError):
+        U.regression_of(frame, max_rows=5)
