@@ -25,11 +25,11 @@ def word_metrics(completed: DataFrame, manifest: DataFrame, keys: Sequence[str],
     page_key, ground_truth_text and keys.  ``fold`` compares ASCII-folded texts.  A record
     without its image path takes the manifest's.
     """
-    # one row can be seconds of work, so rows are dealt by key and not by size; the join takes that dealing over
+    # one row can be much work, so rows are dealt by key and not by size; a merge join takes that dealing over
     n = int(completed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ready = completed.repartition(n, *keys).withColumn("prediction_text", T.normalize("text")).drop("text")
     truth = manifest.withColumn("ground_truth_text", T.normalize("ground_truth_text"))
-    joined = ready.join(truth, list(keys))
+    joined = ready.join(truth.hint("merge"), list(keys))
     ref, hyp = (T.ascii_fold(c) if fold else F.col(c) for c in ("ground_truth_text", "prediction_text"))
     measured = joined.withColumns({"edits": D.char_edits(ref, hyp), "ref_chars": F.length(ref), "word_edits": D.word_edits(ref, hyp), "ref_words": F.size(D.words(ref))})
     return measured.withColumns({

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ def global_rank(rows: DataFrame, groups: Sequence[Column], within: Sequence[Colu
     keyed = rows.withColumns(dict(zip(keys, groups, strict=True)))
     counts = keyed.groupBy(*keys).agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(*keys, before.alias("_start"))
+    starts = counts.select(*[F.col(k).alias(f"_of{k}") for k in keys], before.alias("_start"))
     ranked = keyed.withColumn("_inner", F.row_number().over(Window.partitionBy(*keys).orderBy(*within)))
-    return ranked.join(starts, keys).withColumn(name, (F.col("_start") + F.col("_inner")).cast("int")).drop(*keys, "_start", "_inner")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in keys])  # null groups have ranks too
+    placed = ranked.join(starts, same).withColumn(name, (F.col("_start") + F.col("_inner")).cast("int"))
+    return placed.drop(*keys, *[f"_of{k}" for k in keys], "_start", "_inner")

@@ -133,3 +133,5 @@ def test_scale_and_ranks(spark):
     ranked = global_rank(spark.range(50).withColumn("g", F.col("id") % 4), [F.col("g")], [F.col("id")])
     assert [r["id"] for r in ranked.orderBy("rank").collect()] == sorted(range(50), key=lambda k: (k % 4, k))
     assert [r["rank"] for r in ranked.orderBy("rank").collect()] == list(range(1, 51))
+    nulls = global_rank(spark.createDataFrame([(None, 2), ("a", 1), (None, 1)], "g string, id int"), [F.col("g")], [F.col("id")])
+    assert [(r["g"], r["id"]) for r in nulls.orderBy("rank").collect()] == [(None, 1), (None, 2), ("a", 1)]
