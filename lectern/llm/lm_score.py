@@ -49,7 +49,7 @@ class Model:
     order: int = 2
     min_count: int = 2
     backoff: float = 0.4
-    block_bytes: int = 8 << 20
+    block_bytes: int = 4 << 20
 
 
 PRODUCTION = Model()
