@@ -1,4 +1,8 @@
-"""Named queries: a builder over (spark, sf_dir), and its SQL where SQL can express it."""
+"""Named queries: a builder over (spark, sf_dir), and its SQL where SQL can express it.
+
+The SQL of the word images takes short documents only.  A query compared with it stays as it
+is, and ``<name>_whole`` is the same over all documents; one without SQL takes all itself.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.plans.fixtures import whole
+
 Builder = Callable[[SparkSession, str], DataFrame]
 
 BUILDERS: dict[str, Builder] = {}
@@ -16,9 +22,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Builder], Builder]:
     def add(builder: Builder) -> Builder:
         if name in BUILDERS:
             raise ValueError(f"two queries are called {name}")
-        BUILDERS[name] = builder
+        BUILDERS[name] = builder if sql else whole(builder)
         if sql:
             SQL[name] = sql
+            if "word_images" in sql:
+                BUILDERS[f"{name}_whole"] = whole(builder)
         return builder
 
     return add
