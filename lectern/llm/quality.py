@@ -7,8 +7,9 @@ repeated windows.  For the texts that pass, transformed statistic vectors are ju
 within their language and source by the minimum covariance determinant: starting from
 medians and quartiles, concentration steps take the mean and covariance of the
 three quarters of the group with the smallest Mahalanobis distances; a text is rejected
-when its final distance is beyond the cutoff.  Distances are scaled so that their 75 %
-point is that of the chi-squared distribution.
+when its final distance is beyond the cutoff.  The covariance is scaled, up or down, so that
+the 75 % point of the distances is that of the chi-squared distribution with as many degrees
+of freedom as coordinates vary; only then do the floors widen what is narrower.
 
 Every estimate covers all rows: quantiles come from counts of finely quantised
 values, and means and covariances from sums.
@@ -20,7 +21,8 @@ only below ``BROADCAST_GROUPS`` groups and joined otherwise.
 
 Cases: a null or empty text has no words and fails; null lang or source are groups of
 their own; groups with fewer than ``MIN_GROUP`` judged rows are pooled within their language,
-and if these are still fewer, altogether; a pool that stays smaller rejects nothing; the variance of every coordinate has a floor, so constant groups are defined;
+and if these are still fewer, altogether; a pool that stays smaller rejects nothing; no direction's variance
+is below its floor, so constant groups are defined;
 repeated rows are judged each for itself; other columns are ignored.  Equal windows and
 lines are told by 64-bit hashes within a document.
 """
@@ -40,10 +42,11 @@ from lectern.llm.common import Poly, cut, mix, slices, text_bytes, word_spans
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 COVERAGE, STEPS, MIN_GROUP = 0.75, 4, 50
 BROADCAST_GROUPS = 50_000
-#: Chi-squared tail beyond which a text is rejected; clean texts have heavier tails than normal ones.
-TAIL = 1e-12
-#: Lowest standard deviation of each coordinate, in its transformed unit.
-FLOORS = {"word_length": 0.08, "symbols": 0.35, "dup_lines": 1.0, "repeats": 1.0, "size": 0.5}
+#: Chi-squared tail beyond which a text is rejected.
+TAIL = 1e-3
+#: Lowest standard deviation of each coordinate, in its transformed unit; it stands in where most of a
+#: group has one value.  Each coordinate's range holds values beyond the cutoff at its floor.
+FLOORS = {"word_length": 0.08, "symbols": 0.35, "dup_lines": 0.7, "repeats": 0.7, "size": 0.5}
 FEATURES = tuple(FLOORS)
 
 STATS = "doc_id bigint, lang string, source string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint"
@@ -170,7 +173,30 @@ def chi_squared_point(upper: float, df: int) -> float:
 
 P = len(FEATURES)
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
-ESTIMATE = "grp string, n bigint, " + ", ".join([f"m{i} double" for i in range(P)] + [f"p{i}_{j} double" for i, j in PAIRS])
+#: Center, precision with floors, and covariance without.
+ESTIMATE = "grp string, n bigint, " + ", ".join([f"m{i} double" for i in range(P)] + [f"{k}{i}_{j} double" for k in "pc" for i, j in PAIRS])
+SETTLED = "grp string, " + ", ".join([f"m{i} double" for i in range(P)] + [f"p{i}_{j} double" for i, j in PAIRS])
+
+
+def _names(schema: str) -> list[str]:
+    return [part.strip().split(" ")[0] for part in schema.split(",")]
+
+
+def floored(cov: np.ndarray) -> tuple[np.ndarray, float]:
+    """The precision with every direction at its floor at least, and how many directions vary (parts count)."""
+    floors = np.array(list(FLOORS.values()))
+    unit = np.outer(floors, floors)
+    size, axes = np.linalg.eigh(cov / unit)
+    return (axes / np.maximum(size, 1)) @ axes.T / unit, float(np.clip(size, 0, 1).sum())
+
+
+def settled(cov: np.ndarray, level: float) -> np.ndarray:
+    """The final precision, where ``level`` is the distance that covers three quarters of the group."""
+    precision, df = floored(cov)
+    if df < 0.5:  # the floors alone make the distances
+        return precision
+    points = [0.0, *(chi_squared_point(1 - COVERAGE, k) for k in range(1, P + 1))]
+    return floored(cov * (level / np.interp(df, range(P + 1), points)))[0]
 
 
 def _small(groups: DataFrame, n_groups: int) -> DataFrame:
@@ -215,7 +241,6 @@ def _concentrate(judged: DataFrame, estimate: DataFrame, n_groups: int) -> DataF
     off = [F.col(f) - F.col(f"m{i}") for i, f in enumerate(FEATURES)]
     sums = [F.sum(off[i]).alias(f"s{i}") for i in range(P)] + [F.sum(off[i] * off[j]).alias(f"s{i}_{j}") for i, j in PAIRS] + [F.max(f"m{i}").alias(f"m{i}") for i in range(P)]
     moments = inner.groupBy("grp").agg(F.max("n").alias("n"), F.count("*").alias("h"), *sums)
-    floors = np.array(list(FLOORS.values()))
 
     def invert(frames: Iterator) -> Iterator:
         import pandas as pd
@@ -227,14 +252,32 @@ def _concentrate(judged: DataFrame, estimate: DataFrame, n_groups: int) -> DataF
                 cov = np.zeros((P, P))
                 for i, j in PAIRS:
                     cov[i, j] = cov[j, i] = r[f"s{i}_{j}"] / r["h"] - shift[i] * shift[j]
-                cov[np.diag_indices(P)] += floors**2
-                precision = np.linalg.inv(cov)
-                rows.append([r["grp"], r["n"], *[r[f"m{i}"] + shift[i] for i in range(P)], *[precision[i, j] for i, j in PAIRS]])
-            yield pd.DataFrame(rows, columns=[part.strip().split(" ")[0] for part in ESTIMATE.split(",")])
+                precision, _ = floored(cov)
+                rows.append([r["grp"], r["n"], *[r[f"m{i}"] + shift[i] for i in range(P)], *[precision[i, j] for i, j in PAIRS], *[cov[i, j] for i, j in PAIRS]])
+            yield pd.DataFrame(rows, columns=_names(ESTIMATE))
 
     return moments.mapInPandas(invert, ESTIMATE)
 
 
+def _settle(estimate: DataFrame, levels: DataFrame) -> DataFrame:
+    """The last estimate, scaled by the group's level."""
+
+    def scale(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        for frame in frames:
+            rows = []
+            for r in frame.to_dict("records"):
+                cov = np.zeros((P, P))
+                for i, j in PAIRS:
+                    cov[i, j] = cov[j, i] = r[f"c{i}_{j}"]
+                precision = settled(cov, 2 ** ((r["level"] + 1) / 32))
+                rows.append([r["grp"], *[r[f"m{i}"] for i in range(P)], *[precision[i, j] for i, j in PAIRS]])
+            yield pd.DataFrame(rows, columns=_names(SETTLED))
+
+    return estimate.join(levels, "grp").mapInPandas(scale, SETTLED)
+
+
 def _groups(table: DataFrame) -> DataFrame:
     """(own, grp): where each language and source is judged; groups too small for an estimate pool by language, then altogether."""
     sizes = table.where("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("n"))
@@ -255,9 +298,8 @@ def judge(docs: DataFrame) -> DataFrame:
     for _ in range(STEPS):
         estimate = cut(_concentrate(judged, estimate, n_groups))
     levels = cut(_with_level(_measured(judged, estimate, n_groups), n_groups).groupBy("grp").agg(F.max("level").alias("level")))
-    scale = F.least(F.lit(1.0), F.lit(chi_squared_point(1 - COVERAGE, P)) / F.pow(F.lit(2.0), (F.col("level") + 1) / 32))
-    final = _small(estimate.join(levels, "grp").withColumn("scale", scale), n_groups)
-    scored = table.withColumns(coordinates).join(final.drop("n"), "grp", "left")
-    distance = F.when(~F.col("base_failed"), _distance() * F.col("scale"))
+    final = _small(cut(_settle(estimate, levels)), n_groups)
+    scored = table.withColumns(coordinates).join(final, "grp", "left")
+    distance = F.when(~F.col("base_failed"), _distance())
     kept = ~F.col("base_failed") & F.coalesce(distance <= F.lit(chi_squared_point(TAIL, P)), F.lit(True))
     return scored.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", distance.alias("distance"), kept.alias("kept"))

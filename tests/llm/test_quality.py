@@ -80,3 +80,32 @@ def test_estimate_finds_the_middle(spark):
 @pytest.mark.parametrize(("p", "df", "x"), [(0.25, 5, 6.6257), (0.05, 1, 3.8415), (0.01, 4, 13.2767)])
 def test_chi_squared(p, df, x):
     assert abs(Q.chi_squared_point(p, df) - x) < 1e-3
+
+
+def test_a_planted_outlier_in_each_coordinate_alone(spark, make):
+    rng = random.Random(5)
+    word = lambda n=None: "".join(rng.choices("abcdefgh", k=n or rng.randrange(3, 8)))
+    lines = lambda words: "\n".join(" ".join(words[k : k + 10]) for k in range(0, len(words), 10))
+    rows = [(k, lines([word() for _ in range(rng.randrange(80, 121))])) for k in range(200)]
+    few, passage = [word(5) for _ in range(5)], [word() for _ in range(14)]
+    planted = {
+        "word_length": lines([word(12) for _ in range(100)]),
+        "symbols": lines([word(4) + "%" for _ in range(100)]),
+        "dup_lines": "\n".join(rng.choices(few, k=100)),
+        "repeats": lines([*passage, *(word() for _ in range(35)), *passage, *(word() for _ in range(37))]),
+        "size": lines([word() for _ in range(4_000)]),
+    }
+    assert tuple(planted) == Q.FEATURES
+    rows += [(1000 + k, text) for k, text in enumerate(planted.values())]
+    got = {r["doc_id"]: r for r in Q.judge(make(rows)).collect()}
+    assert not any(got[1000 + k]["base_failed"] for k in range(Q.P))
+    assert [name for k, name in enumerate(planted) if got[1000 + k]["kept"]] == []
+    assert all(got[k]["kept"] for k in range(200))
+
+
+def test_scale_goes_both_ways():
+    cov = np.diag(np.array(list(Q.FLOORS.values())) ** 2 * 100)
+    point = Q.chi_squared_point(0.25, Q.P)
+    for level in (point / 2, point * 2):
+        assert np.allclose(Q.settled(cov, level), np.linalg.inv(cov) * point / level)
+    assert np.allclose(Q.settled(cov * 0, 1e-9), np.diag(np.array(list(Q.FLOORS.values())) ** -2.0))
