@@ -92,16 +92,18 @@ def fingerprint(text: str | None, scheme: Scheme = EXACT) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
-    """doc_id, f0 .. (bigint words of the fingerprint)."""
+def fingerprints(docs: DataFrame, scheme: Scheme = EXACT, with_text_hash: bool = False) -> DataFrame:
+    """doc_id, f0 .. (bigint words of the fingerprint), and if asked text_hash."""
     names = [f"f{k}" for k in range(scheme.words)]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(t.as_py(), scheme) for t in batch.column(1)], np.uint64).reshape(-1, scheme.words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(prints[:, k].copy().view(np.int64)) for k in range(scheme.words)]], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(prints[:, k].copy().view(np.int64)) for k in range(scheme.words)], *batch.columns[2:]], ["doc_id", *names, *more])
 
-    return docs.select("doc_id", "text").mapInArrow(make, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names))
+    more = ["text_hash"] if with_text_hash else []
+    hashed = [F.xxhash64("text").alias(n) for n in more]
+    return docs.select("doc_id", "text", *hashed).mapInArrow(make, ", ".join(f"{n} bigint" for n in ("doc_id", *names, *more)))
 
 
 def ring_bounds(bits: int, segments: int) -> list[int]:
@@ -250,17 +252,23 @@ def links(distinct: DataFrame, scheme: Scheme, n: int) -> DataFrame:
     return near.union(stars)
 
 
-def grouped(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
-    """doc_id, the fingerprint's words and component_id, one row per row of ``docs``."""
+def _rooted(prints: DataFrame, scheme: Scheme) -> DataFrame:
+    """The different fingerprints' words, their first_id (smallest doc_id) and the root of their component."""
     names = [f"f{k}" for k in range(scheme.words)]
-    prints = cut(fingerprints(docs, scheme))
     distinct = prints.groupBy(*names).agg(F.min("doc_id").alias("first_id"))
     # numbered by a hash of the fingerprint: different ones share a number with a chance of 2**-64 per pair, but for one word it is the fingerprint
     number = F.col("f0") if scheme.words == 1 else F.xxhash64(*names)
     distinct = cut(distinct.withColumn("id", number))
     n = distinct.count()
     roots = components(links(distinct, scheme, n))
-    rooted = distinct.join(roots, distinct["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id")).select(*names, "first_id", "root")
+    return distinct.join(roots, distinct["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id")).select(*names, "first_id", "root")
+
+
+def grouped(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
+    """doc_id, the fingerprint's words and component_id, one row per row of ``docs``."""
+    names = [f"f{k}" for k in range(scheme.words)]
+    prints = cut(fingerprints(docs, scheme))
+    rooted = _rooted(prints, scheme)
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     ids = cut(rooted.join(named, "root").select(*names, "component_id"))
     return prints.join(ids, names)
@@ -271,14 +279,20 @@ def hex_digits(word: Column) -> Column:
 
 
 def one_of_each(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
-    """``docs`` without the documents that are near-duplicates of a kept one: the smallest doc_id of each component stays.
+    """``docs`` without the documents that are near-duplicates of a kept one: one row of each component stays.
 
-    Rows with the kept doc_id are one document; of these the first by text stays.
+    It is the one with the smallest doc_id, null last, and of these the first by a hash of the text.
     """
     names = docs.columns
     renamed = docs.toDF(*[f"_doc_{k}" for k in range(len(names))])
     doc_id, text = (F.col(f"_doc_{names.index(c)}") for c in ("doc_id", "text"))
-    keep = grouped(docs, scheme).select(F.col("component_id").alias("_keep")).distinct()
-    order = Window.partitionBy(doc_id).orderBy(F.xxhash64(text))
-    kept = renamed.join(keep, doc_id.eqNullSafe(F.col("_keep")), "left_semi").withColumn("_rank", F.row_number().over(order)).where("_rank = 1")
-    return kept.drop("_rank").toDF(*names)
+    words = [f"f{k}" for k in range(scheme.words)]
+    prints = cut(fingerprints(docs, scheme, with_text_hash=True))
+    members = prints.join(_rooted(prints, scheme).select(*words, "root"), words)
+    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_hash")).alias("first")
+    keep = members.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_keep"), F.col("first.text_hash").alias("_hash"))
+    # equal texts are in one component, so a doc_id and text are kept for one only; of repeated rows one stays
+    renamed = renamed.withColumn("_text_hash", F.xxhash64(text))
+    order = Window.partitionBy(doc_id, "_text_hash").orderBy(F.lit(1))
+    kept = renamed.join(keep, doc_id.eqNullSafe(F.col("_keep")) & (F.col("_text_hash") == F.col("_hash")), "left_semi").withColumn("_rank", F.row_number().over(order)).where("_rank = 1")
+    return kept.drop("_rank", "_text_hash").toDF(*names)

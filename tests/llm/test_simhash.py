@@ -126,3 +126,9 @@ def test_one_of_each(spark, make):
     out = S.one_of_each(docs)
     assert out.columns == docs.columns
     assert sorted((str(r["doc_id"]), r["text"]) for r in out.collect()) == sorted([("2", text), ("9", "other words here"), ("None", "null id"), ("6", "")])
+
+
+def test_one_of_each_keeps_unrelated_texts_of_one_doc_id(spark, make):
+    texts = [" ".join(f"{t}{k}" for k in range(60)) for t in "abcdef"]
+    docs = make([(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (1, texts[4]), (1, texts[5]), (9, texts[5])])
+    assert sorted(r["text"] for r in S.one_of_each(docs).collect()) == sorted(texts)
