@@ -12,9 +12,11 @@ Hamming check.
 :data:`EXACT` (64 bits, budget 2, seven segments) loses no link.  :data:`SIMILAR` finds
 texts with a similarity of 0.8 or more on five-word shingles: there such a pair differs
 in about 15 % of the bits, more than any selective key can guarantee, so the key is an
-exact run of bits at many places of a 256-bit ring; its length follows the number of
-documents so that chance candidates stay in proportion to it, and the number of places
-follows from the recall asked for.  The rest is the same.
+exact run of bits at many places; its length follows the number of documents so that
+chance candidates stay in proportion to it.  Places are disjoint runs of one order of the 256
+bits after another, and their number follows from the probability that one of them is
+without a difference, so the recall asked for among pairs within the budget holds at every
+size.  The rest is the same.
 
 Scale: equal fingerprints are one before anything is joined, so thousands of copies are
 one row.  Candidates are found by sorting (place, key) groups; a task links a group in
@@ -123,6 +125,22 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def runs_missed(scheme: Scheme, length: int, runs: int) -> float:
+    """The probability that each of so many disjoint runs has a difference, when the whole budget differs."""
+    bits, budget = scheme.bits, scheme.budget
+    return sum((-1) ** k * math.comb(runs, k) * math.comb(bits - k * length, budget) for k in range(runs + 1)) / math.comb(bits, budget)
+
+
+def run_turns(scheme: Scheme, length: int) -> tuple[int, int]:
+    """How many orders of the bits are cut into runs wholly, and how many runs are taken from one more."""
+    runs, allowed = scheme.bits // length, 1 - scheme.recall
+    whole = runs_missed(scheme, length, runs)
+    turns = 0
+    while whole ** (turns + 1) > allowed:
+        turns += 1
+    return turns, next(k for k in range(runs + 1) if whole**turns * runs_missed(scheme, length, k) <= allowed)
+
+
 class Places:
     """Where keys are taken and what a candidate must fulfil before the full check."""
 
@@ -137,13 +155,16 @@ class Places:
         else:
             share = scheme.budget / bits
             length = min(48, max(8, math.ceil(math.log2(max(n, 2))) - 1))
-            places = math.ceil(math.log(1 - scheme.recall) / math.log1p(-((1 - share) ** length)))
-            ring = lambda at, k: sum(1 << ((at + i) % bits) for i in range(k))
-            starts = [round(p * bits / places) % bits for p in range(places)]
-            self.masks = [[ring(s, length)] for s in starts]
+            orders, starts = np.random.default_rng(19), range(0, bits - length + 1, length)
+            turns, rest = run_turns(scheme, length)
             # the chain's next 64 bits may exceed their part of the budget by four deviations
             loose = share * 64 + 4 * math.sqrt(64 * share * (1 - share))
-            self.chains = [[(ring(s + length, 64), int(loose))] for s in starts]
+            self.masks, self.chains = [], []
+            for runs in [len(starts)] * turns + [rest] * (rest > 0):
+                order = orders.permutation(bits).tolist()
+                ring = lambda at, k, order=order: sum(1 << order[(at + i) % bits] for i in range(k))
+                self.masks += [[ring(s, length)] for s in starts[:runs]]
+                self.chains += [[(ring(s + length, 64), int(loose))] for s in starts[:runs]]
         self.words = scheme.words
         self.budget = scheme.budget
 

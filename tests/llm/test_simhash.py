@@ -132,3 +132,20 @@ def test_one_of_each_keeps_unrelated_texts_of_one_doc_id(spark, make):
     texts = [" ".join(f"{t}{k}" for k in range(60)) for t in "abcdef"]
     docs = make([(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (1, texts[4]), (1, texts[5]), (9, texts[5])])
     assert sorted(r["text"] for r in S.one_of_each(docs).collect()) == sorted(texts)
+
+
+@pytest.mark.parametrize("n", [20_000, 300_000, 15_000_000, 1_000_000_000])
+def test_recall_within_the_budget_holds_at_every_size(n):
+    rng = np.random.default_rng(n)
+    places, bits, tries = S.Places(S.SIMILAR, n), S.SIMILAR.bits, 1_000
+    flips = np.zeros((tries, bits), np.uint8)
+    flips[np.arange(tries)[:, None], np.argsort(rng.random((tries, bits)), axis=1)[:, : S.SIMILAR.budget]] = 1
+    ones = rng.integers(0, 2**64, (tries, S.SIMILAR.words), np.uint64)
+    others = ones ^ np.packbits(flips, axis=1, bitorder="little").view(np.uint64)
+    same = places.keys(ones) == places.keys(others)
+    found = np.zeros(tries, bool)
+    for p in range(same.shape[1]):
+        at = np.flatnonzero(same[:, p] & ~found)
+        if len(at):
+            found[at[places.linked(p, ones[at], others[at])]] = True
+    assert found.mean() >= 0.95
