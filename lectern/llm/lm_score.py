@@ -11,7 +11,8 @@ documents, and the counts dealt out by hash to the partitions of the count table
 partition sums its n-grams over all blocks and joins the totals back to the blocks that
 asked; each block sums the logarithms per document.
 
-Scale: all n-grams of all documents are counted, without pruning.  A block sends an n-gram
+Scale: all n-grams of all documents are counted; those below ``min_count`` (2 in the model of the
+SQL, 1 in :data:`TRIGRAM`) score as unseen.  A block sends an n-gram
 once however often it has it, so a very common one costs a row per block.  Both
 directions travel as arrays of one range of hashes per block and partition, in byte
 planes that compress.  Blocks hold ``block_bytes`` of text and partitions of the table as
@@ -52,7 +53,10 @@ class Model:
     block_bytes: int = 4 << 20
 
 
+#: The model of the SQL.
 PRODUCTION = Model()
+#: Contexts of two words, and every n-gram counts however rare.
+TRIGRAM = Model(order=3, min_count=1)
 
 
 def planes(values: np.ndarray) -> bytes:

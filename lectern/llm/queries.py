@@ -29,6 +29,10 @@ def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(documents(spark, sf_dir)).withColumn("log_score", F.round("log_score", 3))
 
 
+def op4_lm_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(documents(spark, sf_dir), lm_score.TRIGRAM).withColumn("log_score", F.round("log_score", 3))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.grouped(documents(spark, sf_dir), simhash.EXACT)
     return found.select("doc_id", simhash.hex_digits(found["f0"]).alias("fingerprint"), "component_id")
@@ -55,7 +59,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix": op1_suffix, "op2_urls": op2_urls, "op3_toxicity": op3_toxicity, "op4_lm": op4_lm, "op5_simhash": op5_simhash, "op6_media": op6_media, "op7_pack": op7_pack, "op8_quality": op8_quality, "op9_shard": op9_shard, "op10_mix": op10_mix}
+    return {"op1_suffix": op1_suffix, "op2_urls": op2_urls, "op3_toxicity": op3_toxicity, "op4_lm": op4_lm, "op4_lm_trigram": op4_lm_trigram, "op5_simhash": op5_simhash, "op6_media": op6_media, "op7_pack": op7_pack, "op8_quality": op8_quality, "op9_shard": op9_shard, "op10_mix": op10_mix}
 
 
 def oracle_sql() -> dict[str, str]:

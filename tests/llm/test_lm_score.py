@@ -54,3 +54,10 @@ def test_repeated_rows_and_nothing(spark, make):
 def test_planes():
     x = np.array([0, 1, -5, 2**62], np.int64)
     assert (L.from_planes(L.planes(x)) == x).all() and L.planes(x[:0]) == b""
+
+
+def test_registered_trigram_counts_everything(spark, make, tmp_path):
+    make(list(enumerate(TEXTS)), extra=False).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.queries()["op4_lm_trigram"](spark, str(tmp_path)).collect()}
+    for k, (n, log) in enumerate(plain(TEXTS, L.Model(order=3, min_count=1))):
+        assert got[k]["n_words"] == n and got[k]["log_score"] == pytest.approx(log, abs=1e-3)
