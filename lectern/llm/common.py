@@ -7,7 +7,6 @@ over the whole buffer and not loops over Python strings.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +27,16 @@ LOWER[65:91] += 32
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the session's, or a local one where none is set (tests)."""
+    """The shared folder for cut lineage and intermediate tables.
+
+    There is no default: a folder of the driver's own machine would be another one on each executor.
+    """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -128,9 +133,10 @@ class Poly:
                 setattr(self, name, np.cumprod(powers, dtype=np.uint64))
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
+        """Of bytes, or of 64-bit symbols as they are."""
         self._grow(len(data))
         out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.values[data] * self.up[: len(data)], out=out[1:])
+        np.cumsum((self.values[data] if data.dtype == np.uint8 else data) * self.up[: len(data)], out=out[1:])
         return out
 
     def spans(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

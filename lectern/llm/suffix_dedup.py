@@ -1,44 +1,51 @@
 """Removal of long repeated passages by a hash-compared suffix sort.
 
-Every byte covered by a ``LENGTH``-byte string that also starts anywhere else, in the
-same document or another, is removed; strings are judged on the input.
+A text is a row of symbols, :data:`BYTES` or :data:`WORDS`.  Every symbol covered by a string
+of ``length`` symbols that also starts anywhere else, in the same document or another, is
+removed; strings are judged on the input.
 
-1. Anchors.  Each window of LENGTH bytes has an anchor: the substring of ``GRAM`` bytes in
-   it with the smallest hash.  Equal windows have equal anchors, so windows with different
+1. Anchors.  Each window of ``length`` symbols has an anchor: the substring of ``gram`` symbols
+   in it with the smallest hash.  Equal windows have equal anchors, so windows with different
    anchors need not be compared.  Neighbouring windows with equal anchors form a run;
    a run's windows together are its segment of the text.  Runs whose anchor occurs once
    are done with.
-2. Equal segments (128-bit hashes) are counted as one; all of their windows are repeated.
+2. Equal segments are counted as one; all of their windows are repeated.  They are told by a
+   keyed 128-bit BLAKE2 digest of their bytes, not by the polynomial hashes, which collide on
+   Thue-Morse patterns whatever their base.
 3. Where an anchor has several different segments, or repeats within one, the suffixes
    that start at their windows are sorted: a mergesort whose comparisons find the common
    extension of two suffixes by binary search over prefix polynomial hashes.  Neighbours in
-   that order that agree over LENGTH bytes are checked byte by byte and marked.
-4. Marked windows go back to all documents with that segment and are cut out.
+   that order that agree over ``length`` symbols are checked byte by byte and marked.
+4. Marked windows go back to all texts with that segment and are cut out.
 
-Scale: the text is scanned twice for anchors (about one in 140 bytes, of a few dozen
-bytes each) and joined twice by document; nothing grows with the number of pairs.  Copies
-collapse in partial aggregates.  An anchor with more than ``GROUP_SEGMENTS`` different
-segments is dealt out further by the hash of each window, which equal windows share.
-Documents of over ``CHUNK`` bytes are scanned in overlapping chunks.
+Scale: the text is scanned twice for anchors (one in some 140 bytes, of a few dozen
+bytes each).  Equal texts are one from then on: a text travels once per different text,
+compressed, and serves both the sort and the cutting.  Nothing grows with the number of
+pairs.  Copies collapse in partial aggregates.  An anchor with more than ``GROUP_SEGMENTS``
+different segments is dealt out further by the hash of each window, which equal windows share.
+Documents of over ``CHUNK`` symbols are scanned in overlapping chunks.
 
-Cases: a null text counts as empty; texts shorter than LENGTH are left alone; rows with
+Cases: a null text counts as empty; texts shorter than ``length`` are left alone; rows with
 equal doc_id and text are separate documents and so repeat each other; a null doc_id is
 carried along; an empty table gives an empty result; :func:`cut_out` carries all other
 columns, whatever their names.  A character of which only some bytes are removed goes
-altogether when the rest is stored as text.
+altogether when the rest is stored as text.  Words are ``[^\\x20\\x09-\\x0D]+``, compared without
+what stands between them.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Poly, cut, group_starts, mix, shuffle_partitions, slices, text_bytes, whole_groups
+from lectern.llm.common import Poly, cut, group_starts, mix, shuffle_partitions, slices, text_bytes, whole_groups, word_spans
 
 LENGTH, GRAM = 400, 128
 CHUNK = 2 << 20
@@ -46,9 +53,24 @@ SCAN = 1 << 17  # bytes scanned at once: what fits a core's cache
 GROUP_SEGMENTS = 4_096
 SORT_WINDOWS = 1 << 18
 _PLACE = np.uint64((1 << 24) - 1)
+_KEY = b"segments"
 
-RUNS = "doc_id bigint, th bigint, s bigint, n int, h bigint, d1 bigint, d2 bigint, twice boolean"
-SEGMENT = ["h", "n", "d1", "d2"]
+
+@dataclass(frozen=True)
+class Unit:
+    number: int
+    length: int  # symbols of a repeated string
+    gram: int  # symbols of an anchor
+
+
+BYTES = Unit(0, LENGTH, GRAM)
+#: A passage of fifty words, however few bytes they take.
+WORDS = Unit(1, 50, 8)
+UNITS = (BYTES, WORDS)
+
+TEXT = ["th", "tk"]
+RUNS = "th bigint, tk bigint, unit int, s int, n int, h bigint, d1 bigint, d2 bigint, twice boolean"
+SEGMENT = ["unit", "h", "n", "d1", "d2"]
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -59,79 +81,118 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - span)], values[width - span :]) if width > span else values
 
 
-class Anchors:
-    """The runs of some documents: arrays doc, s, n, h, d1, d2, twice."""
-
-    def __init__(self) -> None:
-        self.one, self.two = Poly(1), Poly(2)
-
-    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-        if len(data) < LENGTH:
-            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.uint64, np.uint64, np.uint64, bool))
-        prefix = self.one.prefix(data)
-        grams = mix(self.one.every(prefix, GRAM))
-        least = sliding_minimum((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), LENGTH - GRAM + 1)
-        anchor = (least & _PLACE).astype(np.int64)
-        own = grams[anchor]
-        at = np.arange(len(anchor))
-        whole = at + LENGTH <= np.repeat(offsets[1:], np.diff(offsets))[: len(anchor)]
-        follows = np.zeros(len(at), bool)
-        follows[1:] = whole[1:] & whole[:-1]
-        same = np.zeros(len(at), bool)
-        same[1:] = own[1:] == own[:-1]
-        first = whole & ~(follows & same)
-        starts = np.flatnonzero(first)
-        moved = np.zeros(len(at), bool)
-        moved[1:] = anchor[1:] != anchor[:-1]
-        twice = np.zeros(len(starts), bool)
-        twice[(np.cumsum(first) - 1)[follows & same & moved]] = True
-        upto = np.cumsum(whole)
-        n = np.diff(np.append(upto[starts] - 1, upto[-1]))
-        ends = starts + n + LENGTH - 1
-        docs = np.searchsorted(offsets, starts, side="right") - 1
-        second = self.two.prefix(data)
-        return docs, starts - offsets[docs], n.astype(np.int32), own[starts], mix(self.one.spans(prefix, starts, ends)), mix(self.two.spans(second, starts, ends)), twice
-
-
-def runs(docs: DataFrame) -> DataFrame:
-    """See :data:`RUNS`; ``docs`` has doc_id, th, text."""
+class Symbols:
+    """Texts as symbols: ``values`` (bytes, or hashes of words), the first of each text, and the bytes of any stretch of them.
+
+    The bytes of words are joined by single spaces.
+    """
+
+    def __init__(self, unit: Unit, data: np.ndarray, offsets: np.ndarray, poly: Poly):
+        self.unit = unit
+        if unit.number == BYTES.number:
+            self.values, self.offsets, self.plain = data, offsets, data
+            return
+        starts, ends, self.offsets = word_spans(data, offsets)
+        self.spans = starts, ends
+        self.values = mix(poly.spans(poly.prefix(data), starts, ends))
+        sizes = ends - starts
+        self._ends = np.cumsum(sizes + 1) - 1
+        self._starts = self._ends - sizes
+        self.plain = np.full(int(sizes.sum()) + len(sizes), 0x20, np.uint8)
+        letters = np.ones(len(self.plain), bool)
+        letters[self._ends] = False
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[starts] += 1
+        inside[ends] -= 1
+        self.plain[letters] = data[np.cumsum(inside[:-1]).astype(bool)]
+
+    def bounds(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``plain`` the symbols a .. b - 1 stand."""
+        return (a, b) if self.unit.number == BYTES.number else (self._starts[a], self._ends[b - 1])
+
+
+def find_runs(unit: Unit, values: np.ndarray, offsets: np.ndarray, poly: Poly) -> tuple[np.ndarray, ...]:
+    """The runs of some texts: arrays first symbol, number of windows, anchor hash, whether the anchor repeats in it."""
+    if len(values) < unit.length:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    grams = mix(poly.every(poly.prefix(values), unit.gram) + np.uint64(unit.number << 32))
+    least = sliding_minimum((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), unit.length - unit.gram + 1)
+    anchor = (least & _PLACE).astype(np.int64)
+    own = grams[anchor]
+    at = np.arange(len(anchor))
+    whole = at + unit.length <= np.repeat(offsets[1:], np.diff(offsets))[: len(anchor)]
+    follows = np.zeros(len(at), bool)
+    follows[1:] = whole[1:] & whole[:-1]
+    same = np.zeros(len(at), bool)
+    same[1:] = own[1:] == own[:-1]
+    first = whole & ~(follows & same)
+    starts = np.flatnonzero(first)
+    moved = np.zeros(len(at), bool)
+    moved[1:] = anchor[1:] != anchor[:-1]
+    twice = np.zeros(len(starts), bool)
+    twice[(np.cumsum(first) - 1)[follows & same & moved]] = True
+    upto = np.cumsum(whole)
+    n = np.diff(np.append(upto[starts] - 1, upto[-1])) if len(starts) else starts
+    return starts, n, own[starts], twice
+
+
+def digests(symbols: Symbols, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of the segments of runs: (runs, 2) bigints."""
+    a, b = symbols.bounds(starts, starts + n + symbols.unit.length - 1)
+    view = memoryview(np.ascontiguousarray(symbols.plain))
+    made = b"".join([hashlib.blake2b(view[x:y], digest_size=16, key=_KEY).digest() for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+    return np.frombuffer(made, np.int64).reshape(-1, 2)
+
+
+def runs(keyed: DataFrame, units: tuple[Unit, ...], told: bool) -> DataFrame:
+    """See :data:`RUNS`, without ``told`` only h and twice; ``keyed`` has th, tk, text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Anchors()
-        names = [part.strip().split(" ")[0] for part in RUNS.split(",")]
+        poly = Poly(1)
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
             for lo, hi in slices(offsets, SCAN):
-                ranges = [(int(offsets[lo]), int(offsets[hi]), offsets[lo : hi + 1] - offsets[lo], 0)]
-                if offsets[hi] - offsets[lo] > CHUNK and hi - lo == 1:
-                    size = int(offsets[hi] - offsets[lo])
-                    ranges = [(int(offsets[lo]) + at, int(offsets[lo]) + min(at + CHUNK + LENGTH - 1, size), np.array([0, min(CHUNK + LENGTH - 1, size - at)]), at) for at in range(0, size - LENGTH + 1, CHUNK)]
-                for a, b, bounds, base in ranges:
-                    doc, s, n, h, d1, d2, twice = find(data[a:b], bounds)
-                    part = batch.slice(lo, hi - lo).take(pa.array(doc))
-                    columns = [part.column(0), part.column(1), pa.array(s + base), pa.array(n), *[pa.array(x.view(np.int64)) for x in (h, d1, d2)], pa.array(twice)]
-                    yield pa.RecordBatch.from_arrays(columns, names)
-
-    return docs.mapInArrow(scan, RUNS)
+                for unit in units:
+                    symbols = Symbols(unit, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], poly)
+                    size = int(symbols.offsets[-1])
+                    step = CHUNK if hi - lo == 1 else max(size, 1)
+                    for base in range(0, size - unit.length + 1, step):
+                        upto = min(base + step + unit.length - 1, size)
+                        s, n, h, twice = find_runs(unit, symbols.values[base:upto], symbols.offsets if hi - lo > 1 else np.array([0, upto - base]), poly)
+                        s = s + base
+                        if not told:
+                            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(twice)], ["h", "twice"])
+                            continue
+                        doc = np.searchsorted(symbols.offsets, s, side="right") - 1
+                        part = batch.slice(lo, hi - lo).take(pa.array(doc))
+                        d = digests(symbols, s, n)
+                        numbers = [np.full(len(s), unit.number, np.int32), (s - symbols.offsets[doc]).astype(np.int32), n.astype(np.int32), h.view(np.int64), d[:, 0].copy(), d[:, 1].copy()]
+                        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *map(pa.array, numbers), pa.array(twice)], [x.strip().split(" ")[0] for x in RUNS.split(",")])
+
+    return keyed.mapInArrow(scan, RUNS if told else "h bigint, twice boolean")
 
 
 class SuffixSort:
-    """Sorts the suffixes of a byte string that start at given positions, by their first LENGTH bytes.
+    """Sorts the suffixes of a row of symbols that start at given positions, by their first ``unit.length`` symbols.
 
-    ``starts`` come in groups (``bounds``) and are sorted within them.
+    ``starts`` come in groups (``bounds``) and are sorted within them.  ``data`` holds the symbols;
+    ``symbols`` their bytes, where they aren't bytes themselves.
     """
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray, bounds: np.ndarray, poly: Poly):
-        self.data, self.starts, self.bounds, self.poly = data, starts, bounds, poly
+    def __init__(self, data: np.ndarray, starts: np.ndarray, bounds: np.ndarray, poly: Poly, symbols: Symbols | None = None):
+        self.symbols = symbols or Symbols(BYTES, data, np.array([0, len(data)]), poly)
+        self.data, self.starts, self.bounds, self.poly, self.length = data, starts, bounds, poly, self.symbols.unit.length
         self.prefix = poly.prefix(data)
-        padded = np.concatenate([data, np.zeros(8, np.uint8)])
-        eight = np.ndarray(len(data) + 1, dtype=">u8", buffer=padded.tobytes(), strides=(1,))
-        self.head = eight[starts].astype(np.uint64)
-        self.full = poly.spans(self.prefix, starts, starts + LENGTH)
+        if data.dtype == np.uint8:  # suffixes are told apart by their first symbols before the mergesort
+            padded = np.concatenate([data, np.zeros(8, np.uint8)])
+            self.head, self.known = np.ndarray(len(data) + 1, dtype=">u8", buffer=padded.tobytes(), strides=(1,))[starts].astype(np.uint64), 8
+        else:
+            self.head, self.known = data[starts], 1
+        self.full = poly.spans(self.prefix, starts, starts + self.length)
 
     def extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common extension, less than LENGTH, of positions whose suffixes differ."""
-        lo, hi = np.full(len(a), 8), np.full(len(a), LENGTH)
+        """Length of the common extension, less than the whole, of positions whose suffixes differ."""
+        lo, hi = np.full(len(a), self.known), np.full(len(a), self.length)
         while len(a) and (hi - lo).max() > 1:
             mid = (lo + hi) >> 1
             equal = self.poly.spans(self.prefix, a, a + mid) == self.poly.spans(self.prefix, b, b + mid)
@@ -139,7 +200,7 @@ class SuffixSort:
         return lo
 
     def compare(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """-1, 0 or 1 for suffix numbers with the same first eight bytes."""
+        """-1, 0 or 1 for suffix numbers with the same head."""
         sign = np.zeros(len(a), np.int8)
         open_ = np.flatnonzero(self.full[a] != self.full[b])
         if len(open_):
@@ -150,7 +211,7 @@ class SuffixSort:
         return sign
 
     def order(self) -> np.ndarray:
-        """Suffix numbers in order: groups are split by their suffixes' first eight bytes, then a bottom-up mergesort orders all parts at once."""
+        """Suffix numbers in order: groups are split by their suffixes' heads, then a bottom-up mergesort orders all parts at once."""
         group = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
         order = np.lexsort((self.head, group))
         parts = group_starts(group[order], self.head[order])
@@ -180,76 +241,87 @@ class SuffixSort:
         return order
 
     def repeated(self) -> np.ndarray:
-        """Which suffixes agree with another of their group over LENGTH bytes."""
+        """Which suffixes agree with another of their group over the whole length."""
         order, marked = self.order(), np.zeros(len(self.starts), bool)
         if len(order) < 2:
             return marked
         near = np.ones(len(order) - 1, bool)
         near[self.bounds[1:-1] - 1] = False
         at = np.flatnonzero(near & (self.full[order[1:]] == self.full[order[:-1]]))
-        for k in range(0, len(at), 4_096):  # the bytes themselves have the last word
-            p, q = self.starts[order[at[k : k + 4_096]]], self.starts[order[at[k : k + 4_096] + 1]]
-            inside = np.arange(LENGTH)
-            if not (self.data[p[:, None] + inside] == self.data[q[:, None] + inside]).all():
-                return self._by_bytes()
+        if not self._verified(self.starts[order[at]], self.starts[order[at + 1]]):
+            return self._by_bytes()
         marked[order[at]] = marked[order[at + 1]] = True
         return marked
 
+    def _verified(self, p: np.ndarray, q: np.ndarray) -> bool:
+        """Whether windows with equal hashes have equal bytes: the bytes themselves have the last word."""
+        plain = self.symbols.plain
+        if self.data.dtype == np.uint8:
+            inside = np.arange(self.length)
+            return all((plain[p[k : k + 4_096, None] + inside] == plain[q[k : k + 4_096, None] + inside]).all() for k in range(0, len(p), 4_096))
+        (a, b), (c, d), text = self.symbols.bounds(p, p + self.length), self.symbols.bounds(q, q + self.length), plain.tobytes()
+        return all(text[w:x] == text[y:z] for w, x, y, z in zip(a.tolist(), b.tolist(), c.tolist(), d.tolist(), strict=True))
+
     def _by_bytes(self) -> np.ndarray:
         """The same by plain bytes, for the case that two hashes have collided."""
         seen: dict[tuple[int, bytes], list[int]] = {}
+        a, b = self.symbols.bounds(self.starts, self.starts + self.length)
         for g in range(len(self.bounds) - 1):
             for k in range(self.bounds[g], self.bounds[g + 1]):
-                seen.setdefault((g, self.data[self.starts[k] : self.starts[k] + LENGTH].tobytes()), []).append(k)
+                seen.setdefault((g, self.symbols.plain[a[k] : b[k]].tobytes()), []).append(k)
         marked = np.zeros(len(self.starts), bool)
         for members in seen.values():
             marked[members] = len(members) > 1
         return marked
 
 
-def _segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of wanted segments: h, bucket, n, d1, d2, counted, bytes, starts (null: every window)."""
-    schema = "h bigint, bucket int, n int, d1 bigint, d2 bigint, counted boolean, bytes binary, starts binary"
-    asked = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "n", "d1", "d2", "counted", "s", "buckets")).alias("asked"))
-    asked = asked.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "asked")
-    joined = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("text", "asked")
+def _segments(texts: DataFrame, wanted: DataFrame, units: tuple[Unit, ...]) -> DataFrame:
+    """The bytes of wanted segments, one row per bucket of their windows; starts (null: every window)."""
+    schema = "unit int, h bigint, bucket int, n int, d1 bigint, d2 bigint, counted boolean, bytes binary, starts binary"
+    asked = wanted.groupBy(*TEXT).agg(F.collect_list(F.struct("unit", "h", "n", "d1", "d2", "counted", "s", "buckets")).alias("asked"))
+    joined = texts.join(asked, TEXT).select("z", "asked")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        poly = Poly(3)
+        poly, other, open_ = Poly(1), Poly(3), zstandard.ZstdDecompressor()
         for batch in batches:
-            data, offsets = text_bytes(batch.column(0))
-            rows: list[tuple] = []
-            for k, asked_here in enumerate(batch.column(1)):
-                text = data[offsets[k] : offsets[k + 1]]
-                for a in asked_here.as_py():
-                    part = text[a["s"] : a["s"] + a["n"] + LENGTH - 1]
-                    head = (a["n"], a["d1"], a["d2"], a["counted"], part.tobytes())
-                    if a["buckets"] == 1:
-                        rows.append((a["h"], 0, *head, None))
+            for packed, asked_here in zip(batch.column(0), batch.column(1), strict=True):
+                data, rows = np.frombuffer(open_.decompress(packed.as_py()), np.uint8), []
+                wanted_here = asked_here.as_py()
+                for unit in units:
+                    mine = [a for a in wanted_here if a["unit"] == unit.number]
+                    if not mine:
                         continue
-                    bucket = mix(poly.every(poly.prefix(part), LENGTH)) % np.uint64(a["buckets"])
-                    for b in np.unique(bucket):
-                        rows.append((a["h"], int(b), *head, np.flatnonzero(bucket == b).astype(np.int32).tobytes()))
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
-            columns = list(zip(*rows, strict=True)) or [[]] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["h", "bucket", "n", "d1", "d2", "counted", "bytes", "starts"])
+                    symbols = Symbols(unit, data, np.array([0, len(data)]), poly)
+                    for a in mine:
+                        lo, hi = (int(x) for x in symbols.bounds(a["s"], a["s"] + a["n"] + unit.length - 1))
+                        head = (a["n"], a["d1"], a["d2"], a["counted"], symbols.plain[lo:hi].tobytes())
+                        if a["buckets"] == 1:
+                            rows.append((unit.number, a["h"], 0, *head, None))
+                            continue
+                        bucket = mix(other.every(other.prefix(symbols.values[a["s"] : a["s"] + a["n"] + unit.length - 1]), unit.length)) % np.uint64(a["buckets"])
+                        rows += [(unit.number, a["h"], int(b), *head, np.flatnonzero(bucket == b).astype(np.int32).tobytes()) for b in np.unique(bucket)]
+                types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
+                columns = list(zip(*rows, strict=True)) or [[]] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["unit", "h", "bucket", "n", "d1", "d2", "counted", "bytes", "starts"])
 
     return joined.mapInArrow(extract, schema)
 
 
-def _sorted_out(segments: DataFrame) -> DataFrame:
-    """Repeated windows of segments as ranges: h, n, d1, d2, lo, hi (of window starts, both included)."""
-    dealt = segments.repartition(shuffle_partitions(segments.sparkSession), "h", "bucket").sortWithinPartitions("h", "bucket")
+def _sorted_out(segments: DataFrame, units: tuple[Unit, ...]) -> DataFrame:
+    """Repeated windows of segments as ranges: unit, h, n, d1, d2, lo, hi (of window starts, both included)."""
+    dealt = segments.repartition(shuffle_partitions(segments.sparkSession), "unit", "h", "bucket").sortWithinPartitions("unit", "h", "bucket")
+    by_number = {u.number: u for u in units}
 
     def mark(rows: pa.Table, poly: Poly) -> Iterator[pa.RecordBatch]:
+        unit = by_number[rows["unit"][0].as_py()]
         data, offsets = text_bytes(rows["bytes"].cast(pa.large_binary()).combine_chunks().view(pa.large_string()))
-        n = rows["n"].to_numpy()
-        given = rows["starts"].to_pylist()
+        symbols = Symbols(unit, data, offsets, poly)
+        n, given = rows["n"].to_numpy(), rows["starts"].to_pylist()
         inside = [np.arange(n[k]) if g is None else np.frombuffer(g, np.int32) for k, g in enumerate(given)]
         row = np.repeat(np.arange(len(n)), [len(x) for x in inside])
         inside = np.concatenate(inside).astype(np.int64)
         edges = group_starts(rows["h"].to_numpy()[row], rows["bucket"].to_numpy()[row])
-        marked = SuffixSort(data, offsets[row] + inside, edges, poly).repeated() & ~rows["counted"].to_numpy(zero_copy_only=False)[row]
+        marked = SuffixSort(symbols.values, symbols.offsets[row] + inside, edges, poly, symbols).repeated() & ~rows["counted"].to_numpy(zero_copy_only=False)[row]
         at, of = inside[marked], row[marked]
         bounds = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1])]) if len(at) else np.zeros(0, np.int64)
         last = np.r_[bounds[1:], len(at)] - 1 if len(at) else bounds
@@ -258,35 +330,53 @@ def _sorted_out(segments: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         poly = Poly(1)
-        for table in whole_groups(batches, ["h", "bucket"]):
-            bounds = group_starts(table["h"].to_numpy(), table["bucket"].to_numpy())
+        for table in whole_groups(batches, ["unit", "h", "bucket"]):
+            unit = table["unit"].to_numpy()
+            bounds = group_starts(unit, table["h"].to_numpy(), table["bucket"].to_numpy())
             windows = np.concatenate([[0], np.cumsum(table["n"].to_numpy())])
             lo = 0
-            while lo < len(bounds) - 1:  # whole groups of about SORT_WINDOWS windows
+            while lo < len(bounds) - 1:  # whole groups of one unit, of about SORT_WINDOWS windows
                 hi = max(lo + 1, int(np.searchsorted(windows[bounds], windows[bounds[lo]] + SORT_WINDOWS, side="right")) - 1)
+                hi = min(hi, int(np.searchsorted(unit[bounds[:-1]], unit[bounds[lo]], side="right")))
                 yield from mark(table.slice(bounds[lo], bounds[hi] - bounds[lo]), poly)
                 lo = hi
 
-    return dealt.mapInArrow(work, "h bigint, n int, d1 bigint, d2 bigint, lo bigint, hi bigint")
+    return dealt.mapInArrow(work, "unit int, h bigint, n int, d1 bigint, d2 bigint, lo bigint, hi bigint")
+
 
+def _text_key(text: Column) -> list[Column]:
+    """128 bits that stand for a text: two 64-bit hashes with different seeds."""
+    whole = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(whole).alias("th"), F.xxhash64(F.lit(7), whole).alias("tk")]
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """th, tk, z: every different text once, compressed."""
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), spans: the byte ranges [a, b) to remove, as they were found."""
-    keyed = _keyed(docs)
-    found = runs(keyed)
-    again = found.groupBy("h").agg(F.count("*").alias("c"), F.max("twice").alias("twice")).where("c > 1 or twice").select("h")
-    kept = cut(found.join(again, "h", "left_semi"))
-    segments = cut(kept.groupBy(*SEGMENT).agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "s")).alias("one"), F.max("twice").alias("twice")))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(2))
+            packed = [press.compress(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["th", "tk", "z"])
+
+    keyed = docs.select(*_text_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
+    return keyed.mapInArrow(pack, "th bigint, tk bigint, z binary").groupBy(*TEXT).agg(F.first("z").alias("z"))
+
+
+def repeated_spans(docs: DataFrame, texts: DataFrame, units: tuple[Unit, ...]) -> DataFrame:
+    """th, tk, spans: for each text with any, the ranges [a, b) of symbols to remove, as they were found."""
+    keyed = docs.select(*_text_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
+    again = runs(keyed, units, False).groupBy("h").agg(F.count("*").alias("c"), F.max("twice").alias("twice")).where("c > 1 or twice").select("h")
+    kept = cut(runs(keyed, units, True).join(again, "h", "left_semi"))
+    segments = cut(kept.groupBy(*SEGMENT).agg(F.count("*").alias("c"), F.min(F.struct("th", "tk", "s")).alias("one"), F.max("twice").alias("twice")))
     several = segments.groupBy("h").agg(F.count("*").alias("m"), F.max("twice").alias("some_twice")).where("m > 1 or some_twice")
-    wanted = segments.join(several, "h").select("h", "n", "d1", "d2", (F.col("c") > 1).alias("counted"), "one.doc_id", "one.th", "one.s", F.ceil(F.col("m") / GROUP_SEGMENTS).cast("int").alias("buckets"))
+    wanted = segments.join(several, "h").select(*SEGMENT, (F.col("c") > 1).alias("counted"), "one.th", "one.tk", "one.s", F.ceil(F.col("m") / GROUP_SEGMENTS).cast("int").alias("buckets"))
     counted = segments.where("c > 1").select(*SEGMENT, F.lit(0).cast("bigint").alias("lo"), (F.col("n") - 1).cast("bigint").alias("hi"))
-    marks = counted.union(_sorted_out(_segments(keyed, wanted)))
-    spans = kept.join(marks, SEGMENT).select("doc_id", "th", F.struct((F.col("s") + F.col("lo")).alias("a"), (F.col("s") + F.col("hi") + LENGTH).alias("b")).alias("span"))
-    return spans.groupBy("doc_id", "th").agg(F.collect_list("span").alias("spans"))
+    marks = counted.union(_sorted_out(_segments(texts, wanted, units), units))
+    length = F.element_at(F.create_map(*[F.lit(x) for u in units for x in (u.number, u.length)]), F.col("unit"))
+    spans = kept.join(marks, SEGMENT).select(*TEXT, F.struct("unit", (F.col("s") + F.col("lo")).alias("a"), (F.col("s") + F.col("hi") + length).alias("b")).alias("span"))
+    return spans.distinct().groupBy(*TEXT).agg(F.collect_list("span").alias("spans"))
 
 
 def merge_spans(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -301,57 +391,68 @@ def merge_spans(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _remaining(batch: pa.RecordBatch, text_at: int, spans_at: int) -> Iterator[tuple[bytes, list[tuple[int, int]], bytes]]:
-    data, offsets = text_bytes(batch.column(text_at))
-    column = batch.column(spans_at)
-    bounds = column.offsets.to_numpy()
-    values = column.values
-    a, b = values.field(0).to_numpy(), values.field(1).to_numpy()
+def _merged(column: pa.Array) -> Iterator[dict[int, list[tuple[int, int]]]]:
+    """For each row of a spans column, its merged ranges by unit."""
+    bounds, values = column.offsets.to_numpy(), column.values
+    unit, a, b = (values.field(k).to_numpy() for k in range(3))
     null = column.is_null().to_numpy(zero_copy_only=False)
-    for k in range(batch.num_rows):
-        text = data[offsets[k] : offsets[k + 1]].tobytes()
+    for k in range(len(column)):
         lo, hi = (0, 0) if null[k] else (bounds[k], bounds[k + 1])
-        removed = merge_spans(a[lo:hi], b[lo:hi]) if hi > lo else []
-        kept, at = [], 0
-        for x, y in removed:
-            kept.append(text[at:x])
-            at = y
-        yield text, removed, b"".join([*kept, text[at:]]) if removed else text
+        yield {int(u): merge_spans(a[lo:hi][unit[lo:hi] == u], b[lo:hi][unit[lo:hi] == u]) for u in np.unique(unit[lo:hi])}
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` as _doc_0 .. with their spans joined."""
-    spans = repeated_spans(docs).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
-    renamed = docs.select(*[F.col(f"`{c}`").alias(f"_doc_{k}") for k, c in enumerate(docs.columns)])
-    doc_id, text = (F.col(f"_doc_{docs.columns.index(c)}") for c in ("doc_id", "text"))
-    return renamed.join(spans, doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_th")), "left").drop("_id", "_th")
+def _without(text: bytes, removed: list[tuple[int, int]]) -> bytes:
+    kept, at = [], 0
+    for x, y in removed:
+        kept.append(text[at:x])
+        at = y
+    return b"".join([*kept, text[at:]])
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    joined = _with_spans(docs.select("doc_id", "text"))
+def digest(docs: DataFrame, units: tuple[Unit, ...] = UNITS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 by bytes; n_passages, n_passage_words: maximal repeated passages by words."""
+    texts = distinct_texts(docs)
+    spans = repeated_spans(docs, texts, units)
+    schema = "th bigint, tk bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint, n_passage_words bigint"
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor()
         for batch in batches:
-            rows = [(len(text), len(text) - len(rest), len(removed), hashlib.sha256(rest).hexdigest()) for text, removed, rest in _remaining(batch, 1, 2)]
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            rows = []
+            for packed, found in zip(batch.column(2), _merged(batch.column(3)), strict=True):
+                text = open_.decompress(packed.as_py())
+                removed, passages = found.get(BYTES.number, []), found.get(WORDS.number, [])
+                rest = _without(text, removed) if removed else text
+                rows.append((len(text), len(text) - len(rest), len(removed), hashlib.sha256(rest).hexdigest(), len(passages), sum(b - a for a, b in passages)))
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            types = [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], [x.strip().split(" ")[0] for x in schema.split(",")])
 
-    return joined.mapInArrow(measure, schema)
+    measured = texts.join(spans, TEXT, "left").select(*TEXT, "z", "spans").mapInArrow(measure, schema)
+    return docs.select("doc_id", *_text_key(F.col("text"))).join(measured, TEXT).drop(*TEXT)
 
 
-def cut_out(docs: DataFrame) -> DataFrame:
+def cut_out(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
     """``docs`` with the repeated passages removed from ``text``; a null text stays null."""
     names = docs.columns
     at = names.index("text")
-    joined = _with_spans(docs)
+    spans = repeated_spans(docs, distinct_texts(docs), (unit,)).toDF("_th", "_tk", "_spans")
+    renamed = docs.select(*[F.col(f"`{c}`").alias(f"_doc_{k}") for k, c in enumerate(names)], *[c.alias(f"_{k}") for k, c in zip(TEXT, _text_key(F.col("text")), strict=True)])
+    joined = renamed.join(spans, ["_th", "_tk"], "left").drop("_th", "_tk")
     schema = ", ".join(f"_doc_{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        poly = Poly(1)
         for batch in batches:
             null = batch.column(at).is_null().to_pylist()
-            texts = [None if n else rest.decode("utf-8", "ignore") for n, (_, _, rest) in zip(null, _remaining(batch, at, len(names)), strict=True)]
+            data, offsets = text_bytes(batch.column(at))
+            texts: list[str | None] = []
+            for k, found in enumerate(_merged(batch.column(len(names)))):
+                text, removed = data[offsets[k] : offsets[k + 1]], found.get(unit.number, [])
+                if removed and unit.number == WORDS.number:
+                    starts, ends = Symbols(unit, text, np.array([0, len(text)]), poly).spans
+                    removed = [(int(starts[a]), int(ends[b - 1])) for a, b in removed]
+                texts.append(None if null[k] else _without(text.tobytes(), removed).decode("utf-8", "ignore"))
             columns = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, [f"_doc_{k}" for k in range(len(names))])
 

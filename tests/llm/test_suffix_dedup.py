@@ -49,7 +49,7 @@ def hard_texts():
 
 def test_against_every_window(spark, make):
     texts = hard_texts()
-    got = {r["doc_id"]: tuple(r)[1:] for r in S.digest(make(list(enumerate(texts)))).collect()}
+    got = {r["doc_id"]: tuple(r)[1:5] for r in S.digest(make(list(enumerate(texts)))).collect()}
     assert [got[k] for k in range(len(texts))] == brute(texts)
 
 
@@ -58,7 +58,7 @@ def test_hot_groups_are_dealt_further(spark, make, monkeypatch):
     rng = random.Random(2)
     passage = prose(rng, 150)
     texts = [prose(rng, 30) + passage + prose(rng, 30) for _ in range(12)]
-    got = {r["doc_id"]: tuple(r)[1:] for r in S.digest(make(list(enumerate(texts)))).collect()}
+    got = {r["doc_id"]: tuple(r)[1:5] for r in S.digest(make(list(enumerate(texts)))).collect()}
     assert [got[k] for k in range(len(texts))] == brute(texts)
 
 
@@ -66,7 +66,7 @@ def test_long_documents_in_chunks(spark, make, monkeypatch):
     monkeypatch.setattr(S, "CHUNK", 700)
     monkeypatch.setattr(S, "SCAN", 500)
     texts = hard_texts()
-    got = {r["doc_id"]: tuple(r)[1:] for r in S.digest(make(list(enumerate(texts)))).collect()}
+    got = {r["doc_id"]: tuple(r)[1:5] for r in S.digest(make(list(enumerate(texts)))).collect()}
     assert [got[k] for k in range(len(texts))] == brute(texts)
 
 
@@ -110,3 +110,68 @@ def test_colliding_hashes_are_found_out(monkeypatch):
     sort.full[:] = 7
     sort.head[:] = 7
     assert not sort.repeated().any()
+
+
+def passages(texts):
+    """(maximal passages, words in them) of each text by looking at every window of fifty words."""
+    words, length = [(t or "").encode().split() for t in texts], S.WORDS.length
+    seen = {}
+    for w in words:
+        for s in range(len(w) - length + 1):
+            seen[tuple(w[s : s + length])] = seen.get(tuple(w[s : s + length]), 0) + 1
+    out = []
+    for w in words:
+        gone = np.zeros(len(w), bool)
+        for s in range(len(w) - length + 1):
+            if seen[tuple(w[s : s + length])] > 1:
+                gone[s : s + length] = True
+        out.append((int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), int(gone.sum())))
+    return out
+
+
+def wordy_texts():
+    rng = random.Random(5)
+    passage, short = prose(rng, 51), " ".join(rng.choices("abcdefgh", k=50))
+    spaced = passage.replace(" ", "\n \t", 7)
+    return [*hard_texts(), prose(rng, 30) + " " + passage + " " + prose(rng, 9), spaced, "x " + short, short + " y", "a " * 49, "a " * 50, "a " * 51, "B " * 120, " ".join(passage.split()[:49])]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"CHUNK": 60, "SCAN": 500}, {"GROUP_SEGMENTS": 2}])
+def test_passages_against_every_window(spark, make, monkeypatch, sizes):
+    for name, value in sizes.items():
+        monkeypatch.setattr(S, name, value)
+    texts = wordy_texts()
+    got = {r["doc_id"]: (r["n_passages"], r["n_passage_words"]) for r in S.digest(make(list(enumerate(texts)))).collect()}
+    assert [got[k] for k in range(len(texts))] == passages(texts)
+
+
+def test_cut_out_by_words(spark, make):
+    rng = random.Random(6)
+    passage = prose(rng, 60)
+    docs = make([(1, "one  " + passage + "\ttwo"), (2, passage.replace(" ", "\n", 3)), (3, " ".join(passage.split()[:49])), (None, None)])
+    out = {r["doc_id"]: r["text"] for r in S.cut_out(docs, S.WORDS).collect()}
+    assert out == {1: "one  \ttwo", 2: "", 3: " ".join(passage.split()[:49]), None: None}
+
+
+def colliding():
+    """Two texts without a common string of 400 bytes whose polynomial hashes modulo 2**64 agree, whatever the base."""
+    gram = min((bytes([a]) * 64 + bytes(random.Random(k).choices(range(48, 58), k=64)) for k, a in enumerate(range(65, 91))), key=len)
+    morse = [bin(k).count("1") & 1 for k in range(64)]
+    out = []
+    for turned in (0, 1):
+        text = b""
+        for period in range(32):
+            text += gram + bytes(b"bL"[m ^ morse[period] ^ turned] for m in morse) + bytes([97 + period % 26, 48 + period // 26]) * 32
+        out.append(text.decode())
+    return out
+
+
+def test_colliding_polynomials_remove_nothing(spark, make):
+    one, two = colliding()
+    poly, lengths = Poly(1), [len(one)]
+    prefix = [poly.prefix(np.frombuffer(t.encode(), np.uint8)) for t in (one, two)]
+    at = np.array([0])
+    assert poly.spans(prefix[0], at, at + lengths[0]) == poly.spans(prefix[1], at, at + lengths[0]) and one != two
+    got = {r["doc_id"]: tuple(r)[1:5] for r in S.digest(make([(0, one), (1, two)])).collect()}
+    assert [got[k] for k in range(2)] == brute([one, two])
+    assert not any(n for _, n, _, _ in got.values())
