@@ -9,26 +9,30 @@ log odds of a bucket's document frequencies in the training texts.  Thresholds a
 calibrated for each language on labelled texts that training has not seen; they decide
 what :func:`clean_only` rejects and are no part of a score.
 
-Scale: training uses at most ``max_toxic`` + ``max_clean`` labelled texts, taken in the
-order of a hash, and of these as many as fit into ``max_bytes``; these bounds are the only
-ones, and scores are of whole texts, however long.  The model has a fixed size (a few MB).
+Scale: training uses at most ``max_toxic`` + ``max_clean`` labelled ids, taken in the
+order of a hash, their texts of up to ``max_text_bytes``, and of these what fits into ``max_words``;
+a text that doesn't fit is passed over, not the ones after it.  These bounds are the only
+ones, and scores are of whole texts, however long.  Words are hashed in the executors and
+one task of an executor trains, so no text comes to the driver.  The model has a fixed size (a few MB).
 Scoring is a map over the scan; nothing is shuffled.
 
 Cases: null and empty texts have no feature and score the bias; a label is toxic if any
 row of its doc_id says so; null labels are ignored; a null doc_id is never held out nor
-labelled; where the labels don't hold both classes, every score is 0; repeated rows are
+labelled; where the labels don't hold both classes, every score is 0; where only the bound
+on words loses one of them, training raises an error; repeated rows train once and are
 scored each for itself; an empty table gives an empty result; :func:`clean_only` carries
 all columns, whatever their names.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import LOWER, Poly, mix, slices, text_bytes, word_spans
@@ -49,7 +53,8 @@ class Settings:
     rate: float = 0.05
     max_toxic: int = 4_000
     max_clean: int = 8_000
-    max_bytes: int = 96 << 20  # of training text on the driver
+    max_text_bytes: int = 1 << 20  # longer labelled texts don't train; every text is scored whole
+    max_words: int = 16_000_000  # of training texts in the task that trains, 16 bytes each
     threshold: float = 0.3
     least_calibration: int = 25  # toxic texts of a language; with fewer the threshold above holds
     seed: int = 3
@@ -110,7 +115,9 @@ class Network:
                 value = np.concatenate([value, np.full((width, each), -1.0, np.float32)])
                 bounds = np.stack([at[some] - width + 1, at[some] + counts[some]], axis=1).reshape(-1)
                 features[some, w * each : (w + 1) * each] = np.maximum(np.maximum.reduceat(value, bounds, axis=0)[::2], 0)
-        return 1 / (1 + np.exp(-np.clip(features @ self.out + self.out_bias, -30, 30).astype(np.float64)))
+        total = (features * self.out).sum(axis=1) + self.out_bias
+        # a product of matrices differs in its last bits with the texts beside a text; its score doesn't
+        return np.round(1 / (1 + np.exp(-np.clip(total, -30, 30).astype(np.float64))), 6)
 
 
 def _fresh(settings: Settings, docs: list[np.ndarray], toxic: np.ndarray) -> Network:
@@ -210,35 +217,74 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, settings: Settings = PRODUCTION) -> Network | None:
-    """None where there aren't labelled texts of both classes outside the held-out fold."""
+def labelled(docs: DataFrame, labels: DataFrame, settings: Settings = PRODUCTION) -> DataFrame:
+    """The texts that training may see, each different one of a doc_id once: doc_id, lang, toxic, turn (a hash), words, buckets.
+
+    At most ``max_toxic`` and ``max_clean`` labelled ids, in the order of a hash, without texts of over
+    ``max_text_bytes``.  Words are hashed where the texts are; only bucket numbers travel.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    order = F.md5(F.col("doc_id").cast("string").cast("binary"))
-    taken = known.where("toxic = 1").orderBy(order).limit(settings.max_toxic).union(known.where("toxic = 0").orderBy(order).limit(settings.max_clean))
-    taken = F.broadcast(taken)  # bounded by the settings
+    turn = F.md5(F.col("doc_id").cast("string").cast("binary"))
     text = F.coalesce("text", F.lit(""))
-    sizes = docs.select("doc_id", F.octet_length(text).alias("size")).join(taken, "doc_id").groupBy("doc_id").agg(F.sum("size").alias("size"))
-    upto = F.sum("size").over(Window.orderBy(order, "doc_id"))  # one row per text taken
-    fitting = sizes.withColumn("upto", upto).where(F.col("upto") <= settings.max_bytes).select("doc_id")
-    rows = docs.select("doc_id", "lang", text.alias("text")).join(taken, "doc_id").join(F.broadcast(fitting), "doc_id", "left_semi")
-    table = rows.select("doc_id", "lang", "text", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    toxic = table["toxic"].to_numpy()
-    if len(set(toxic.tolist())) < 2:
-        return None
-    words, texts = Words(settings), []
-    data, offsets = text_bytes(table["text"])
-    for lo, hi in slices(offsets):
-        buckets, first = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-        texts += [buckets[first[k] : first[k + 1]].astype(np.int32) for k in range(hi - lo)]
+    short = docs.where(F.octet_length(text) <= settings.max_text_bytes)
+    known = known.join(short.select("doc_id"), "doc_id", "left_semi")
+    taken = known.where("toxic = 1").orderBy(turn).limit(settings.max_toxic).union(known.where("toxic = 0").orderBy(turn).limit(settings.max_clean))
+    rows = short.select("doc_id", "lang", text.alias("text")).join(F.broadcast(taken), "doc_id")  # bounded by the settings
+    schema = "doc_id bigint, lang string, toxic int, turn string, text_hash bigint, words bigint, buckets binary"
+
+    def hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(settings)
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(5))
+            for lo, hi in slices(offsets):
+                buckets, first = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                packed = [buckets[first[k] : first[k + 1]].astype(np.int32).tobytes() for k in range(hi - lo)]
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(np.diff(first)), pa.array(packed, pa.binary())], ["doc_id", "lang", "toxic", "turn", "text_hash", "words", "buckets"])
+
+    return rows.select("doc_id", "lang", "toxic", turn.alias("turn"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(hash_words, schema).dropDuplicates(["doc_id", "text_hash", "words"])
+
+
+def train(docs: DataFrame, labels: DataFrame, settings: Settings = PRODUCTION) -> Network | None:
+    """None where there aren't labelled texts of both classes outside the held-out fold.
+
+    One task of an executor trains, over bounded rows; the driver sees the finished weights alone.
+    """
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[int, str | None, np.ndarray]] = []
+        total, seen = 0, {0: 0, 1: 0}
+        for batch in batches:  # in the order of the hash; a text that doesn't fit any more is passed over
+            for lang, toxic, words, buckets in zip(*(batch.column(k) for k in range(4)), strict=True):
+                seen[toxic.as_py()] += 1
+                if total + words.as_py() <= settings.max_words:
+                    total += words.as_py()
+                    rows.append((toxic.as_py(), lang.as_py(), np.frombuffer(buckets.as_py(), np.int32).reshape(-1, 1 + len(STEMS))))
+        fitting = {toxic for toxic, _, _ in rows}
+        if fitting != {y for y, n in seen.items() if n}:
+            raise ValueError("max_words leaves no training text of one class")
+        if len(fitting) == 2:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_trained(settings, rows))], pa.binary())], ["network"])
+
+    known = labelled(docs, labels, settings).repartition(1).sortWithinPartitions("turn", "doc_id", "text_hash")
+    made = known.select("lang", "toxic", "words", "buckets").mapInArrow(learn, "network binary").collect()
+    return pickle.loads(made[0]["network"]) if made else None
+
+
+def _trained(settings: Settings, rows: list[tuple[int, str | None, np.ndarray]]) -> Network:
+    """Trains and calibrates on (toxic, lang, bucket numbers)."""
+    toxic = np.array([y for y, _, _ in rows])
     # every fifth text of a class calibrates, the others train
     turn = np.zeros(len(toxic), np.int64)
     for y in (0, 1):
         turn[toxic == y] = np.random.default_rng(settings.seed + y).permutation(int((toxic == y).sum()))
     learn = turn % 5 > 0
-    net = fit(settings, [t for t, on in zip(texts, learn, strict=True) if on], toxic[learn].astype(np.float64))
+    if len(set(toxic[learn].tolist())) < 2:
+        learn[:] = True
+    net = fit(settings, [buckets for (_, _, buckets), on in zip(rows, learn, strict=True) if on], toxic[learn].astype(np.float64))
     check = np.flatnonzero(~learn)
-    scores = np.concatenate([net._scores(texts[k].astype(np.int64), np.array([0, len(texts[k])])) for k in check]) if len(check) else np.zeros(0)
-    net.thresholds = calibrate(scores, toxic[check], [table["lang"][int(k)].as_py() for k in check], settings)
+    scores = np.concatenate([net._scores(rows[k][2].astype(np.int64), np.array([0, len(rows[k][2])])) for k in check]) if len(check) else np.zeros(0)
+    net.thresholds = calibrate(scores, toxic[check], [rows[k][1] for k in check], settings)
     return net
 
 

@@ -72,10 +72,44 @@ def test_training_text_is_bounded(spark):
     from dataclasses import replace
 
     rows, labels = corpus(300)
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame(rows, schema)
     frame = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
-    assert X.train(docs, frame, replace(X.PRODUCTION, max_bytes=20_000)) is not None
-    assert X.train(docs, frame, replace(X.PRODUCTION, max_bytes=10)) is None
+    assert X.train(docs, frame, replace(X.PRODUCTION, max_words=5_000)) is not None
+    with pytest.raises(Exception, match="max_words leaves no training text of one class"):
+        X.train(docs, frame, replace(X.PRODUCTION, max_words=4))
+    # one huge labelled text and one id in very many rows keep no other text from training
+    settings = replace(X.PRODUCTION, max_text_bytes=10_000)
+    huge = spark.createDataFrame([(301, "zzvile " * 100_000, "en", "s", 1), *[(0, rows[0][1], None, "s", 1)] * 50], schema)
+    more = spark.createDataFrame([*labels, (301, 1, 1)], "doc_id bigint, quality int, toxic int")
+    known = X.labelled(docs.union(huge), more, settings)
+    assert known.where("doc_id = 301").count() == 0 and known.where("doc_id = 0").count() == 1
+    assert X.train(docs.union(huge), more, settings) is not None
+
+
+def plain_score(net, text):
+    """The network over one whole text, word by word."""
+    words, bucket = [], X.Words(net.settings)
+    for part in "".join(c if c.isalnum() or not c.isascii() else " " for c in text).split(" "):
+        if part:
+            row, _ = bucket(np.frombuffer(part.encode(), np.uint8), np.array([0, len(part.encode())]))
+            words.append(net.embedding[row[0]].sum(axis=0))
+    total = net.out_bias
+    for w, (weights, bias) in enumerate(zip(net.filters, net.bias, strict=True)):
+        width = len(weights)
+        empty = [np.zeros(net.settings.size)] * (width - 1)
+        padded = [*empty, *words, *empty]
+        for f in range(net.settings.filters):
+            best = max((sum(padded[at + j] @ weights[j][:, f] for j in range(width)) + bias[f] for at in range(len(padded) - width + 1)), default=0.0)
+            total += max(best, 0.0) * net.out[w * net.settings.filters + f] * bool(words)
+    return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+
+
+def test_scores_against_a_plain_network(spark, trained, make):
+    _, _, net = trained
+    texts = ["", "zzvile", "One two, zzvileish! x", "é ö zz\tvile\n0", *[r[1] for r in corpus(12, 8)[0]]]
+    got = {r["doc_id"]: r["score"] for r in X.scored(make(list(enumerate(texts))), net).collect()}
+    assert np.allclose([got[k] for k in range(len(texts))], [plain_score(net, t) for t in texts], atol=1e-5)
 
 
 def test_without_labels(spark, make):
