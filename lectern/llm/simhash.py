@@ -11,24 +11,28 @@ Hamming check.
 
 :data:`EXACT` (64 bits, budget 2, seven segments) loses no link.  :data:`SIMILAR` finds
 texts with a similarity of 0.8 or more on five-word shingles: there such a pair differs
-in about 15 % of the bits, more than any selective key can guarantee, so the key is an
-exact run of bits at many places; its length follows the number of documents so that
+in about 15 % of the bits (``expected``), more than any selective key can guarantee, so the key
+is an exact run of bits at many places; its length follows the number of documents so that
 chance candidates stay in proportion to it.  Places are disjoint runs of one order of the 256
 bits after another, and their number follows from the probability that one of them is
-without a difference, so the recall asked for among pairs within the budget holds at every
-size.  The rest is the same.
-
-Scale: equal fingerprints are one before anything is joined, so thousands of copies are
-one row.  Candidates are found by sorting (place, key) groups; a task links a group in
-place and emits at most one link per member, never its pairs.  Groups of over ``DENSE``
-different 64-bit fingerprints go another exact way: two fingerprints differ in at most two
-bits just when both are within one bit of some value, so each emits its 65 values and
-those that share one (65 at most) are linked.  Components are found by joins.
+without a difference, so the recall asked for holds at every size.  The budget leaves room for
+how a similarity of 0.8 scatters in 256 bits; what the chains and the Hamming check let
+through is a candidate, and is linked only if the texts' shingle sets themselves have a
+similarity of 0.8 or more.
+
+Scale: equal texts (equal fingerprints for :data:`EXACT`) are one before anything is joined, so
+thousands of copies are one row.  Keys travel as packed columns, one array per task and
+partition.  Candidates are groups of equal (place, key); a task links a group in
+place and emits the edges of a tree over it, shortest first, never its pairs.  Groups of over
+``DENSE`` different 64-bit fingerprints go another exact way: two fingerprints differ in at most
+two bits just when both are within one bit of some value, so each emits its 65 values and
+those that share one (65 at most) are linked.  Texts travel compressed to the check of
+similarities, and only those in an edge.  Components are found by joins.
 
 Cases: null text counts as empty; texts without words have fingerprint zero and are
-linked like any other; a null doc_id never names a component unless all its
+linked like any other, and are alike; a null doc_id never names a component unless all its
 documents' ids are null; repeated rows keep their number; an empty table gives an empty
-result; other columns are ignored.
+result; other columns are ignored, and carried by :func:`one_of_each`, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,12 +44,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import components, cut, group_starts, mix, shuffle_partitions, whole_groups
+from lectern.llm.common import LOWER, Poly, components, cut, group_starts, mix, shuffle_partitions, text_bytes, word_hashes
+from lectern.llm.suffix_dedup import TEXT, _text_key, distinct_texts
 
 DENSE = 4_096
+SMALL = 48  # members of groups whose pairs are all compared at once
+PAIRS = 1 << 20  # compared at once
+SPREAD = 1 << 19  # keys packed together
 
 
 @dataclass(frozen=True)
@@ -54,7 +63,9 @@ class Scheme:
     words: int  # 64-bit words of a fingerprint
     budget: int  # differing bits
     segments: int = 7
-    recall: float = 1.0  # below 1: keys are runs of bits at as many places as this needs
+    recall: float = 1.0  # below 1: keys are runs of bits at as many places as this needs ..
+    expected: int = 0  # .. for this many differing bits
+    similarity: float = 0.0  # of the shingle sets, which decides on candidates
 
     @property
     def bits(self) -> int:
@@ -63,7 +74,8 @@ class Scheme:
 
 EXACT = Scheme(shingle=3, words=1, budget=2)
 #: A similarity of 0.8 is a cosine of 8/9 of the shingle sets, an angle of 0.1516 half turns.
-SIMILAR = Scheme(shingle=5, words=4, budget=39, recall=0.97)
+#: 39 of 256 bits then, with a deviation of 5.7; the budget holds all but one pair in 80.
+SIMILAR = Scheme(shingle=5, words=4, budget=52, recall=0.97, expected=39, similarity=0.8)
 
 
 def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
@@ -94,8 +106,8 @@ def fingerprint(text: str | None, scheme: Scheme = EXACT) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, scheme: Scheme = EXACT, with_text_hash: bool = False) -> DataFrame:
-    """doc_id, f0 .. (bigint words of the fingerprint), and if asked text_hash."""
+def fingerprints(docs: DataFrame, scheme: Scheme = EXACT, keyed: bool = False) -> DataFrame:
+    """doc_id, f0 .. (bigint words of the fingerprint), and if asked the key th, tk of the text."""
     names = [f"f{k}" for k in range(scheme.words)]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,9 +115,8 @@ def fingerprints(docs: DataFrame, scheme: Scheme = EXACT, with_text_hash: bool =
             prints = np.array([fingerprint(t.as_py(), scheme) for t in batch.column(1)], np.uint64).reshape(-1, scheme.words)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(prints[:, k].copy().view(np.int64)) for k in range(scheme.words)], *batch.columns[2:]], ["doc_id", *names, *more])
 
-    more = ["text_hash"] if with_text_hash else []
-    hashed = [F.xxhash64("text").alias(n) for n in more]
-    return docs.select("doc_id", "text", *hashed).mapInArrow(make, ", ".join(f"{n} bigint" for n in ("doc_id", *names, *more)))
+    more = TEXT if keyed else []
+    return docs.select("doc_id", "text", *(_text_key(F.col("text")) if keyed else [])).mapInArrow(make, ", ".join(f"{n} bigint" for n in ("doc_id", *names, *more)))
 
 
 def ring_bounds(bits: int, segments: int) -> list[int]:
@@ -126,8 +137,8 @@ def _signed(value: int) -> int:
 
 
 def runs_missed(scheme: Scheme, length: int, runs: int) -> float:
-    """The probability that each of so many disjoint runs has a difference, when the whole budget differs."""
-    bits, budget = scheme.bits, scheme.budget
+    """The probability that each of so many disjoint runs has a difference, when as many bits differ as expected."""
+    bits, budget = scheme.bits, scheme.expected
     return sum((-1) ** k * math.comb(runs, k) * math.comb(bits - k * length, budget) for k in range(runs + 1)) / math.comb(bits, budget)
 
 
@@ -165,8 +176,9 @@ class Places:
                 ring = lambda at, k, order=order: sum(1 << order[(at + i) % bits] for i in range(k))
                 self.masks += [[ring(s, length)] for s in starts[:runs]]
                 self.chains += [[(ring(s + length, 64), int(loose))] for s in starts[:runs]]
-        self.words = scheme.words
-        self.budget = scheme.budget
+        self.words, self.budget = scheme.words, scheme.budget
+        self._most = [most for _, most in self.chains[0]]
+        self._chain_masks = [np.stack([self._split(chain[k][0]) for chain in self.chains]) for k in range(len(self._most))]
 
     def _split(self, mask: int) -> np.ndarray:
         return np.array([mask >> 64 * k & (2**64 - 1) for k in range(self.words)], np.uint64)
@@ -182,87 +194,134 @@ class Places:
             out[:, p] = key
         return out
 
-    def linked(self, place: int, one: np.ndarray, others: np.ndarray) -> np.ndarray:
-        """Which of ``others`` are linked to ``one``: chain by chain, then all bits."""
-        differing = others ^ one
-        alive = np.arange(len(others))
-        for mask, most in [*self.chains[place], ((1 << 64 * self.words) - 1, self.budget)]:
-            parts = self._split(mask)
-            count = np.zeros(len(alive), np.int64)
-            for k, part in enumerate(parts):
-                if part:
-                    count += np.bitwise_count(differing[alive, k] & part)
+    def close(self, place: np.ndarray, differing: np.ndarray, budget: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs pass, and their distances: chain by chain, then all bits.  ``place``: of each pair."""
+        alive = np.arange(len(differing))
+        for masks, most in zip(self._chain_masks, self._most, strict=True):
+            count = np.bitwise_count(differing[alive] & masks[place[alive]]).sum(axis=1, dtype=np.int64)
             alive = alive[count <= most]
-        return alive
+        distance = np.bitwise_count(differing[alive]).sum(axis=1, dtype=np.int64)
+        within = distance <= (self.budget if budget is None else budget)
+        return alive[within], distance[within]
+
+    def linked(self, place: int, one: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Which of ``others`` are within the budget of ``one``."""
+        return self.close(np.full(len(others), place), others ^ one)[0]
+
+
+def tree(ids: np.ndarray, group: np.ndarray, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> list[tuple[int, int]]:
+    """The edges of the shortest spanning trees of some groups; a and b are places in ``ids``."""
+    order = np.lexsort((distance, group))
+    parent: dict[int, int] = {}
+    out = []
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
+        p, q = root(x), root(y)
+        if p != q:
+            parent[q] = p
+            out.append((int(ids[x]), int(ids[y])))
+    return out
 
 
-def link_group(places: Places, place: int, ids: np.ndarray, prints: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect a group as all its links would, at most one per member.
+def link_group(places: Places, place: int, ids: np.ndarray, prints: np.ndarray, budgets: list[int]) -> list[tuple[int, int]]:
+    """Edges that connect a large group as all its links would, at most one per member, near ones first.
 
-    A member is compared with all others as long as one outside the largest component has
-    not had its turn; so a link between two components is always seen from one side.
+    For each of the growing ``budgets``, a member is compared with all others as long as one outside
+    the largest component has not had its turn; so a link between two components is always
+    seen from one side.
     """
-    label, links = np.arange(len(ids)), []
-    waiting = np.ones(len(ids), bool)
-    while True:
-        largest = np.bincount(label).argmax()
-        turn = np.flatnonzero(waiting & (label != largest))
-        if not len(turn):
-            return links
-        one = int(turn[0])
-        waiting[one] = False
-        for other in places.linked(place, prints[one], prints):
-            if label[other] != label[one]:
-                links.append((int(ids[one]), int(ids[other])))
-                label[label == label[other]] = label[one]
+    label, edges = np.arange(len(ids)), []
+    for budget in budgets:
+        waiting = np.ones(len(ids), bool)
+        while True:
+            largest = np.bincount(label).argmax()
+            turn = np.flatnonzero(waiting & (label != largest))
+            if not len(turn):
+                break
+            one = int(turn[0])
+            waiting[one] = False
+            others, distance = places.close(np.full(len(ids), place), prints ^ prints[one], budget)
+            for other in others[np.argsort(distance, kind="stable")]:
+                if label[other] != label[one]:
+                    edges.append((int(ids[one]), int(ids[other])))
+                    label[label == label[other]] = label[one]
+    return edges
 
 
 def links(distinct: DataFrame, scheme: Scheme, n: int) -> DataFrame:
-    """Edges (a, b) between ids of different fingerprints (id, f0 ..) that connect what is to be linked."""
+    """Edges (a, b) between ids of different rows (id, f0 ..) that connect what is within the budget."""
     names = [f"f{k}" for k in range(scheme.words)]
-    places = Places(scheme, n)
+    places, partitions, words = Places(scheme, n), shuffle_partitions(distinct.sparkSession), scheme.words
+    n_places = len(places.masks)
+    step = max(1, SPREAD // n_places)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4_096):
-                part = batch.slice(at, 4_096)
-                columns = [c.to_numpy(zero_copy_only=False) for c in part.columns]
+            for at in range(0, batch.num_rows, step):
+                columns = [c.to_numpy(zero_copy_only=False) for c in batch.slice(at, step).columns]
                 prints = np.stack([c.view(np.uint64) for c in columns[1:]], axis=1)
-                keys = places.keys(prints)
-                n_places = keys.shape[1]
-                repeated = [pa.array(np.repeat(c, n_places)) for c in columns]
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(n_places, dtype=np.int32), len(prints))), pa.array(keys.reshape(-1).view(np.int64)), *repeated], ["place", "key", "id", *names])
-
-    keyed = distinct.select("id", *names).mapInArrow(spread, "place int, key bigint, id bigint, " + ", ".join(f"{f} bigint" for f in names))
-    dealt = keyed.repartition(shuffle_partitions(distinct.sparkSession), "place", "key").sortWithinPartitions("place", "key")
+                place = np.tile(np.arange(n_places, dtype=np.uint16), len(prints))
+                key = places.keys(prints).reshape(-1)
+                row = np.repeat(np.arange(len(prints)), n_places)
+                bucket = mix(key + place) % np.uint64(partitions)
+                order = np.argsort(bucket, kind="stable")
+                bounds = np.searchsorted(bucket[order], np.arange(partitions + 1, dtype=np.uint64))
+                packed = []
+                for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                    mine = order[lo:hi]
+                    packed.append(b"".join([key[mine].tobytes(), columns[0][row[mine]].tobytes(), prints[row[mine]].tobytes(), place[mine].tobytes()]))
+                full = np.flatnonzero(np.diff(bounds))
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([packed[k] for k in full], pa.binary())], ["bucket", "packed"])
+
+    dealt = distinct.select("id", *names).mapInArrow(spread, "bucket int, packed binary").repartition(partitions, "bucket").select("packed")
     dense_too = scheme.recall >= 1
+    budgets = [scheme.budget] if dense_too else [scheme.budget * k // 4 for k in (1, 2, 3, 4)]
+    record = 8 * (2 + words) + 2
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+        parts: list[list[np.ndarray]] = [[], [], [], []]
+        for batch in batches:
+            for blob in batch.column(0):
+                data = blob.as_buffer()
+                size, at = len(data) // record, 0
+                for part, kind, each in zip(parts, (np.uint64, np.int64, np.uint64, np.uint16), (1, 1, words, 1), strict=True):
+                    part.append(np.frombuffer(data, kind, size * each, at))
+                    at += part[-1].nbytes
+        key, ids, prints, place = (np.concatenate(p) if p else np.zeros(0, t) for p, t in zip(parts, (np.uint64, np.int64, np.uint64, np.uint16), strict=True))
+        order = np.lexsort((ids, key, place))
+        return [place[order].astype(np.int64), key[order], ids[order], prints.reshape(-1, words)[order]]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["place", "key"]):
-            place, key, ids = (table[c].to_numpy() for c in ("place", "key", "id"))
-            prints = np.stack([table[f].to_numpy().view(np.uint64) for f in names], axis=1)
-            bounds = group_starts(place, key)
-            sizes = np.diff(bounds)
-            found: list[tuple[int, int]] = []
-            dense: list[np.ndarray] = []
-            two = bounds[:-1][sizes == 2]
-            if len(two):  # pairs are most groups: all at once for each place
-                for p in np.unique(place[two]):
-                    at = two[place[two] == p]
-                    alive = places.linked(int(p), prints[at], prints[at + 1])
-                    found += zip(ids[at[alive]].tolist(), ids[at[alive] + 1].tolist(), strict=True)
-            for g in np.flatnonzero(sizes > 2):
-                lo, hi = bounds[g], bounds[g + 1]
-                if dense_too and hi - lo > DENSE:
-                    dense.append(ids[lo:hi])
-                else:
-                    found += link_group(places, int(place[lo]), ids[lo:hi], prints[lo:hi])
-            a, b = np.array(found, np.int64).reshape(-1, 2).T
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-            for members in dense:
-                yield pa.RecordBatch.from_arrays([pa.array(members), pa.nulls(len(members), pa.int64())], ["a", "b"])
-
-    edges = cut(dealt.mapInArrow(join, "a bigint, b bigint"))
+        place, key, ids, prints = unpacked(batches)
+        bounds = group_starts(place, key)
+        sizes = np.diff(bounds)
+        found: list[tuple[int, int]] = []
+        for size in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]):
+            i, j = np.triu_indices(size, 1)
+            starts = bounds[:-1][sizes == size]
+            for at in range(0, len(starts), per := max(1, PAIRS // len(i))):
+                lo = starts[at : at + per, None]
+                a, b = (lo + i).reshape(-1), (lo + j).reshape(-1)
+                alive, distance = places.close(place[a], prints[a] ^ prints[b])
+                found += tree(ids, np.repeat(lo[:, 0], len(i))[alive], a[alive], b[alive], distance)
+        dense = []
+        for g in np.flatnonzero(sizes > SMALL):
+            lo, hi = bounds[g], bounds[g + 1]
+            if dense_too and hi - lo > DENSE:
+                dense.append(ids[lo:hi])
+            else:
+                found += link_group(places, int(place[lo]), ids[lo:hi], prints[lo:hi], budgets)
+        a, b = np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0).T
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        for members in dense:
+            yield pa.RecordBatch.from_arrays([pa.array(members), pa.nulls(len(members), pa.int64())], ["a", "b"])
+
+    edges = cut(dealt.mapInArrow(join, "a bigint, b bigint").distinct())
     near = edges.where("b is not null")
     if not dense_too or not edges.where("b is null").head(1):
         return near
@@ -273,26 +332,68 @@ def links(distinct: DataFrame, scheme: Scheme, n: int) -> DataFrame:
     return near.union(stars)
 
 
-def _rooted(prints: DataFrame, scheme: Scheme) -> DataFrame:
-    """The different fingerprints' words, their first_id (smallest doc_id) and the root of their component."""
-    names = [f"f{k}" for k in range(scheme.words)]
-    distinct = prints.groupBy(*names).agg(F.min("doc_id").alias("first_id"))
-    # numbered by a hash of the fingerprint: different ones share a number with a chance of 2**-64 per pair, but for one word it is the fingerprint
-    number = F.col("f0") if scheme.words == 1 else F.xxhash64(*names)
-    distinct = cut(distinct.withColumn("id", number))
-    n = distinct.count()
-    roots = components(links(distinct, scheme, n))
-    return distinct.join(roots, distinct["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id")).select(*names, "first_id", "root")
+def shingle_set(text: bytes, shingle: int, poly: Poly) -> np.ndarray:
+    """Sorted different hashes of a text's shingles; of its whole row of words if it has fewer."""
+    words, _ = word_hashes(LOWER[np.frombuffer(text, np.uint8)], np.array([0, len(text)]), poly)
+    if not len(words):
+        return words
+    width = min(shingle, len(words))
+    out = np.full(len(words) - width + 1, width, np.uint64)
+    for k in range(width):
+        out = mix(out + words[k : k + len(out)])
+    return np.unique(out)
+
+
+def similar_edges(edges: DataFrame, nodes: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """The ``edges`` whose texts have a similarity of at least the scheme's; ``nodes`` has id and the text's key."""
+    used = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = cut(nodes.select("id", *TEXT).join(used, "id").join(distinct_texts(docs), TEXT).select("id", "z"))
+    pairs = edges.join(texts.select(F.col("id").alias("a"), F.col("z").alias("za")), "a").join(texts.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        poly, open_ = Poly(5), zstandard.ZstdDecompressor()
+        last: tuple[int, np.ndarray] | None = None
+        for batch in batches:
+            keep = []
+            for a, za, zb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if last is None or last[0] != a:
+                    last = a, shingle_set(open_.decompress(za.as_py()), scheme.shingle, poly)
+                one, other = last[1], shingle_set(open_.decompress(zb.as_py()), scheme.shingle, poly)
+                common = len(np.intersect1d(one, other, assume_unique=True))
+                keep.append(common >= scheme.similarity * (len(one) + len(other) - common))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return cut(pairs.select("a", "b", "za", "zb").mapInArrow(check, "a bigint, b bigint"))
 
 
 def grouped(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
     """doc_id, the fingerprint's words and component_id, one row per row of ``docs``."""
     names = [f"f{k}" for k in range(scheme.words)]
-    prints = cut(fingerprints(docs, scheme))
-    rooted = _rooted(prints, scheme)
+    if scheme.similarity:
+        members, rooted, keys = _similar_groups(docs, scheme)
+    else:
+        members, keys = cut(fingerprints(docs, scheme)), names
+        distinct = cut(members.groupBy(*names).agg(F.min("doc_id").alias("first_id")).withColumn("id", F.col("f0")))
+        rooted = _rooted(distinct, links(distinct, scheme, distinct.count()))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    ids = cut(rooted.join(named, "root").select(*names, "component_id"))
-    return prints.join(ids, names)
+    ids = cut(rooted.join(named, "root").select(*keys, "component_id"))
+    return members.join(ids, keys).select("doc_id", *names, "component_id")
+
+
+def _rooted(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """``distinct`` with the root of each row's component."""
+    roots = components(edges)
+    return distinct.join(roots, distinct["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+
+
+def _similar_groups(docs: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The rows' fingerprints and text keys, the different texts with first_id and root, and the key's columns."""
+    members = cut(fingerprints(docs, scheme, keyed=True))
+    names = [f"f{k}" for k in range(scheme.words)]
+    # the numbers are written down with the rows, so they stay as they are
+    distinct = cut(members.groupBy(*TEXT, *names).agg(F.min("doc_id").alias("first_id")).withColumn("id", F.monotonically_increasing_id()))
+    edges = links(distinct, scheme, distinct.count())
+    return members, _rooted(distinct, similar_edges(edges, distinct, docs, scheme)), TEXT
 
 
 def hex_digits(word: Column) -> Column:
@@ -305,15 +406,10 @@ def one_of_each(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
     It is the one with the smallest doc_id, null last, and of these the first by a hash of the text.
     """
     names = docs.columns
-    renamed = docs.toDF(*[f"_doc_{k}" for k in range(len(names))])
-    doc_id, text = (F.col(f"_doc_{names.index(c)}") for c in ("doc_id", "text"))
-    words = [f"f{k}" for k in range(scheme.words)]
-    prints = cut(fingerprints(docs, scheme, with_text_hash=True))
-    members = prints.join(_rooted(prints, scheme).select(*words, "root"), words)
-    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_hash")).alias("first")
-    keep = members.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_keep"), F.col("first.text_hash").alias("_hash"))
-    # equal texts are in one component, so a doc_id and text are kept for one only; of repeated rows one stays
-    renamed = renamed.withColumn("_text_hash", F.xxhash64(text))
-    order = Window.partitionBy(doc_id, "_text_hash").orderBy(F.lit(1))
-    kept = renamed.join(keep, doc_id.eqNullSafe(F.col("_keep")) & (F.col("_text_hash") == F.col("_hash")), "left_semi").withColumn("_rank", F.row_number().over(order)).where("_rank = 1")
-    return kept.drop("_rank", "_text_hash").toDF(*names)
+    _, rooted, _ = _similar_groups(docs, scheme)
+    first = F.min(F.struct(F.isnull("first_id").alias("no_id"), "first_id", *TEXT)).alias("first")
+    keep = rooted.groupBy("root").agg(first).select(F.col("first.first_id").alias("_keep"), *[F.col(f"first.{k}").alias(f"_{k}") for k in TEXT])
+    # the key of a text is in one component, so this leaves one doc_id and text for each; of repeated rows one stays
+    renamed = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"_doc_{k}") for k, c in enumerate(names)]).alias("_row"), F.col("doc_id").alias("_id"), *[c.alias(f"_{k}") for k, c in zip(TEXT, _text_key(F.col("text")), strict=True)])
+    kept = renamed.join(keep, [*[renamed[f"_{k}"] == keep[f"_{k}"] for k in TEXT], renamed["_id"].eqNullSafe(keep["_keep"])], "left_semi")
+    return kept.groupBy(*[f"_{k}" for k in TEXT]).agg(F.first("_row").alias("_row")).select(*[F.col(f"_row._doc_{k}").alias(c) for k, c in enumerate(names)])

@@ -135,11 +135,11 @@ def test_one_of_each_keeps_unrelated_texts_of_one_doc_id(spark, make):
 
 
 @pytest.mark.parametrize("n", [20_000, 300_000, 15_000_000, 1_000_000_000])
-def test_recall_within_the_budget_holds_at_every_size(n):
+def test_recall_at_the_expected_difference_holds_at_every_size(n):
     rng = np.random.default_rng(n)
     places, bits, tries = S.Places(S.SIMILAR, n), S.SIMILAR.bits, 1_000
     flips = np.zeros((tries, bits), np.uint8)
-    flips[np.arange(tries)[:, None], np.argsort(rng.random((tries, bits)), axis=1)[:, : S.SIMILAR.budget]] = 1
+    flips[np.arange(tries)[:, None], np.argsort(rng.random((tries, bits)), axis=1)[:, : S.SIMILAR.expected]] = 1
     ones = rng.integers(0, 2**64, (tries, S.SIMILAR.words), np.uint64)
     others = ones ^ np.packbits(flips, axis=1, bitorder="little").view(np.uint64)
     same = places.keys(ones) == places.keys(others)
@@ -149,3 +149,69 @@ def test_recall_within_the_budget_holds_at_every_size(n):
         if len(at):
             found[at[places.linked(p, ones[at], others[at])]] = True
     assert found.mean() >= 0.95
+
+
+def plain_similar_groups(texts, least=0.8):
+    """Components of all pairs by exact similarity."""
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in texts)]
+    parent, close = list(range(len(texts))), {}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    holders = {}
+    for k, s in enumerate(sets):
+        for shingle in s or {None}:
+            holders.setdefault(shingle, []).append(k)
+    for members in holders.values():
+        for i in members:
+            for j in members:
+                if i < j and (i, j) not in close:
+                    close[i, j] = len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 1.0
+    near = {p: j for p, j in close.items() if j >= least}
+    for i, j in near:
+        parent[root(j)] = root(i)
+    return [root(k) for k in range(len(texts))], near
+
+
+def test_recall_and_precision_on_given_documents(spark):
+    docs = [d for d in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    wanted, near = plain_similar_groups([d["text"] for d in docs])
+    got = {r["doc_id"]: r["component_id"] for r in S.grouped(spark.createDataFrame(docs), S.SIMILAR).collect()}
+    ids = [d["doc_id"] for d in docs]
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.01)):
+        band = [p for p, j in near.items() if low <= j < high]
+        assert sum(got[ids[i]] == got[ids[j]] for i, j in band) >= 0.9 * len(band)
+    by = {}
+    for k, d in enumerate(ids):
+        by.setdefault(got[d], set()).add(wanted[k])
+    assert all(len(roots) == 1 for roots in by.values())  # nothing is grouped that exact similarity does not link
+
+
+def test_pairs_at_the_limit(spark, make):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows, near, far = [], [], []
+    while min(len(near), len(far)) < 120:
+        base = [word() for _ in range(400)]
+        other = list(base)
+        for at in rng.sample(range(400), rng.randrange(6, 14)):
+            other[at] = word()
+        j, k = jaccard(" ".join(base), " ".join(other)), len(rows)
+        if 0.7 <= j < 0.85:
+            rows += [(k, " ".join(base)), (k + 1, " ".join(other))]
+            (near if j >= 0.8 else far).append(k)
+    got = {r["doc_id"]: r["component_id"] for r in S.grouped(make(rows), S.SIMILAR).collect()}
+    assert sum(got[k] == got[k + 1] for k in near) >= 0.9 * len(near)
+    assert not any(got[k] == got[k + 1] for k in far)
+
+
+def test_large_groups_are_trees(spark, make):
+    rng = random.Random(22)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = [(k, " ".join([*base[:199], f"end{k}"])) for k in range(300)]
+    frame = S.grouped(make(rows), S.SIMILAR)
+    assert {r["component_id"] for r in frame.collect()} == {0}
+    assert [r["doc_id"] for r in S.one_of_each(make(rows)).collect()] == [0]
