@@ -7,6 +7,7 @@ over the whole buffer and not loops over Python strings.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,10 +150,24 @@ class Poly:
         return (prefix[k:] - prefix[:n]) * self.down[:n]
 
 
+#: Polynomials modulo 2**64 tell apart what is no longer than this; longer strings can be built to collide.
+LONG = 128
+
+
+def told_apart(hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``hashes`` of data[start:end] with those of long strings replaced by digests."""
+    long = np.flatnonzero(ends - starts > LONG)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(data))
+        made = b"".join([hashlib.blake2b(view[a:b], digest_size=8).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)])
+        hashes[long] = np.frombuffer(made, np.uint64)
+    return hashes
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, poly: Poly) -> tuple[np.ndarray, np.ndarray]:
     """A mixed 64-bit hash of each word, and the first word of each document (len+1)."""
     starts, ends, first = word_spans(data, offsets)
-    return mix(poly.spans(poly.prefix(data), starts, ends)), first
+    return told_apart(mix(poly.spans(poly.prefix(data), starts, ends)), data, starts, ends), first
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

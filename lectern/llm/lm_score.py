@@ -6,21 +6,17 @@ to the next shorter one at a factor of ``backoff``; a single word's score is its
 all words.  The first words of a document use the context there is.  A document's score
 is the sum of the logarithms.
 
-Relationally: documents are exploded into n-grams (64-bit hashes), counted per block of
-documents, and the counts dealt out by hash to the partitions of the count table; each
-partition sums its n-grams over all blocks and joins the totals back to the blocks that
-asked; each block sums the logarithms per document.
-
-Scale: all n-grams of all documents are counted; those below ``min_count`` (2 in the model of the
-SQL, 1 in :data:`TRIGRAM`) score as unseen.  A block sends an n-gram
-once however often it has it, so a very common one costs a row per block.  Both
-directions travel as arrays of one range of hashes per block and partition, in byte
-planes that compress.  Blocks hold ``block_bytes`` of text and partitions of the table as
-many hashes as a block sends, so tasks don't grow with the corpus.  The number of arrays
-grows with the square of the number of blocks; beyond ``ARRAY_BLOCKS`` blocks, where arrays
-would be short, n-grams travel as rows of a table instead, with an aggregate and a join
-that Spark plans.  Texts are shuffled once, into blocks; that exchange serves both
-counting and scoring.  Very long texts are one block and are scored whole.
+Relationally: documents are exploded into n-grams (64-bit hashes), one row per block of
+documents and n-gram with its count there; the count table is their aggregate by hash; it is
+joined back to the rows, and each block sums the logarithms per document.
+
+Scale: one plan at every size.  All n-grams of all documents are counted.  A block sends an
+n-gram once however often it has it, so a very common one costs a row per block.  The rows are
+dealt out by hash once, for the aggregate and the join.  An n-gram that one block alone has
+needs no answer: its count there is its total.  Blocks hold ``block_bytes`` of text, so tasks
+don't grow with the corpus.  Texts travel once, compressed, into blocks; that exchange serves both
+counting and scoring.  Equal rows of a batch travel as one, and those of different batches go to
+different blocks.  A very long text is one block and is scored whole.
 
 Cases: words are ``[^\\x20\\x09-\\x0D]+`` as written; a null text counts as empty; texts
 without words score 0 and have no mean; repeated rows count and score each for
@@ -30,49 +26,41 @@ itself; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Poly, mix, slices, text_bytes, word_hashes
+from lectern.llm.common import Poly, mix, shuffle_partitions, slices, text_bytes, word_hashes
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: An array then holds at least some hundred hashes of the default block.
-ARRAY_BLOCKS = 2_000
 
 
 @dataclass(frozen=True)
 class Model:
     order: int = 2
-    min_count: int = 2
+    min_count: int = 1
     backoff: float = 0.4
     block_bytes: int = 4 << 20
 
 
 #: The model of the SQL.
 PRODUCTION = Model()
-#: Contexts of two words, and every n-gram counts however rare.
-TRIGRAM = Model(order=3, min_count=1)
-
-
-def planes(values: np.ndarray) -> bytes:
-    """Eight-byte values as byte planes."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).reshape(-1).view(np.int64)
+#: Contexts of two words.
+TRIGRAM = Model(order=3)
 
 
 class Grams:
-    """Hashes of the n-grams that end at each word of some texts."""
+    """Hashes of the n-grams that end at each word of some compressed texts."""
 
-    def __init__(self, texts: pa.ChunkedArray, order: int):
-        data, offsets = text_bytes(texts)
+    def __init__(self, packed: pa.ChunkedArray, order: int):
+        open_ = zstandard.ZstdDecompressor()
+        texts = [open_.decompress(z.as_py()) for z in packed]
+        data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
         poly = Poly(4)
         parts, counts = [], []
         for lo, hi in slices(offsets):
@@ -95,9 +83,26 @@ class Grams:
         return self.hashes[n - 1][self.ends[n - 1]]
 
 
-def _bucket_edges(n_buckets: int) -> np.ndarray:
-    """Bounds of equal ranges of the hashes, without the last."""
-    return np.array([(k << 64) // n_buckets for k in range(n_buckets)], np.uint64)
+def blocks_of(docs: DataFrame, n_blocks: int) -> DataFrame:
+    """block, doc_id, n_same, z: the texts, compressed; equal rows of a batch are one."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            ids, data = batch.column(0).to_pylist(), batch.column(1)
+            keys = np.stack([batch.column(k).to_numpy() for k in (2, 3)], axis=1).view(np.uint64)
+            salt = keys.sum(dtype=np.uint64)  # of the batch: equal rows of different batches part
+            same: dict[tuple, list[int]] = {}
+            for k, key in enumerate(map(tuple, keys.tolist())):
+                same.setdefault((ids[k], key), []).append(k)
+            rows = [members[0] for members in same.values()]
+            block = (mix(keys[rows, 0] + mix(keys[rows, 1] + salt)) % np.uint64(n_blocks)).astype(np.int32)
+            packed = [press.compress((data[k].as_py() or "").encode()) for k in rows]
+            columns = [pa.array(block), batch.column(0).take(pa.array(rows, pa.int64())), pa.array([len(m) for m in same.values()], pa.int64()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "doc_id", "n_same", "z"])
+
+    whole = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", whole), F.xxhash64(F.lit(7), whole)).mapInArrow(deal, "block int, doc_id bigint, n_same bigint, z binary")
 
 
 def score(docs: DataFrame, model: Model = PRODUCTION) -> DataFrame:
@@ -107,86 +112,57 @@ def score(docs: DataFrame, model: Model = PRODUCTION) -> DataFrame:
     n_blocks = max(1, -(-(whole["bytes"] or 0) // model.block_bytes))
     all_words, order, min_count = whole["words"] or 0, model.order, model.min_count
     back = math.log(model.backoff)
-    blocks = docs.select("doc_id", text.alias("text"), F.pmod(F.xxhash64("doc_id", text), F.lit(n_blocks)).cast("int").alias("block"))
+    blocks = blocks_of(docs, n_blocks)
 
-    def count(table: pa.Table) -> pa.Table:
-        grams, edges = Grams(table["text"], order), _bucket_edges(n_blocks)
-        rows: list[tuple] = []
-        for n in range(1, order + 1):
-            hashes, counts = np.unique(grams.of(n), return_counts=True)
-            at = np.append(np.searchsorted(hashes, edges), len(hashes))
-            rows += [(k, table["block"][0].as_py(), n, planes(hashes[at[k] : at[k + 1]]), planes(counts[at[k] : at[k + 1]].astype(np.int64))) for k in range(n_blocks) if at[k + 1] > at[k]]
-        columns = list(zip(*rows, strict=True)) or [[]] * 5
-        types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table({c: pa.array(v, t) for c, v, t in zip(("bucket", "block", "n", "hashes", "counts"), columns, types, strict=True)})
-
-    def total(table: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+    def asked_by(table: pa.Table) -> tuple[Grams, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """A block's n-grams and for each order the different hashes, where each n-gram is among them, and their counts."""
+        grams, out = Grams(table["z"], order), []
+        times = np.repeat(table["n_same"].to_numpy(), grams.n_words)
         for n in range(1, order + 1):
-            part = table.filter(pc.equal(table["n"], n))
-            if not part.num_rows:
-                continue
-            hashes = [from_planes(x.as_py()).view(np.uint64) for x in part["hashes"]]
-            counts = np.concatenate([from_planes(x.as_py()) for x in part["counts"]])
-            _, where = np.unique(np.concatenate(hashes), return_inverse=True)
-            sums = np.bincount(where, weights=counts).astype(np.int64)
-            if n > 1:
-                sums[sums < min_count] = 0
-            bounds = np.cumsum([len(h) for h in hashes])[:-1]
-            out += [(b, n, k, planes(t)) for b, k, t in zip(part["block"].to_pylist(), part["bucket"].to_pylist(), np.split(sums[where], bounds), strict=True)]
-        columns = list(zip(*out, strict=True)) or [[]] * 4
-        types = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
-        return pa.table({c: pa.array(v, t) for c, v, t in zip(("block", "n", "bucket", "totals"), columns, types, strict=True)})
-
-    def count_rows(table: pa.Table) -> pa.Table:
-        grams, parts = Grams(table["text"], order), []
-        for n in range(1, order + 1):
-            hashes, counts = np.unique(grams.of(n), return_counts=True)
-            size = len(hashes)
-            parts.append(pa.table({"block": pa.array(np.full(size, table["block"][0].as_py(), np.int32)), "n": pa.array(np.full(size, n, np.int32)), "hash": pa.array(hashes.view(np.int64)), "count": pa.array(counts.astype(np.int64))}))
-        return pa.concat_tables(parts)
-
-    def totals_of(answers: pa.Table, n: int) -> np.ndarray:
-        """The totals of a block's n-grams in the order of their hashes."""
-        mine = answers.filter(pc.equal(answers["n"], n))
-        if "totals" in mine.column_names:
-            parts = [from_planes(x.as_py()) for x in mine.sort_by("bucket")["totals"]]
-            return np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        return mine["total"].to_numpy()[np.argsort(mine["hash"].to_numpy().view(np.uint64), kind="stable")]
+            hashes, where = np.unique(grams.of(n), return_inverse=True)
+            out.append((hashes, where, np.bincount(where, weights=times[grams.ends[n - 1]], minlength=len(hashes)).astype(np.int64)))
+        return grams, out
+
+    def count(table: pa.Table) -> pa.Table:
+        _, asked = asked_by(table)
+        hashes, counts = np.concatenate([h for h, _, _ in asked]), np.concatenate([c for _, _, c in asked])
+        return pa.table({"block": pa.array(np.full(len(hashes), table["block"][0].as_py(), np.int32)), "hash": pa.array(hashes.view(np.int64)), "n": pa.array(counts)})
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
-        grams = Grams(table["text"], order)
+        grams, asked = asked_by(table)
+        told, total = answers["hash"].to_numpy().view(np.uint64), answers["total"].to_numpy()
+        rising = np.argsort(told)
+        told, total = told[rising], total[rising]
         n_words = len(grams.hashes[0])
         logs = context = np.zeros(n_words)
-        for n in range(1, order + 1):
-            _, where = np.unique(grams.of(n), return_inverse=True)
-            counts = np.zeros(n_words)
-            if len(where):
-                counts[grams.ends[n - 1]] = totals_of(answers, n)[where]
+        for n, (hashes, where, counts) in enumerate(asked, 1):
+            at = np.minimum(np.searchsorted(told, hashes), max(len(told) - 1, 0))
+            if len(told):
+                counts = np.where(told[at] == hashes, total[at], counts)
+            if n > 1:
+                counts = np.where(counts >= min_count, counts, 0)
+            here = np.zeros(n_words)
+            here[grams.ends[n - 1]] = counts[where]
             if n == 1:
-                logs = np.log(counts / max(all_words, 1), where=counts > 0, out=np.zeros(n_words))
+                logs = np.log(here / max(all_words, 1), where=here > 0, out=np.zeros(n_words))
             else:
-                found = np.flatnonzero(counts)
+                found = np.flatnonzero(here)
                 lower = logs.copy()
                 lower[grams.ends[n - 1]] += back
-                lower[found] = np.log(counts[found] / context[found - 1])
+                lower[found] = np.log(here[found] / context[found - 1])
                 logs = lower
-            context = counts
+            context = here
         sums = np.zeros(len(grams.n_words))
         some = np.flatnonzero(grams.n_words)
         if len(some):
             sums[some] = np.add.reduceat(logs, grams.first[some])
-        return pa.table({"doc_id": table["doc_id"], "n_words": pa.array(grams.n_words, pa.int64()), "log_score": pa.array(sums)})
-
-    if n_blocks > ARRAY_BLOCKS:
-        asked = blocks.groupBy("block").applyInArrow(count_rows, "block int, n int, hash bigint, count bigint")
-        sums = asked.groupBy("n", "hash").agg(F.sum("count").alias("sum"))
-        kept = F.when((F.col("n") == 1) | (F.col("sum") >= min_count), F.col("sum")).otherwise(0)
-        answers = asked.join(sums.select("n", "hash", kept.alias("total")), ["n", "hash"]).select("block", "n", "hash", "total")
-    else:
-        asked = blocks.groupBy("block").applyInArrow(count, "bucket int, block int, n int, hashes binary, counts binary")
-        answers = asked.groupBy("bucket").applyInArrow(total, "block int, n int, bucket int, totals binary")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, "doc_id bigint, n_words bigint, log_score double")
+        return pa.table({"doc_id": table["doc_id"], "n_same": table["n_same"], "n_words": pa.array(grams.n_words, pa.int64()), "log_score": pa.array(sums)})
+
+    asked = blocks.groupBy("block").applyInArrow(count, "block int, hash bigint, n bigint").repartition(shuffle_partitions(docs.sparkSession), "hash")
+    table = asked.groupBy("hash").agg(F.sum("n").alias("total"), F.count("*").alias("blocks")).where("blocks > 1").select("hash", "total")
+    answers = asked.select("block", "hash").join(table.hint("shuffle_hash"), "hash").select("block", "hash", "total")
+    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, "doc_id bigint, n_same bigint, n_words bigint, log_score double")
+    return scored.select("doc_id", F.explode(F.sequence(F.lit(1).cast("bigint"), "n_same")), "n_words", "log_score").drop("col")
 
 
 def score_sql(model: Model = PRODUCTION) -> str:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Poly, cut, mix, slices, text_bytes, word_spans
+from lectern.llm.common import Poly, cut, mix, slices, text_bytes, told_apart, word_spans
 
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 COVERAGE, STEPS, MIN_GROUP = 0.75, 4, 50
@@ -82,7 +82,7 @@ class Statistics:
         n_docs, n_words = len(offsets) - 1, np.diff(first)
         prefix = self._poly.prefix(data)
         visible = ((data & 0xC0) != 0x80) & ~np.isin(data, [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
-        return [n_words, _sums(visible, offsets), _sums(_SYMBOL[data], offsets), *self._lines(data, offsets, starts, prefix), self._repeats(prefix, starts, ends, first, n_docs)]
+        return [n_words, _sums(visible, offsets), _sums(_SYMBOL[data], offsets), *self._lines(data, offsets, starts, prefix), self._repeats(data, prefix, starts, ends, first, n_docs)]
 
     def _lines(self, data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         breaks = np.flatnonzero(data == 0x0A)
@@ -95,18 +95,18 @@ class Statistics:
         tails = np.where(last, offsets[docs + 1], np.append(heads[1:], 0) - 1)
         wordy = np.searchsorted(starts, tails) > np.searchsorted(starts, heads)
         heads, tails, docs = heads[wordy], tails[wordy], docs[wordy]
-        keys = mix(self._poly.spans(prefix, heads, tails) + mix(docs.astype(np.uint64) + np.uint64(1)))
+        keys = mix(told_apart(self._poly.spans(prefix, heads, tails), data, heads, tails) + mix(docs.astype(np.uint64) + np.uint64(1)))
         _, one = np.unique(keys, return_index=True)
         again = np.ones(len(keys), bool)
         again[one] = False
         n = len(offsets) - 1
         return np.bincount(docs[again], minlength=n), np.bincount(docs, minlength=n)
 
-    def _repeats(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, n_docs: int) -> np.ndarray:
+    def _repeats(self, data: np.ndarray, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, n_docs: int) -> np.ndarray:
         n = len(starts)
         if n < WINDOW:
             return np.zeros(n_docs, np.int64)
-        words = mix(self._poly.spans(prefix, starts, ends))
+        words = told_apart(mix(self._poly.spans(prefix, starts, ends)), data, starts, ends)
         docs = np.repeat(np.arange(n_docs), np.diff(first))
         size = n - WINDOW + 1
         keys = mix(docs[:size].astype(np.uint64) + np.uint64(1))

@@ -45,7 +45,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Poly, cut, group_starts, mix, shuffle_partitions, slices, text_bytes, whole_groups, word_spans
+from lectern.llm.common import Poly, cut, group_starts, mix, shuffle_partitions, slices, text_bytes, told_apart, whole_groups, word_spans
 
 LENGTH, GRAM = 400, 128
 CHUNK = 2 << 20
@@ -94,7 +94,7 @@ class Symbols:
             return
         starts, ends, self.offsets = word_spans(data, offsets)
         self.spans = starts, ends
-        self.values = mix(poly.spans(poly.prefix(data), starts, ends))
+        self.values = told_apart(mix(poly.spans(poly.prefix(data), starts, ends)), data, starts, ends)
         sizes = ends - starts
         self._ends = np.cumsum(sizes + 1) - 1
         self._starts = self._ends - sizes

@@ -4,7 +4,6 @@ import math
 import re
 from collections import Counter
 
-import numpy as np
 import pytest
 from compare import differences
 
@@ -31,10 +30,10 @@ TEXTS = [None, "", " \n", "a", "a b a b a b", "the cat sat", "the cat sat on the
 
 
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
-@pytest.mark.parametrize(("block", "arrays"), [(40, 2_000), (40, 3), (1 << 20, 2_000)])
-def test_against_counters(spark, make, monkeypatch, order, block, arrays):
-    monkeypatch.setattr(L, "ARRAY_BLOCKS", arrays)
-    model = L.Model(order=order, block_bytes=block)
+@pytest.mark.parametrize("block", [40, 1 << 20])
+@pytest.mark.parametrize("min_count", [1, 2])
+def test_against_counters(spark, make, order, block, min_count):
+    model = L.Model(order=order, block_bytes=block, min_count=min_count)
     got = {r["doc_id"]: r for r in L.score(make(list(enumerate(TEXTS))), model).collect()}
     for k, (n, log) in enumerate(plain(TEXTS, model)):
         assert got[k]["n_words"] == n and got[k]["log_score"] == pytest.approx(log, abs=1e-6)
@@ -51,9 +50,23 @@ def test_repeated_rows_and_nothing(spark, make):
     assert L.score(make([])).count() == 0
 
 
-def test_planes():
-    x = np.array([0, 1, -5, 2**62], np.int64)
-    assert (L.from_planes(L.planes(x)) == x).all() and L.planes(x[:0]) == b""
+def test_equal_rows_count_each_and_part(spark, make):
+    rows = [(7, "so it goes on")] * 500 + [(8, "so it went")]
+    model = L.Model(order=3, block_bytes=100)
+    got = L.score(make(rows), model).collect()
+    want = plain([t for _, t in rows], model)
+    assert sorted((r["doc_id"], round(r["log_score"], 6)) for r in got) == sorted((i, round(s, 6)) for (i, _), (_, s) in zip(rows, want, strict=True))
+    blocks = L.blocks_of(make(rows).repartition(20), 50)
+    assert blocks.where("doc_id = 7").select("block").distinct().count() > 1
+
+
+def test_words_built_to_collide(spark, make):
+    """Two words of one length whose polynomial hashes agree modulo 2**64."""
+    morse = [bin(k).count("1") & 1 for k in range(4_096)]
+    one, two = ("".join("bL"[m ^ t] for m in morse) for t in (0, 1))
+    texts = [one, one, two]
+    got = {r["doc_id"]: r["log_score"] for r in L.score(make(list(enumerate(texts)))).collect()}
+    assert [got[k] for k in range(3)] == pytest.approx([s for _, s in plain(texts, L.PRODUCTION)])
 
 
 def test_registered_trigram_counts_everything(spark, make, tmp_path):
