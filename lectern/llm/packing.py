@@ -6,52 +6,61 @@ and may be shorter.  Pieces are then packed by bounded-space online best fit: a
 fixed number of bins is open at a time, a bitset holds which amounts of free
 space occur among them, a piece goes to the bin with the least free space that
 still holds it, and when a new bin is needed while all are open, the fullest
-closes.  The pieces of a group arrive by falling length, which leaves short ones to fill
-what is left, and the fixed number is large enough to keep the bins of a usual group open.
+closes.  Pieces arrive as their documents do, except that each ``window`` of them is
+taken by falling length, which leaves short ones to fill what is left.
 
-Scale: tokenising is a map over the scan that keeps only piece lengths and
-checksums; packing shuffles those few bytes a piece.  Pack groups are dealt out by
-a hash of the document and hold about ``group_docs`` documents each, so no task's
-input grows with the corpus, and a task keeps at most
-``open_bins`` bins open.
+Scale: a map over the scan, and nothing else: each task packs its own rows as they come, so
+sequences keep the order of the input (blocks of a mixture stay together), no key can be
+hot, and a task holds ``open_bins`` bins and one window, however many rows it has.
+A task that is run again makes the same sequences, as long as it reads the same rows.
 
 Cases: a null text is an empty one (its only id is the closing one); repeated
 rows are packed each for itself; a null ``doc_id`` is carried along; an empty table
-gives an empty result; other columns are ignored.
+gives an empty result; other columns are ignored.  A string in a text that the tokeniser
+holds as an added token becomes that token's id, as the tokeniser does by itself.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-PACKED = PIECES + ", sequence_id bigint, offset bigint"
+PACKED = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 
 
 class Encoder:
-    """Byte-level BPE ids as uint32; special-token strings in a text are ordinary text.
+    """Byte-level BPE ids as uint32.
 
-    ``ranks_path`` holds the ranks of the vocabulary, ``pattern`` its pre-tokeniser.
-    The ranks are the same vocabulary as the JSON form of the tokeniser and give the
-    same ids (tested) at a quarter of the time.
+    ``ranks_path`` holds the ranks of the vocabulary, ``pattern`` its pre-tokeniser; ``added`` the ids of
+    strings that are tokens of their own.  The ranks are the same vocabulary as the JSON form of
+    the tokeniser and give the same ids (tested) at a quarter of the time.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, added: dict[str, int] | None = None):
         import tiktoken
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self._encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self._added = added or {}
+        self._model = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self._added)
 
     def __call__(self, text: str) -> np.ndarray:
-        return np.array(self._encode(text), dtype="<u4")
+        if any(token in text for token in self._added):
+            return np.array(self._model.encode(text, allowed_special="all"), dtype="<u4")
+        return np.array(self._model.encode_ordinary(text), dtype="<u4")
+
+
+def added_tokens(json_path: str) -> dict[str, int]:
+    """The added tokens of a tokeniser's JSON form."""
+    with open(json_path, encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
 
 
 def piece_bounds(n: int, size: int) -> list[tuple[int, int]]:
@@ -62,73 +71,82 @@ def piece_bounds(n: int, size: int) -> list[tuple[int, int]]:
     return ([(0, head)] if head else []) + [(at, size) for at in range(head, n, size)]
 
 
-def pieces(docs: DataFrame, *, ranks_path: str, pattern: str, end_id: int = 2, size: int = 1024) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32."""
+class Pieces:
+    """Cuts documents up: rows (doc_id, piece, start, length, ids_crc32)."""
 
-    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(ranks_path, pattern), np.array([end_id], "<u4")
-        for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
-            for doc_id, text in zip(ids, batch.column(1), strict=True):
-                tokens = np.concatenate([encode(text.as_py() or ""), end])
-                rows += [(doc_id, k, at, n, zlib.crc32(tokens[at : at + n].tobytes())) for k, (at, n) in enumerate(piece_bounds(len(tokens), size))]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+    def __init__(self, encode: Encoder, end_id: int, size: int):
+        self._encode, self._end, self._size = encode, np.array([end_id], "<u4"), size
 
-    return docs.select("doc_id", "text").mapInArrow(cut_up, PIECES)
+    def __call__(self, doc_id: int | None, text: str | None) -> list[tuple]:
+        tokens = np.concatenate([self._encode(text or ""), self._end])
+        return [(doc_id, k, at, n, zlib.crc32(tokens[at : at + n].tobytes())) for k, (at, n) in enumerate(piece_bounds(len(tokens), self._size))]
 
 
-def best_fit(lengths: list[int], size: int, open_bins: int) -> tuple[list[int], list[int]]:
-    """Bin number and offset of each piece, in order of arrival."""
-    bins: list[list[int]] = [[] for _ in range(size + 1)]  # open bins by free space
-    free_set = 0  # bit f is set if an open bin has f free
-    n_open = n_bins = 0
-    numbers, offsets = [], []
-    for length in lengths:
-        fits = free_set >> length
+class BestFit:
+    """Bounded-space online best fit."""
+
+    def __init__(self, size: int, open_bins: int):
+        self.size, self.open_bins = size, open_bins
+        self._bins: list[list[int]] = [[] for _ in range(size + 1)]  # open bins by free space
+        self._free = 0  # bit f is set if an open bin has f free
+        self.n_open = self.n_bins = self.n_closed = 0
+
+    def _take(self, free: int, at: int) -> int:
+        number = self._bins[free].pop(at)
+        if not self._bins[free]:
+            self._free ^= 1 << free
+        self.n_open -= 1
+        return number
+
+    def __call__(self, length: int) -> tuple[int, int]:
+        """Bin number and offset of the next piece."""
+        fits = self._free >> length
         if fits:
             free = length + (fits & -fits).bit_length() - 1
-            number = bins[free].pop()
-            if not bins[free]:
-                free_set ^= 1 << free
-            n_open -= 1
+            number = self._take(free, -1)
         else:
-            if n_open >= open_bins and length < size:
-                fullest = (free_set & -free_set).bit_length() - 1
-                bins[fullest].pop(0)
-                if not bins[fullest]:
-                    free_set ^= 1 << fullest
-                n_open -= 1
-            free, number = size, n_bins
-            n_bins += 1
-        numbers.append(number)
-        offsets.append(size - free)
-        if free > length:
-            free -= length
-            bins[free].append(number)
-            free_set |= 1 << free
-            n_open += 1
-    return numbers, offsets
-
-
-def pack(docs: DataFrame, *, ranks_path: str, pattern: str, end_id: int = 2, size: int = 1024, open_bins: int = 65_536, group_docs: int = 65_536) -> DataFrame:
+            if self.n_open >= self.open_bins and length < self.size:
+                self._take((self._free & -self._free).bit_length() - 1, 0)
+                self.n_closed += 1
+            free, number = self.size, self.n_bins
+            self.n_bins += 1
+        left = free - length
+        if left:
+            self._bins[left].append(number)
+            self._free |= 1 << left
+            self.n_open += 1
+        return number, self.size - free
+
+
+def best_fit(lengths: list[int], size: int, open_bins: int) -> tuple[list[int], list[int]]:
+    """Bin number and offset of each piece, in order of arrival."""
+    fit = BestFit(size, open_bins)
+    found = [fit(length) for length in lengths]
+    return [number for number, _ in found], [offset for _, offset in found]
+
+
+def pack(docs: DataFrame, *, ranks_path: str, pattern: str, added: dict[str, int] | None = None, end_id: int = 2, size: int = 1024, open_bins: int = 512, window: int = 1024) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``; sequence ids are unique, not dense."""
-    groups = max(1, -(-docs.count() // group_docs))
-    cut_docs = pieces(docs, ranks_path=ranks_path, pattern=pattern, end_id=end_id, size=size)
-    spread = F.xxhash64("doc_id", "piece", "ids_crc32")
-    dealt = cut_docs.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", F.lit("group")), F.lit(groups))).withColumn("arrival", spread)
-    dealt = dealt.repartition(groups, "pack_group").sortWithinPartitions(F.desc("length"), "arrival", "doc_id", "piece")
+    names = [part.strip().split(" ")[0] for part in PACKED.split(",")]
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a partition holds whole groups; several groups of one partition are packed together
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        numbers, offsets = best_fit(table["length"].to_pylist(), size, open_bins)
-        first = table["pack_group"][0].as_py() << 40
-        table = table.select(["doc_id", "piece", "start", "length", "ids_crc32"])
-        table = table.append_column("sequence_id", pa.array([first + n for n in numbers], pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
-        yield from table.to_batches(max_chunksize=65_536)
-
-    return dealt.select("doc_id", "piece", "start", "length", "ids_crc32", "pack_group").mapInArrow(fill, PACKED)
+        cut_up, fit = Pieces(Encoder(ranks_path, pattern, added), end_id, size), BestFit(size, open_bins)
+        first = TaskContext.get().partitionId() << 40
+
+        def placed(rows: list[tuple]) -> pa.RecordBatch:
+            rows.sort(key=lambda row: -row[3])  # stable: equal lengths in the order of arrival
+            full = [(*row, first + number, offset) for row in rows for number, offset in (fit(row[3]),)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*full, strict=True), types, strict=True)], names)
+
+        waiting: list[tuple] = []
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                waiting += cut_up(doc_id.as_py(), text.as_py())
+                if len(waiting) >= window:
+                    yield placed(waiting)
+                    waiting = []
+        if waiting:
+            yield placed(waiting)
+
+    return docs.select("doc_id", "text").mapInArrow(fill, PACKED)

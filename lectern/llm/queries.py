@@ -12,6 +12,11 @@ from lectern.llm import lm_score, media, mixing, packing, quality, sharding, sim
 from lectern.llm.common import documents
 
 
+def tokeniser() -> dict[str, object]:
+    """The public tokeniser that the queries pack with."""
+    return {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "added": packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))}
+
+
 def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(documents(spark, sf_dir))
 
@@ -43,7 +48,7 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+    return packing.pack(documents(spark, sf_dir), **tokeniser())
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,15 +9,14 @@ import pytest
 from tokenizers import Tokenizer
 
 from lectern.llm import packing as K
+from lectern.llm.queries import tokeniser
 
-RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+TOKENISER = tokeniser()
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def check(rows, docs, tokenizer, size=1024):
@@ -42,21 +41,21 @@ def check(rows, docs, tokenizer, size=1024):
 
 
 def test_hard_texts(spark, make, tokenizer):
-    texts = [None, "", "<|endoftext|> x", "a" * 5000, " \n\n  x\t", "it's we'll", "日本語 émoji 😀" * 400, "\x00\x01", " ".join("word%d" % k for k in range(3000))]
+    texts = [None, "", "<|endoftext|> x", "a <|endoftext|> b<|endoftext|>", "<|endoftext|", "a" * 5000, " \n\n  x\t", "it's we'll", "日本語 émoji 😀" * 400, "\x00\x01", " ".join("word%d" % k for k in range(3000))]
     docs = [*enumerate(texts), (2, texts[2]), (None, "null id")]
-    check(K.pack(make(docs), ranks_path=RANKS, pattern=PATTERN).collect(), docs, tokenizer)
-    assert K.pack(make([]), ranks_path=RANKS, pattern=PATTERN).count() == 0
+    check(K.pack(make(docs), **TOKENISER).collect(), docs, tokenizer)
+    assert K.pack(make([]), **TOKENISER).count() == 0
 
 
 def test_whole_table_is_nearly_full(spark, tokenizer):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    n, total = check(K.pack(docs, ranks_path=RANKS, pattern=PATTERN).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()], tokenizer)
+    n, total = check(K.pack(docs, **TOKENISER).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()], tokenizer)
     assert n <= 1.005 * -(-total // 1024)
 
 
-def test_several_groups(spark, tokenizer):
+def test_several_tasks(spark, tokenizer):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    check(K.pack(docs, ranks_path=RANKS, pattern=PATTERN, group_docs=20, open_bins=4).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()], tokenizer)
+    check(K.pack(docs.repartition(5, "doc_id"), **TOKENISER, window=20, open_bins=4).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()], tokenizer)
 
 
 @pytest.mark.parametrize("open_bins", [1, 2, 7, 1000])
@@ -84,3 +83,17 @@ def test_best_fit_is_best_and_bounded(open_bins):
             del is_open[number]
         assert len(is_open) <= open_bins
     assert max(used.values()) <= 64
+
+
+def test_the_bound_acts_and_sequences_are_full(spark, tokenizer):
+    """The registered bound of open bins, on a table large enough to reach it."""
+    docs = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").limit(6_000).collect()]
+    encode = K.Encoder(TOKENISER["ranks_path"], TOKENISER["pattern"])
+    lengths = [n for text in docs for _, n in K.piece_bounds(len(encode(text or "")) + 1, 1024)]
+    fit, most = K.BestFit(1024, 512), 0
+    for at in range(0, len(lengths), 1024):
+        for length in sorted(lengths[at : at + 1024], reverse=True):
+            fit(length)
+            most = max(most, fit.n_open)
+    assert most == 512 and fit.n_closed > 0
+    assert fit.n_bins <= 1.003 * -(-sum(lengths) // 1024)
