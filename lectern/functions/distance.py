@@ -1,14 +1,17 @@
 """Edit distances and agreement of two texts.
 
-Character distances are built in.  Word distances become character distances by writing
-each word that both sides have as a letter of its own, and any other word as one of
-two letters that never match.  The agreement ratio has no equivalent in SQL and is an
+Distances of short texts are the built-in ones.  Word distances become character distances by
+writing each word that both sides have as a letter of its own, and any other word as one of
+two letters that never match.  The built-in distance takes the product of both lengths, so
+pairs beyond ``CELLS`` go to an Arrow function that handles a whole column of the table as the
+bits of one integer.  The agreement ratio has no equivalent in SQL and is an
 Arrow function; equal and empty texts are decided before it.
 """
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
+from bisect import bisect_left
+from collections.abc import Hashable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,14 +20,52 @@ from pyspark.sql.types import DoubleType, IntegerType
 
 from lectern.functions.common import bind, column
 
-#: Letters for words that both sides have: more than fit on any line.
+#: Letters for words that both sides have: more than fit into CELLS.
 ALPHABET = "".join(map(chr, range(0x4E00, 0x9E00)))
+#: Product of two lengths up to which the built-in distance is used.
+CELLS = 1_000_000
+
+
+def bit_edits(pattern: Sequence[Hashable], text: Sequence[Hashable]) -> int:
+    """Levenshtein distance; the differences between neighbours of a column are two integers' bits."""
+    m = len(pattern)
+    if not m or not len(text):
+        return m + len(text)
+    at: dict[Hashable, list[int]] = {}
+    for k, symbol in enumerate(pattern):
+        at.setdefault(symbol, []).append(k)
+    masks = {}
+    for symbol, places in at.items():
+        bits = bytearray(-(-m // 8))
+        for k in places:
+            bits[k >> 3] |= 1 << (k & 7)
+        masks[symbol] = int.from_bytes(bits, "little")
+    whole, top = (1 << m) - 1, m - 1
+    rises, falls, edits = whole, 0, m
+    for symbol in text:
+        equal = masks.get(symbol, 0)
+        diagonal = (((equal & rises) + rises) ^ rises | equal | falls) & whole
+        across_up = falls | (whole ^ (diagonal | rises))
+        across_down = rises & diagonal
+        edits += (across_up >> top) - (across_down >> top)
+        across_up = (across_up << 1 | 1) & whole
+        across_down = across_down << 1 & whole
+        rises = across_down | (whole ^ (diagonal | across_up))
+        falls = across_up & diagonal
+    return edits
+
+
+@F.pandas_udf(IntegerType())
+def _long_char_edits(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else bit_edits(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 def char_edits(reference: Column | str, text: Column | str) -> Column:
     """Equal texts, the most common case, cost a comparison."""
     reference, text = column(reference), column(text)
-    return F.when(reference == text, 0).otherwise(F.levenshtein(reference, text))
+    long = (reference != text) & (F.length(reference).cast("bigint") * F.length(text) > CELLS)
+    far = _long_char_edits(F.when(long, reference), F.when(long, text))
+    return F.when(reference == text, 0).when(long, far).otherwise(F.levenshtein(reference, text))
 
 
 def cer(reference: Column | str, text: Column | str) -> Column:
@@ -37,27 +78,15 @@ def words(text: Column | str) -> Column:
 
 
 @F.pandas_udf(IntegerType())
-def _long_edits(a: pd.Series, b: pd.Series) -> pd.Series:
-    def distance(x: str | None, y: str | None) -> int | None:
-        if x is None or y is None:
-            return None
-        x_, y_ = x.split(), y.split()
-        row = list(range(len(y_) + 1))
-        for i, word in enumerate(x_, 1):
-            last, row[0] = row[0], i
-            for j, other in enumerate(y_, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (word != other))
-        return row[-1]
-
-    return pd.Series([distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+def _long_word_edits(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else bit_edits([t for t in x.split(" ") if t], [t for t in y.split(" ") if t]) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 def word_edits(reference: Column | str, text: Column | str) -> Column:
     """Edits of words; both texts are normalised."""
     reference, text = column(reference), column(text)
     sides = F.struct(words(reference).alias("a"), words(text).alias("b"))
-    shared = F.size(F.array_distinct(F.array_intersect(words(reference), words(text))))
-    wide = shared > len(ALPHABET)
+    long = (reference != text) & (F.size(words(reference)).cast("bigint") * F.size(words(text)) > CELLS)
 
     def spelled(side: Column, both: Column, other: str) -> Column:
         place = lambda t: F.array_position(both, t).cast("int")
@@ -66,8 +95,8 @@ def word_edits(reference: Column | str, text: Column | str) -> Column:
 
     with_both = lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), F.array_distinct(F.array_intersect(s["a"], s["b"])).alias("both"))
     short = bind(sides, lambda s: bind(with_both(s), lambda t: F.levenshtein(spelled(t["a"], t["both"], "a"), spelled(t["b"], t["both"], "b"))))
-    long = _long_edits(F.when(wide, reference), F.when(wide, text))
-    return F.when(reference == text, 0).when(wide, long).otherwise(short)
+    far = _long_word_edits(F.when(long, reference), F.when(long, text))
+    return F.when(reference == text, 0).when(long, far).otherwise(short)
 
 
 def wer(reference: Column | str, text: Column | str) -> Column:
@@ -75,9 +104,49 @@ def wer(reference: Column | str, text: Column | str) -> Column:
     return word_edits(reference, text) / F.nullif(F.size(words(reference)), F.lit(0))
 
 
+def ratio(a: str, b: str) -> float:
+    """Twice the characters in matching blocks over all characters.
+
+    The longest common block is found, then those before and after it.  In a ``b`` of 200
+    characters or more, those that make up over a hundredth of it don't start a block but may
+    extend one, so only the places of the others are looked at.
+    """
+    where: dict[str, list[int]] = {}
+    for j, character in enumerate(b):
+        where.setdefault(character, []).append(j)
+    if len(b) >= 200:
+        where = {c: places for c, places in where.items() if len(places) <= len(b) // 100 + 1}
+    rare = [i for i, character in enumerate(a) if character in where]
+    matched, open_ = 0, [(0, len(a), 0, len(b))]
+    while open_:
+        a_lo, a_hi, b_lo, b_hi = open_.pop()
+        i_best, j_best, size = a_lo, b_lo, 0
+        runs: dict[int, int] = {}  # by the end in b: length of the common run that ends at the last place of a
+        last = -2
+        for k in range(bisect_left(rare, a_lo), bisect_left(rare, a_hi)):
+            i = rare[k]
+            before, runs = runs if i == last + 1 else {}, {}
+            last, places = i, where[a[i]]
+            for m in range(bisect_left(places, b_lo), len(places)):
+                j = places[m]
+                if j >= b_hi:
+                    break
+                runs[j] = length = before.get(j - 1, 0) + 1
+                if length > size:
+                    i_best, j_best, size = i - length + 1, j - length + 1, length
+        while i_best > a_lo and j_best > b_lo and a[i_best - 1] == b[j_best - 1]:
+            i_best, j_best, size = i_best - 1, j_best - 1, size + 1
+        while i_best + size < a_hi and j_best + size < b_hi and a[i_best + size] == b[j_best + size]:
+            size += 1
+        if size:
+            matched += size
+            open_ += [(a_lo, i_best, b_lo, j_best), (i_best + size, a_hi, j_best + size, b_hi)]
+    return 2 * matched / (len(a) + len(b)) if a or b else 1.0
+
+
 @F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series([None if x is None else ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def agreement(a: Column | str, b: Column | str) -> Column:

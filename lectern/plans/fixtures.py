@@ -6,55 +6,19 @@ query and its SQL start from the same inputs.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
 from dataclasses import dataclass
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHORT = 2_000  # characters: edit distances are for lines, not books
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_ALL_DOCUMENTS: ContextVar[bool] = ContextVar("all_documents", default=False)
-
-
-@contextmanager
-def all_documents() -> Iterator[None]:
-    """Within it, :func:`word_images` takes documents of every length."""
-    token = _ALL_DOCUMENTS.set(True)
-    try:
-        yield
-    finally:
-        _ALL_DOCUMENTS.reset(token)
-
-
-def whole(builder: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """The query over documents of every length."""
-
-    @wraps(builder)
-    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        with all_documents():
-            return builder(spark, sf_dir)
-
-    return build
-
-
 def word_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per non-blank line: the image inventory with its true texts.
-
-    The SQL takes short documents only, so the queries compared with it do too; see :func:`whole`.
-    """
-    docs = table(spark, sf_dir, "documents")
-    if not _ALL_DOCUMENTS.get():
-        docs = docs.where(F.col("n_chars") < SHORT)
-    lines = docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("i", "line")).where(F.trim("line") != "")
+    """One row per non-blank line of every document: the image inventory with its true texts."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("i", "line")).where(F.trim("line") != "")
     index = (F.col("i") + 1).cast("int")
     page = F.col("doc_id").cast("string")
     path = F.concat(F.lit("/data/sample_set/"), F.col("lang"), F.lit("/"), F.col("source"), F.lit("/"), page, F.lit("/"), index.cast("string"), F.lit(".jpg"))
@@ -65,7 +29,7 @@ WORD_IMAGES = f"""
 word_images as (
   select lang as split, source as writer_id, cast(doc_id as varchar) as page_id, cast(i as integer) as image_index, line as text,
     '/data/sample_set/' || lang || '/' || source || '/' || doc_id || '/' || i || '.jpg' as image_path, doc_id
-  from (select doc_id, lang, source, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i, unnest(string_split(text, chr(10))) as line from documents where n_chars < {SHORT})
+  from (select doc_id, lang, source, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i, unnest(string_split(text, chr(10))) as line from documents)
   where trim(line) <> '')"""
 
 

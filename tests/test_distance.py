@@ -45,6 +45,38 @@ def test_agreement(spark):
     assert got[5] == SequenceMatcher(None, long, near).ratio() < 0.9 < SequenceMatcher(None, long, near, autojunk=False).ratio()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab é", max_size=90), st.text("abcé", max_size=90))
+def test_bit_edits(a, b):
+    assert D.bit_edits(a, b) == edits(a, b)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abcde", max_size=30), st.text("abcdef", max_size=30))
+def test_ratio(a, b):
+    assert D.ratio(a, b) == SequenceMatcher(None, a, b).ratio()
+
+
+def test_ratio_of_long_texts():
+    rng = random.Random(8)
+    letters = "etaoinshrdlu" * 9 + "vwxyzKLMNOPQ"
+    for size in (199, 200, 201, 1500, 6000):
+        a = "".join(rng.choices(letters, k=size))
+        b = "".join(c if rng.random() < 0.8 else rng.choice(letters) for c in a) + a[: size // 7]
+        assert D.ratio(a, b) == SequenceMatcher(None, a, b).ratio()
+
+
+def test_long_texts_take_the_other_way(spark, monkeypatch):
+    rng = random.Random(9)
+    one = [rng.choice("a b c d ee ff é".split()) for _ in range(400)]
+    two = [w if rng.random() < 0.7 else rng.choice(["a", "zz"]) for w in one]
+    rows = [(" ".join(one), " ".join(two)), ("x", " ".join(one)), (" ".join(one), ""), (None, "a")]
+    want = [None if a is None else (edits(a, b), edits(a.split(), b.split())) for a, b in rows]
+    for cells in (D.CELLS, 500):
+        monkeypatch.setattr(D, "CELLS", cells)
+        assert [None if c is None else (c, w) for c, w in zip(pairs(spark, D.char_edits("a", "b"), rows), pairs(spark, D.word_edits("a", "b"), rows), strict=True)] == want
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.booleans(), min_size=1, max_size=60), st.integers(1, 8))
 def test_components_by_flood(cells, width):
