@@ -58,11 +58,22 @@ def _(spark, sf_dir):
     return X.table(spark, sf_dir, "pages").select("page_id", html.html_to_text("html").alias("text"))
 
 
-@query("blocks_reading_order", f"""with b as (select conv_id, turn, '<p>' || coalesce(text, '') || '</p>' as html, (turn * 7) % 5 as o from conversations where turn % 4 <> 3)
-select cast(conv_id as varchar) as page_key, trim(regexp_replace(string_agg({fast_sql("html")}, ' ' order by o, turn), ' +', ' ', 'g')) as text from b group by 1""")
+# what the blocks of a turn are written in, and the text that is to come of it
+WRAPPED = {0: ("<p>", "</p>", "", ""), 1: ("<b>a&eacute;b&#39;c</b><script>var x</script> ", "", "aéb'cvar x ", ""), 2: ('<div title="a > b">', "</div><!-- not this -->", "", ""), 3: ("<style>p {}</style><br/>", "&hellip;", "p {} ", "…")}
+
+
+def _wrapped_sql(at: int) -> str:
+    return "case turn % 4 " + " ".join(f"when {k} then '{parts[at]}'" for k, parts in ((k, [x.replace("'", "''") for x in w]) for k, w in WRAPPED.items())) + " end"
+
+
+@query("blocks_reading_order", f"""with b as (select conv_id, turn, {_wrapped_sql(2)} || coalesce(text, '') || {_wrapped_sql(3)} as t, (turn * 7) % 5 as o from conversations where turn % 5 <> 3)
+select cast(conv_id as varchar) as page_key, {norm_sql("string_agg(t, ' ' order by o, turn)")} as text from b group by 1""")
 def _(spark, sf_dir):
+    """Texts are escaped and wrapped in markup of several kinds; the SQL knows them from before."""
     turn = F.col("turn")
-    block = F.struct("turn", ((turn * 7) % 5).cast("int").alias("reading_order"), F.concat(F.lit("<p>"), F.coalesce("text", F.lit("")), F.lit("</p>")).alias("html"), (turn % 4 == 3).alias("skipped"), F.lit(False).alias("error"))
+    escaped = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    part = lambda at: F.element_at(F.create_map(*[F.lit(x) for k, w in WRAPPED.items() for x in (k, w[at])]), (turn % 4).cast("int"))
+    block = F.struct("turn", ((turn * 7) % 5).cast("int").alias("reading_order"), F.concat(part(0), escaped, part(1)).alias("html"), (turn % 5 == 3).alias("skipped"), F.lit(False).alias("error"))
     pages = X.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
     out = pages.select(F.col("conv_id").cast("string").alias("page_key"), html.response_text("blocks").alias("text"), F.size(F.filter("blocks", lambda b: ~b["skipped"])).alias("n"))
     return out.where("n > 0").drop("n")

@@ -103,3 +103,30 @@ def test_html(spark):
 @pytest.mark.parametrize("suffix", [".txt", ".json"])
 def test_output_path(spark, suffix):
     assert values(spark, T.output_path("x", "text", suffix), [("a/b/1.png",)]) == [f"text/a/b/1{suffix}"]
+
+
+def test_text_of_html_by_either_way(spark):
+    import html as entities
+    import re
+
+    from lectern.functions import html as H
+
+    def by_hand(page):
+        """Tags and comments taken out one by one; script and style contents stay as they are."""
+        out, raw = [], None
+        for token in re.split(r"(<!--.*?-->|<!\w[^>]*>|</?[A-Za-z][^>\s/]*(?:\s+[^>\s=]+(?:=(?:\"[^\"]*\"|'[^']*'|[^\s>]*))?)*\s*/?>)", page, flags=re.S):
+            name = re.match(r"</?([A-Za-z][^>\s/]*)", token)
+            if name and (not raw or token.lower().startswith("</" + raw)):
+                tag = name[1].lower()
+                raw = tag if tag in ("script", "style") and token[1] != "/" else None
+                out.append(" " if tag in H.BREAKS else "")
+            elif not token.startswith("<!") or raw:
+                out.append(token if raw else entities.unescape(token))
+        return " ".join("".join(out).split())
+
+    made = ["", "a < b", "<p>a&eacute;b&#39;c</p><script>var x</script><b>z</b>", "<P>One<br/>two</P><LI>x", "<b>bo</b>ld", '<a title="x > y">q</a>', "<!-- no --><i>yes</i>", "x &amp; y &lt;z&gt;", "<style>p < q & r</style>s", "<td>1</td><td>2</td>"]
+    pages = made + [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+    frame = spark.createDataFrame([(k, p) for k, p in enumerate(pages)], "k int, h string")
+    got = {r["k"]: r for r in frame.select("k", H.html_to_text("h").alias("one"), H.response_text(F.array(F.struct(F.lit(False).alias("skipped"), F.lit(False).alias("error"), F.lit(1).alias("reading_order"), F.col("h").alias("html")))).alias("block")).collect()}
+    for k, page in enumerate(pages):
+        assert got[k]["one"] == by_hand(page) == got[k]["block"]
