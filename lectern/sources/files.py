@@ -19,6 +19,8 @@ from lectern.schemas import MANIFEST, RECOGNITION, SELECTED_MAPPING
 # Suffixes by use.
 IMAGES = ("jpg", "jpeg", "png", "tif", "tiff", "bmp", "webp", "gif")
 RECOGNISER_IMAGES = ("jpg", "jpeg", "png")
+#: Paths of some hundred bytes each.
+BROADCAST_PATHS = 500_000
 
 
 def _listing(spark: SparkSession, root: str) -> DataFrame:
@@ -30,35 +32,66 @@ def _relative(path: Column, root: str) -> Column:
     return F.regexp_replace(path, "^.*?" + "".join("\\" + c if c in "\\.[]{}()*+?^$|" else c for c in root.rstrip("/").removeprefix("file:")) + "/", "")
 
 
+def _chosen(files: DataFrame, root: str, limit: int | None, content: bool) -> DataFrame:
+    """path, relative and length in natural order; with ``content`` in no order, so that no file's bytes are sorted."""
+    found = files.select("path", _relative(F.col("path"), root).alias("relative"), "length")
+    if limit is not None:
+        found = found.orderBy(T.natural_key("relative"), "relative").limit(limit)
+    elif not content:
+        found = found.orderBy(T.natural_key("relative"), "relative")
+    if not content:
+        return found
+    if limit is None:
+        return files.select("path", _relative(F.col("path"), root).alias("relative"), "length", "content")
+    return files.select("path", "content").join(found, "path").select("path", "relative", "length", "content")
+
+
 def find_images(spark: SparkSession, root: str, suffixes: Sequence[str] = IMAGES, derived: bool = False, any_case: bool = True, limit: int | None = None, content: bool = False) -> DataFrame:
-    """path, relative, length (and content) of images below ``root`` in natural order.
+    """path, relative, length of images below ``root`` in natural order, or with their content in no order.
 
     Without ``derived``, stems that end in ``.after`` or ``.test`` are left out.  With a
-    limit the first in that order are taken, so the choice is the same each time.
+    limit the first in natural order are taken, so the choice is the same each time.
     """
     files = _listing(spark, root)
     name = F.lower("path") if any_case else F.col("path")
     files = files.where(name.rlike(rf"\.({'|'.join(suffixes)})$"))
     if not derived:
         files = files.where(~F.col("path").rlike(r"\.(after|test)\.[^./]+$"))
-    columns = ["path", _relative(F.col("path"), root).alias("relative"), "length", *(["content"] if content else [])]
-    found = files.select(*columns).orderBy(T.natural_key("relative"), "relative")
-    return found.limit(limit) if limit is not None else found
+    return _chosen(files, root, limit, content)
 
 
 def find_pngs(spark: SparkSession, root: str, any_case: bool = True, content: bool = False) -> DataFrame:
     """PNG files without side-by-side ``.test`` outputs; case-sensitive discovery keeps ``.after`` ones."""
     files = _listing(spark, root)
     name = F.lower("path") if any_case else F.col("path")
-    files = files.where(name.rlike(r"\.png$") & ~F.col("path").rlike(r"\.test\.[^./]+$"))
-    return files.select("path", _relative(F.col("path"), root).alias("relative"), "length", *(["content"] if content else [])).orderBy(T.natural_key("relative"), "relative")
+    return _chosen(files.where(name.rlike(r"\.png$") & ~F.col("path").rlike(r"\.test\.[^./]+$")), root, None, content)
 
 
 def read_images(spark: SparkSession, root: str) -> DataFrame:
-    """Decoded images (origin, height, width, nChannels, mode, data); unreadable ones have a null size."""
+    """Decoded images (origin, height, width, nChannels, mode, data); unreadable ones have a null size.
+
+    The JVM's decoders know JPEG, PNG of every kind, GIF, BMP and TIFF.
+    """
     return spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(root).select("image.*").withColumn("readable", F.col("height") > 0)
 
 
+def with_pixels(spark: SparkSession, root: str, chosen: DataFrame) -> DataFrame:
+    """The images of ``chosen`` (path and other columns, not their content) with height, width, nChannels, data; null where unreadable.
+
+    Paths are few bytes each: up to ``BROADCAST_PATHS`` they go to the images, beyond the images are dealt out by path.
+    """
+    paths = chosen.withColumn("_path", _plain_path("path"))
+    if paths.count() <= BROADCAST_PATHS:
+        paths = F.broadcast(paths)
+    pixels = read_images(spark, root).select(_plain_path("origin").alias("_path"), *[F.when(F.col("readable"), F.col(c)).alias(c) for c in ("height", "width", "nChannels", "data")])
+    return pixels.join(paths, "_path").drop("_path")
+
+
+def _plain_path(path: str) -> Column:
+    """Without scheme and escapes: readers differ in them."""
+    return F.url_decode(F.replace(F.regexp_replace(path, "^[a-z]+:/*", "/"), F.lit("+"), F.lit("%2B")))
+
+
 def page_folders(files: DataFrame, path: str = "relative") -> DataFrame:
     """Distinct page folders three levels deep, of file paths ``split/writer/page/file``."""
     return files.select(F.regexp_extract(path, r"^([^/]+/[^/]+/[^/]+)/[^/]+$", 1).alias("folder")).where("folder <> ''").distinct()
@@ -75,16 +108,19 @@ def page_range(files: DataFrame, first: int, last: int, path: str = "relative")
     return chosen
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str, **options: object) -> DataFrame:
     """(path, pos, value) of text files, pos from 1; a byte order mark is dropped.
 
-    Whole files are read so that the position is certain; they are label files or logs
-    of one run.
+    Files are read in splits.  Lines of a split follow each other in a task, so their number there is known
+    without a shuffle; only a row per split, its count of lines, is summed up over a file's splits.
     """
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), "value")
-    lines = whole.select("path", F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n")).alias("i", "value"))
-    last = F.max("i").over(Window.partitionBy("path"))
-    return lines.withColumn("last", last).where((F.col("i") < F.col("last")) | (F.col("value") != "")).select("path", (F.col("i") + 1).alias("pos"), "value")
+    lines = spark.read.option("recursiveFileLookup", True).options(**options).text(path)
+    lines = lines.select("value", _plain_path("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    splits = lines.groupBy("path", "block").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("path", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    numbered = lines.join(splits, ["path", "block"]).withColumn("pos", F.col("row") + F.col("shift"))
+    return numbered.select("path", "pos", F.when(F.col("pos") == 1, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")).alias("value"))
 
 
 def read_log(spark: SparkSession, path: str, schema: str = RECOGNITION) -> DataFrame:
@@ -94,8 +130,7 @@ def read_log(spark: SparkSession, path: str, schema: str = RECOGNITION) -> DataF
 
 def read_configurations(spark: SparkSession, root: str) -> DataFrame:
     """Every results.jsonl below ``root`` in one read, with its configuration's fields."""
-    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "results.jsonl").text(root, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    lines = whole.select("path", F.posexplode(F.split("value", "\n")).alias("pos", "value"))
+    lines = numbered_lines(spark, root, pathGlobFilter="results.jsonl")
     return parse_lines(lines.withColumn("c", T.config_fields(_relative(F.col("path"), root))).select("c.*", "path", "pos", "value"))
 
 

@@ -45,6 +45,35 @@ def test_lines_and_logs(spark, tmp_path):
     assert (row["configuration"], row["model"], row["run"], row["record"]["status"]) == ("a/raw", "a", "raw", "ok")
 
 
+def test_logs_of_several_splits(spark, tmp_path):
+    """Every line has its own number whatever splits a file is read in, and the last attempt wins."""
+    from lectern.operators import logs
+
+    want = {}
+    for name, n in (("one run", 3_000), ("b+c", 700), ("d", 1)):
+        (tmp_path / name / "raw").mkdir(parents=True)
+        lines = ["" if k % 50 == 7 else json.dumps({"input_path": f"s/1/2/{k % 400}.png", "status": "ok", "text": f"t{k}" + "x" * (k % 90)}) for k in range(n)]
+        (tmp_path / name / "raw/results.jsonl").write_text("\ufeff" * (n == 700) + "\n".join(lines) + "\n" * (n != 700), encoding="utf-8")
+        want |= {(f"{name}/raw", k + 1): json.loads(line)["text"] for k, line in enumerate(lines) if line}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "10")
+        parsed = files.read_configurations(spark, str(tmp_path))
+        assert parsed.rdd.getNumPartitions() > 1
+        got = {(r["configuration"], r["pos"]): r["record"]["text"] for r in parsed.collect()}
+        assert got == want
+        rows = parsed.select("configuration", "pos", "record.*")
+        last = {(r["configuration"], r["input_path"]): r["pos"] for r in logs.latest(rows, ["configuration", "input_path"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    by_key = {}
+    for (name, pos), _ in want.items():
+        key = (name, f"s/1/2/{(pos - 1) % 400}.png")
+        by_key[key] = max(by_key.get(key, 0), pos)
+    assert last == by_key
+
+
 def test_small_tables(spark, tmp_path):
     (tmp_path / "v.txt").write_text("﻿one\ntwo\n", encoding="utf-8")
     assert [tuple(r) for r in files.read_vocabulary(spark, str(tmp_path / "v.txt")).orderBy("vocab_id").collect()] == [(1, "one"), (2, "two")]
