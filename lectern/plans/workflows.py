@@ -6,16 +6,18 @@ Each takes paths and parameters, reads with :mod:`lectern.sources`, computes wit
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from pathlib import Path
+import struct
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import agreement, kernels, logs, metrics, profile, review, truth
-from lectern.sources import files, png, sinks
+from lectern.sources import files, jpeg, png, sinks
 
 KEYS = ("split", "writer_id", "page_id", "image")
 SUMMARY = ("configuration", "completed_records", "coverage", "completed_pages", "partial_pages", "empty_outputs", "exact_matches", "exact_accuracy", "mean_word_cer", "mean_word_wer", "mean_page_cer", "mean_page_wer", "corpus_cer", "corpus_wer")
@@ -105,64 +107,116 @@ def ground_truth(spark: SparkSession, mapping_tsv: str, image_root: str, out: st
     return {"manifest": manifest, "issues": issues}
 
 
+def _pixels(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
+    """The decoder's bytes as an image: grey, or red, green, blue and alpha if there."""
+    image = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    return image[..., 0] if channels == 1 else image[..., [2, 1, 0, *range(3, channels)]]
+
+
 def corpus_profile(spark: SparkSession, root: str, top: int = 10, limit: int | None = None) -> dict[str, DataFrame]:
     """File types, the commonest sizes, brightness, contrast and blur of the images below ``root``.
 
-    Unreadable images are counted and left out.
+    Unreadable images are counted and left out.  Every image is decoded once, by the JVM; the tables come from
+    one kept row of numbers per image.
     """
-    images = files.find_images(spark, root, limit=limit, content=True)
+    images = files.with_pixels(spark, root, files.find_images(spark, root, limit=limit).select("path", "relative"))
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
         for frame in frames:
             rows = []
-            for path, content in zip(frame["relative"], frame["content"], strict=True):
-                try:
-                    grey = kernels.flatten_alpha(png.decode(bytes(content))[0]).astype(np.float64)
-                    wide = np.pad(grey, 1, mode="reflect") if min(grey.shape) > 1 else np.pad(grey, 1, mode="edge")
-                    edges = wide[:-2, 1:-1] + wide[2:, 1:-1] + wide[1:-1, :-2] + wide[1:-1, 2:] - 4 * grey
-                    rows.append((path, grey.shape[1], grey.shape[0], grey.mean(), grey.std(), edges.var()))
-                except Exception:  # noqa: BLE001  an unreadable image is counted
+            for path, height, width, channels, data in frame.itertuples(index=False):
+                if data is None:  # an unreadable image is counted
                     rows.append((path, None, None, None, None, None))
+                    continue
+                grey = kernels.flatten_alpha(_pixels(int(height), int(width), int(channels), data)).astype(np.float64)
+                wide = np.pad(grey, 1, mode="reflect") if min(grey.shape) > 1 else np.pad(grey, 1, mode="edge")
+                edges = wide[:-2, 1:-1] + wide[2:, 1:-1] + wide[1:-1, :-2] + wide[1:-1, 2:] - 4 * grey
+                rows.append((path, grey.shape[1], grey.shape[0], grey.mean(), grey.std(), edges.var()))
             out = pd.DataFrame(rows, columns=["relative", "width", "height", "brightness", "contrast", "blur"])
             yield out.astype({"width": "Int32", "height": "Int32"})
 
-    measured = images.select("relative", "content").mapInPandas(measure, "relative string, width int, height int, brightness double, contrast double, blur double")
+    measured = images.select("relative", "height", "width", "nChannels", "data").mapInPandas(measure, "relative string, width int, height int, brightness double, contrast double, blur double").persist(StorageLevel.DISK_ONLY)
     seen = measured.where("width is not null")
-    stats = None
-    for name in ("width", "height", "brightness", "contrast", "blur"):
-        row = profile.describe(seen.withColumn(name, F.col(name).cast("double")), name).withColumn("measure", F.lit(name))
-        stats = row if stats is None else stats.unionByName(row)
-    return {"types": profile.file_types(files.find_images(spark, root, derived=True), "relative").orderBy("file_type"), "sizes": profile.most_common(seen, ("width", "height"), "relative", top), "statistics": stats, "unreadable": measured.agg(F.count_if(F.col("width").isNull()).alias("unreadable"))}
-
-
-def prepare_folder(spark: SparkSession, root: str, out: str, settings: kernels.Settings = kernels.Settings()) -> DataFrame:
-    """Prepares every PNG below ``root`` and writes it under the same name in ``out``.
-
-    Two inputs for one output are an error before anything runs; a broken image is a row
-    with its error.
+    names = ("width", "height", "brightness", "contrast", "blur")
+    long = seen.select(F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).cast("double").alias("value")) for n in names])).alias("v")).select("v.*")
+    grid = spark.createDataFrame([(n,) for n in names], "measure string")
+    statistics = grid.join(profile.describe(long, "value", ("measure",)), "measure", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return {"types": profile.file_types(files.find_images(spark, root, derived=True), "relative").orderBy("file_type"), "sizes": profile.most_common(seen, ("width", "height"), "relative", top), "statistics": statistics, "unreadable": measured.agg(F.count_if(F.col("width").isNull()).alias("unreadable"))}
+
+
+#: Single stages by name; each takes an image, the settings and the resolution.
+STAGES: dict[str, Callable[[np.ndarray, kernels.Settings, float | None], np.ndarray]] = {
+    "standardize": lambda image, s, dpi: kernels.standardize(image, dpi, s),
+    "crop": lambda image, s, _: kernels.crop(image, s, 0),
+    "contrast": lambda image, s, _: kernels.enhance(image, s.factor),
+    "denoise": lambda image, s, _: kernels.denoise(image, s),
+    "deskew": lambda image, s, _: kernels.deskew(image, s.max_skew),
+    "border": lambda image, s, _: kernels.crop(image, s, s.border),
+    "binarize": lambda image, s, _: kernels.binarize(image),
+    "all": lambda image, s, dpi: kernels.prepare(image, s, dpi),
+}
+SUFFIXES = {"image": ".png", "after": ".after.png", "test": ".test.png"}
+
+
+def side_by_side(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Both images on white, top edges level, ten pixels apart."""
+    out = np.full((max(before.shape[0], after.shape[0]), before.shape[1] + 10 + after.shape[1]), 255, np.uint8)
+    out[: before.shape[0], : before.shape[1]] = before
+    out[: after.shape[0], before.shape[1] + 10 :] = after
+    return out
+
+
+def prepare_folder(spark: SparkSession, root: str, out: str, settings: kernels.Settings = kernels.Settings(), stage: str = "all", kind: str = "image") -> DataFrame:
+    """Runs a stage over every image below ``root`` and writes PNG files under the same names in ``out``.
+
+    PNG files are decoded here; JPEG and others by the JVM, turned as their headers say.  ``kind`` is
+    ``image``, ``after`` (the same under ``.after.png``) or ``test`` (before and after side by side).  Two inputs for one
+    output are an error before anything runs; a broken image is a row with its error.  The
+    statuses are those of a finished run.
     """
-    images = files.find_pngs(spark, root, content=True).withColumn("output", T.output_path("relative", out.rstrip("/"), ".png"))
-    twice = truth.collisions(images, "relative", "output").head(1)
+    work_on, suffix = STAGES[stage], SUFFIXES[kind]
+    listed = files.find_images(spark, root).withColumn("output", T.output_path("relative", out.rstrip("/"), suffix))
+    twice = truth.collisions(listed, "relative", "output").head(1)
     if twice:
         raise ValueError(f"two images would be written to {twice[0]['output']}")
+    headers = files.find_images(spark, root, content=True).select("path", "relative", F.lower("relative").rlike(r"\.png$").alias("is_png"), "content")
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for relative, output, content in zip(frame["relative"], frame["output"], frame["content"], strict=True):
+            for path, relative, content in frame[["path", "relative", "content"]].itertuples(index=False):
                 try:
-                    pixels, dpi = png.decode(bytes(content))
-                    ready = kernels.prepare(kernels.flatten_alpha(pixels), settings, dpi)
-                    target = Path(output)
-                    target.parent.mkdir(parents=True, exist_ok=True)
-                    part = target.with_suffix(".part")
-                    part.write_bytes(png.encode(ready, settings.dpi))
-                    part.replace(target)
-                    rows.append((relative, output, "ok", None))
-                except Exception as problem:  # noqa: BLE001  one bad image is one row
-                    rows.append((relative, output, "error", str(problem)))
-            yield pd.DataFrame(rows, columns=["relative", "output", "status", "error"])
-
-    return images.select("relative", "output", "content").mapInPandas(work, "relative string, output string, status string, error string")
+                    rows.append((path, relative, *jpeg.describe(bytes(content))))
+                except (ValueError, struct.error):
+                    rows.append((path, relative, 1, None))
+            yield pd.DataFrame(rows, columns=["path", "relative", "turn", "dpi"])
+
+    def done(relative: str, image: Callable[[], tuple[np.ndarray, float | None]]) -> tuple[str, bytes | None, str | None]:
+        try:
+            pixels, dpi = image()
+            before = kernels.flatten_alpha(pixels)
+            after = work_on(before, settings, dpi)
+            return relative, png.encode(side_by_side(before, after) if kind == "test" else after, settings.dpi), None
+        except Exception as problem:  # noqa: BLE001  one bad image is one row
+            return relative, None, f"{type(problem).__name__}: {problem}"
+
+    def own(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame([done(r, lambda c=c: png.decode(bytes(c))) for r, c in frame.itertuples(index=False)], columns=["relative", "body", "problem"])
+
+    def others(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def decoded(height: float, width: float, channels: float, data: bytes | None, turn: int, dpi: float) -> tuple[np.ndarray, float | None]:
+            if data is None:
+                raise ValueError("unreadable")
+            return jpeg.upright(_pixels(int(height), int(width), int(channels), data), int(turn)), None if dpi != dpi else dpi
+
+        for frame in frames:
+            yield pd.DataFrame([done(row[0], lambda row=row: decoded(*row[1:])) for row in frame.itertuples(index=False)], columns=["relative", "body", "problem"])
+
+    schema = "relative string, body binary, problem string"
+    told = headers.where("not is_png").mapInPandas(tell, "path string, relative string, turn int, dpi double")
+    ready = headers.where("is_png").select("relative", "content").mapInPandas(own, schema)
+    ready = ready.unionByName(files.with_pixels(spark, root, told).select("relative", "height", "width", "nChannels", "data", "turn", "dpi").mapInPandas(others, schema))
+    name = lambda: F.ltrim(T.output_path("relative", "", suffix), F.lit("/"))
+    written = sinks.put_files(ready.select(name().alias("path"), F.col("body").alias("content"), F.col("problem").alias("error")), out)
+    return listed.select("relative", "output", name().alias("path")).join(written, "path").drop("path")

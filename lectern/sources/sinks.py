@@ -5,9 +5,12 @@ from __future__ import annotations
 import json
 import os
 import tempfile
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
 from pathlib import Path
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,16 +58,48 @@ def write_by_page(rows: DataFrame, path: str, page: str = "page_key") -> None:
     rows.write.mode("overwrite").partitionBy(page).json(path)
 
 
-def write_texts(rows: DataFrame, root: str, path: str = "relative", text: str = "text") -> None:
-    """One text file per row, written by the executors; for a folder they share."""
-
-    def put(part) -> None:
-        for row in part:
-            target = Path(root, row[path])
-            target.parent.mkdir(parents=True, exist_ok=True)
-            target.write_text((row[text] or "") + "\n", encoding="utf-8")
-
-    rows.select(path, text).foreachPartition(put)
+def put_files(rows: DataFrame, root: str) -> DataFrame:
+    """Writes a file per row (path, content, error) below ``root`` and gives back (path, status, error), finished and stored.
+
+    ``root`` is a folder that all executors share, or a URI that they can write to.  Each file appears
+    whole, by renaming, so a task that runs again does no harm.  A row with an error writes nothing and keeps it.
+    The job runs once, here: the result is read from the table of statuses in ``root/_written``.
+    """
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = (pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root))
+        for batch in batches:
+            out: list[tuple[str, str, str | None]] = []
+            for name, body, problem in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                if problem is not None:
+                    out.append((name, "error", problem))
+                    continue
+                try:
+                    folder, _, last = f"{base.rstrip('/')}/{name}".rpartition("/")
+                    store.create_dir(folder, recursive=True)
+                    part = f"{folder}/.{last}.{uuid.uuid4().hex}"
+                    with store.open_output_stream(part) as stream:
+                        stream.write(body.as_buffer())
+                    store.move(part, f"{folder}/{last}")
+                    out.append((name, "ok", None))
+                except OSError as failure:
+                    out.append((name, "error", str(failure)))
+            columns = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["path", "status", "error"])
+
+    written = f"{root.rstrip('/')}/_written/{uuid.uuid4().hex}"
+    rows.select("path", F.coalesce(F.col("content").cast("binary"), F.lit(b"")), "error").mapInArrow(put, "path string, status string, error string").write.parquet(written)
+    return rows.sparkSession.read.parquet(written)
+
+
+def write_texts(rows: DataFrame, root: str, path: str = "relative", text: str = "text") -> DataFrame:
+    """One text file per row; see :func:`put_files`."""
+    ready = rows.select(F.col(path).alias("path"), F.concat(F.coalesce(F.col(text), F.lit("")), F.lit("\n")).alias("content"), F.lit(None).cast("string").alias("error"))
+    done = put_files(ready, root)
+    broken = done.where("status = 'error'").select("error").limit(1).collect()
+    if broken:
+        raise OSError(broken[0]["error"])
+    return done
 
 
 def write_report(path: str, rows: DataFrame, fields: Sequence[str], failures: Sequence[str] = ()) -> None:

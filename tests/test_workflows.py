@@ -98,6 +98,63 @@ def test_images_from_folder_to_folder(spark, tmp_path):
         W.prepare_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"))
 
 
+def write_jpeg(spark, path, pixels, turn=None, dpi=None):
+    """By the JVM; the header parts are added by hand."""
+    import struct
+
+    awt, height, width = spark._jvm.java.awt.image, *pixels.shape[:2]
+    image = awt.BufferedImage(width, height, awt.BufferedImage.TYPE_INT_RGB)
+    for y in range(height):
+        for x in range(width):
+            image.setRGB(x, y, int(pixels[y, x]) * 0x010101)
+    spark._jvm.javax.imageio.ImageIO.write(image, "jpg", spark._jvm.java.io.File(str(path)))
+    data = path.read_bytes()
+    if dpi:
+        at = data.index(b"JFIF\0")
+        data = data[: at + 7] + struct.pack(">BHH", 1, dpi, dpi) + data[at + 12 :]
+    if turn:
+        tiff = b"MM\0*" + struct.pack(">IHHHIHHI", 8, 1, 0x0112, 3, 1, turn, 0, 0)
+        body = b"Exif\0\0" + tiff
+        data = data[:2] + b"\xff\xe1" + struct.pack(">H", len(body) + 2) + body + data[2:]
+    path.write_bytes(data)
+
+
+def test_jpeg_files_are_profiled_and_prepared(spark, tmp_path):
+    (tmp_path / "in/a b").mkdir(parents=True)
+    write_jpeg(spark, tmp_path / "in/a b/1.jpg", picture(), dpi=300)
+    write_jpeg(spark, tmp_path / "in/a b/2.JPG", picture().T, turn=6, dpi=300)
+    (tmp_path / "in/a b/3.jpg").write_bytes(b"broken")
+    (tmp_path / "in/4.png").write_bytes(png.encode(picture(), 300))
+    tables = W.corpus_profile(spark, str(tmp_path / "in"))
+    assert {r["file_type"]: r["n"] for r in tables["types"].collect()} == {"jpg": 3, "png": 1}
+    assert [tuple(r)[:3] for r in tables["sizes"].collect()] == [(260, 120, 2), (120, 260, 1)]
+    assert tables["unreadable"].first()[0] == 1
+    row = tables["statistics"].where("measure = 'brightness'").first()
+    assert row["n"] == 3 and abs(row["mean"] - picture().mean()) < 1
+    for kind, suffix in W.SUFFIXES.items():
+        done = {r["relative"]: r for r in W.prepare_folder(spark, str(tmp_path / "in"), str(tmp_path / kind), kernels.Settings(strength=0), "binarize", kind).collect()}
+        assert {k: r["status"] for k, r in done.items()} == {"a b/1.jpg": "ok", "a b/2.JPG": "ok", "a b/3.jpg": "error", "4.png": "ok"}
+        assert done["a b/3.jpg"]["error"] and done["4.png"]["error"] is None
+        shapes = [png.decode((tmp_path / kind / f"{stem}{suffix}").read_bytes())[0].shape for stem in ("a b/1", "a b/2", "4")]
+        assert shapes[0] == shapes[2] == ((120, 530) if kind == "test" else (120, 260))
+        assert shapes[1] == shapes[0]  # turned by a quarter
+
+
+@pytest.mark.parametrize("turn", range(1, 9))
+def test_orientations(turn):
+    from lectern.sources import jpeg
+
+    # where the first row and column of the stored picture are to be seen, by number
+    edges = {1: "top left", 2: "top right", 3: "bottom right", 4: "bottom left", 5: "left top", 6: "right top", 7: "right bottom", 8: "left bottom"}
+    stored = np.zeros((4, 6), np.uint8)
+    stored[0, :], stored[:, 0] = 1, 2
+    stored[0, 0] = 3
+    seen = jpeg.upright(stored, turn)
+    side = {"top": seen[0], "bottom": seen[-1], "left": seen[:, 0], "right": seen[:, -1]}
+    row, column = edges[turn].split()
+    assert set(side[row].tolist()) == {1, 3} and set(side[column].tolist()) == {2, 3}
+
+
 def test_png_filters():
     import struct
     import zlib
