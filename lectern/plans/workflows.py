@@ -23,7 +23,7 @@ KEYS = ("split", "writer_id", "page_id", "image")
 SUMMARY = ("configuration", "completed_records", "coverage", "completed_pages", "partial_pages", "empty_outputs", "exact_matches", "exact_accuracy", "mean_word_cer", "mean_word_wer", "mean_page_cer", "mean_page_wer", "corpus_cer", "corpus_wer")
 
 
-def _records(parsed: DataFrame, strict: bool, extra: Sequence[str] = ()) -> DataFrame:
+def records(parsed: DataFrame, strict: bool, extra: Sequence[str] = ()) -> DataFrame:
     """Log lines as key columns, page_key, input_path, status, text, suspicious_output, pos."""
     key = T.record_image_key("record.relative_input_path", "record.input_path", strict)
     rows = parsed.where("not malformed").withColumn("key", key).where("key is not null")
@@ -37,7 +37,7 @@ def evaluate(spark: SparkSession, results: str, manifest_csv: str, out: str | No
     """
     manifest = files.read_manifest(spark, manifest_csv).select("key.*", T.page_key("key.split", "key.writer_id", "key.page_id").alias("page_key"), "ground_truth_text", "image_path")
     parsed = files.read_configurations(spark, results)
-    done = logs.latest(_records(parsed, True, ("configuration",)).drop("page_key"), ["configuration", *KEYS], mode="completed")
+    done = logs.latest(records(parsed, True, ("configuration",)).drop("page_key"), ["configuration", *KEYS], mode="completed")
     words = metrics.word_metrics(done, manifest, KEYS)
     pages = metrics.page_metrics(words, manifest, ("configuration",))
     tables = {"words": words, "pages": pages, "summary": metrics.summary(words, pages, manifest)}
@@ -48,13 +48,27 @@ def evaluate(spark: SparkSession, results: str, manifest_csv: str, out: str | No
     return tables
 
 
-def compare(spark: SparkSession, log_a: str, log_b: str, model_a: str, model_b: str, inventory_csv: str | None = None, out: str | None = None, threshold: float = agreement.THRESHOLD, complete_only: bool = False, allow_mismatched: bool = False, **choice) -> dict[str, DataFrame]:
+FLUENCY_SIDE = "page_key string, status string, score int, reason string"
+ERROR_SIDE = "page_key string, status string, detected_error_count bigint, flagged_region_count bigint, expected_words bigint, missing_or_error_words bigint"
+
+
+def side_results(spark: SparkSession, path: str | None, schema: str) -> DataFrame:
+    """The last successful record of each page in a review's log; none without a log."""
+    if path is None:
+        return spark.createDataFrame([], schema)
+    rows = files.read_log(spark, path, schema).where("not malformed").select("path", "pos", "record.*").where("page_key <> ''")
+    return logs.latest(rows.withColumn("at", F.struct("path", "pos")), ["page_key"], "at", mode="ok").drop("path", "pos", "at")
+
+
+def compare(spark: SparkSession, log_a: str, log_b: str, model_a: str, model_b: str, inventory_csv: str | None = None, out: str | None = None, threshold: float = agreement.THRESHOLD, complete_only: bool = False, allow_mismatched: bool = False, fluency: tuple[str | None, str | None] = (None, None), errors: tuple[str | None, str | None] = (None, None), **choice) -> dict[str, DataFrame]:
     """Word, page, unpaired and excluded tables and a summary of two logs.
 
     The last record of an image counts whatever its status.  Pages are chosen before
     anything is scored; ``choice`` is that of :func:`lectern.operators.review.select_pages`.
+    ``fluency`` and ``errors`` are logs of both models' reviews; where any is given there is also a
+    combined table, in which pages without a review keep nulls.
     """
-    a, b = (logs.latest(_records(files.read_log(spark, path), False), KEYS) for path in (log_a, log_b))
+    a, b = (logs.latest(records(files.read_log(spark, path), False), KEYS) for path in (log_a, log_b))
     kind = logs.check_same_kind(a, b, allow_mismatched)
     if inventory_csv:
         inventory = files.read_inventory(spark, inventory_csv).select("key.*", "image_path").dropDuplicates(list(KEYS)).withColumn("page_key", T.page_key())
@@ -74,6 +88,8 @@ def compare(spark: SparkSession, log_a: str, log_b: str, model_a: str, model_b:
     pages = agreement.pages(words, "image", threshold)
     unpaired = logs.pages_unpaired(a, b, model_a, model_b)
     tables = {"words": words, "review": words.where("human_review"), "pages": pages, "unpaired": unpaired, "excluded": excluded}
+    if any((*fluency, *errors)):
+        tables["combined"] = agreement.combined(pages, {s: side_results(spark, path, FLUENCY_SIDE) for s, path in zip("ab", fluency, strict=True)}, {s: side_results(spark, path, ERROR_SIDE) for s, path in zip("ab", errors, strict=True)})
     tables["summary"] = agreement.summary(words, pages, unpaired.count(), excluded.count())
     if out:
         for name, table in tables.items():
@@ -84,7 +100,7 @@ def compare(spark: SparkSession, log_a: str, log_b: str, model_a: str, model_b:
 
 def review_pages(spark: SparkSession, log: str, inventory_csv: str | None = None, out: str | None = None, **choice) -> DataFrame:
     """Chosen pages with their ordered regions; the selection is written beside them."""
-    latest = logs.latest(_records(files.read_log(spark, log), False), KEYS)
+    latest = logs.latest(records(files.read_log(spark, log), False), KEYS)
     inventory = files.read_inventory(spark, inventory_csv).select("key.*").distinct() if inventory_csv else latest.select(*KEYS)
     pages = review.select_pages(review.build_pages(latest, inventory), **choice)
     if out:

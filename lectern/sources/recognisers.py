@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 Recogniser = Callable[[dict], dict]
 
@@ -21,7 +22,7 @@ def apply(rows: DataFrame, factory: Callable[[], Recogniser], answer: str, parti
 
     ``partitions`` bounds how many recognisers run at a time.
     """
-    names = [part.strip().split(" ")[0] for part in answer.split(",")]
+    names = StructType.fromDDL(answer).names
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", status string, error string, elapsed_seconds double, {answer}"
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
