@@ -7,14 +7,17 @@ all words.  The first words of a document use the context there is.  A document'
 is the sum of the logarithms.
 
 Relationally: documents are exploded into n-grams (64-bit hashes), one row per block of
-documents and n-gram with its count there; the count table is their aggregate by hash; it is
-joined back to the rows, and each block sums the logarithms per document.
-
-Scale: one plan at every size.  All n-grams of all documents are counted.  A block sends an
-n-gram once however often it has it, so a very common one costs a row per block.  The rows are
-dealt out by hash once, for the aggregate and the join.  An n-gram that one block alone has
-needs no answer: its count there is its total.  Blocks hold ``block_bytes`` of text, so tasks
-don't grow with the corpus.  Texts travel once, compressed, into blocks; that exchange serves both
+documents and n-gram with its count there; the count table, partitioned by hash, is their
+aggregate; it is joined back to the rows (both in one window over the hash), and each block sums the
+logarithms per document.
+
+Scale: one plan at every size.  All n-grams of all documents are counted.  A block has an
+n-gram once however often it occurs, so a very common one costs a row per block.  To the table and back
+the rows of a block and bucket (a range of hashes) travel as one array: hashes and counts there, and only
+the totals, in the order of the hashes, back; between, Spark explodes, counts and joins them.
+Blocks hold ``block_bytes`` of text and there are as many buckets as blocks, so neither grows with the
+corpus.  Arrays get shorter as blocks get more, down to one n-gram each, some three times the bytes.
+Texts travel once, compressed, into blocks; that exchange serves both
 counting and scoring.  Equal rows of a batch travel as one, and those of different batches go to
 different blocks.  A very long text is one block and is scored whole.
 
@@ -32,10 +35,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Poly, mix, shuffle_partitions, slices, text_bytes, word_hashes
+from lectern.llm.common import Poly, group_starts, mix, shuffle_partitions, slices, whole_groups, word_hashes
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -54,6 +57,20 @@ PRODUCTION = Model()
 TRIGRAM = Model(order=3)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Eight-byte values as byte planes, which compress."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).reshape(-1).view(np.int64)
+
+
+def bucket_edges(n_buckets: int) -> np.ndarray:
+    """Where each of so many equal ranges of signed hashes begins."""
+    return np.array([(k << 64) // n_buckets - (1 << 63) for k in range(n_buckets)], np.int64)
+
+
 class Grams:
     """Hashes of the n-grams that end at each word of some compressed texts."""
 
@@ -114,35 +131,44 @@ def score(docs: DataFrame, model: Model = PRODUCTION) -> DataFrame:
     back = math.log(model.backoff)
     blocks = blocks_of(docs, n_blocks)
 
-    def asked_by(table: pa.Table) -> tuple[Grams, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-        """A block's n-grams and for each order the different hashes, where each n-gram is among them, and their counts."""
-        grams, out = Grams(table["z"], order), []
+    def asked_by(table: pa.Table) -> tuple[Grams, np.ndarray, list[np.ndarray], np.ndarray]:
+        """A block's n-grams: the different hashes in order, where those of each order are among them, and their counts."""
+        grams = Grams(table["z"], order)
         times = np.repeat(table["n_same"].to_numpy(), grams.n_words)
-        for n in range(1, order + 1):
-            hashes, where = np.unique(grams.of(n), return_inverse=True)
-            out.append((hashes, where, np.bincount(where, weights=times[grams.ends[n - 1]], minlength=len(hashes)).astype(np.int64)))
-        return grams, out
+        parts = [grams.of(n).view(np.int64) for n in range(1, order + 1)]
+        hashes, where = np.unique(np.concatenate(parts), return_inverse=True)
+        weights = np.concatenate([times[ends] for ends in grams.ends])
+        counts = np.bincount(where, weights=weights, minlength=len(hashes)).astype(np.int64)
+        return grams, hashes, np.split(where, np.cumsum([len(x) for x in parts])[:-1]), counts
 
     def count(table: pa.Table) -> pa.Table:
-        _, asked = asked_by(table)
-        hashes, counts = np.concatenate([h for h, _, _ in asked]), np.concatenate([c for _, _, c in asked])
-        return pa.table({"block": pa.array(np.full(len(hashes), table["block"][0].as_py(), np.int32)), "hash": pa.array(hashes.view(np.int64)), "n": pa.array(counts)})
+        _, hashes, _, counts = asked_by(table)
+        at = np.append(np.searchsorted(hashes, bucket_edges(n_blocks)), len(hashes))
+        full = np.flatnonzero(np.diff(at))
+        bounds = pa.array(np.append(at[full], at[-1]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (hashes, counts)]
+        return pa.table({"bucket": pa.array(full.astype(np.int32)), "block": pa.array(np.full(len(full), table["block"][0].as_py(), np.int32)), "hash": lists[0], "n": lists[1]})
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted rows (bucket, block, total) as one array for each bucket and block."""
+        for table in whole_groups(batches, ["bucket", "block"]):
+            bucket, block, total = (table[c].to_numpy() for c in ("bucket", "block", "total"))
+            bounds = group_starts(bucket, block)
+            packed = [planes(total[lo:hi]) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(block[bounds[:-1]]), pa.array(bucket[bounds[:-1]]), pa.array(packed, pa.binary())], ["block", "bucket", "totals"])
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
-        grams, asked = asked_by(table)
-        told, total = answers["hash"].to_numpy().view(np.uint64), answers["total"].to_numpy()
-        rising = np.argsort(told)
-        told, total = told[rising], total[rising]
+        grams, _, places, _ = asked_by(table)
+        totals = [from_planes(x.as_py()) for x in answers.sort_by("bucket")["totals"]]
+        total = np.concatenate(totals) if totals else np.zeros(0, np.int64)
         n_words = len(grams.hashes[0])
         logs = context = np.zeros(n_words)
-        for n, (hashes, where, counts) in enumerate(asked, 1):
-            at = np.minimum(np.searchsorted(told, hashes), max(len(told) - 1, 0))
-            if len(told):
-                counts = np.where(told[at] == hashes, total[at], counts)
+        for n, where in enumerate(places, 1):
+            counts = total[where]
             if n > 1:
                 counts = np.where(counts >= min_count, counts, 0)
             here = np.zeros(n_words)
-            here[grams.ends[n - 1]] = counts[where]
+            here[grams.ends[n - 1]] = counts
             if n == 1:
                 logs = np.log(here / max(all_words, 1), where=here > 0, out=np.zeros(n_words))
             else:
@@ -158,9 +184,12 @@ def score(docs: DataFrame, model: Model = PRODUCTION) -> DataFrame:
             sums[some] = np.add.reduceat(logs, grams.first[some])
         return pa.table({"doc_id": table["doc_id"], "n_same": table["n_same"], "n_words": pa.array(grams.n_words, pa.int64()), "log_score": pa.array(sums)})
 
-    asked = blocks.groupBy("block").applyInArrow(count, "block int, hash bigint, n bigint").repartition(shuffle_partitions(docs.sparkSession), "hash")
-    table = asked.groupBy("hash").agg(F.sum("n").alias("total"), F.count("*").alias("blocks")).where("blocks > 1").select("hash", "total")
-    answers = asked.select("block", "hash").join(table.hint("shuffle_hash"), "hash").select("block", "hash", "total")
+    dealt = blocks.groupBy("block").applyInArrow(count, "bucket int, block int, hash array<bigint>, n array<bigint>").repartition(shuffle_partitions(docs.sparkSession), "bucket")
+    asked = dealt.select("bucket", "block", F.inline(F.arrays_zip("hash", "n")))
+    # the table's aggregate and its join to the rows are one window: what a bucket holds is in one partition, so neither shuffles again
+    total = F.sum("n").over(Window.partitionBy("hash", "bucket"))
+    found = asked.select("bucket", "block", "hash", total.alias("total"))
+    answers = found.sortWithinPartitions("bucket", "block", "hash").select("bucket", "block", "total").mapInArrow(pack, "block int, bucket int, totals binary")
     scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, "doc_id bigint, n_same bigint, n_words bigint, log_score double")
     return scored.select("doc_id", F.explode(F.sequence(F.lit(1).cast("bigint"), "n_same")), "n_words", "log_score").drop("col")
 

@@ -4,6 +4,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from compare import differences
 
@@ -50,6 +51,11 @@ def test_repeated_rows_and_nothing(spark, make):
     assert L.score(make([])).count() == 0
 
 
+def test_planes():
+    x = np.array([0, 1, -5, 2**62], np.int64)
+    assert (L.from_planes(L.planes(x)) == x).all() and L.planes(x[:0]) == b""
+
+
 def test_equal_rows_count_each_and_part(spark, make):
     rows = [(7, "so it goes on")] * 500 + [(8, "so it went")]
     model = L.Model(order=3, block_bytes=100)
