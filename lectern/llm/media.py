@@ -6,14 +6,16 @@ lengths, so that the letters ``BM`` in prose are not taken for a bitmap.  A conf
 format at the start corrects the declared type; confirmed formats further in are
 carved out as embedded media.
 
-Formats: wav (RIFF/WAVE, PCM), png, gif, bmp (uncompressed 24 bit and paletted),
-zip (a complete local entry), gzip, pdf (header and trailer), flac, ogg.
+Formats: wav (RIFF/WAVE, PCM), webp, png, jpeg, gif, bmp (uncompressed 24 bit and paletted), tiff,
+mp4 (and its kin), mp3 (with a tag), zip (a whole archive, or else one complete entry), gzip, pdf
+(header and last trailer), flac, ogg.  Compressed parts are unpacked to be checked, in bounded pieces.
 
 Scale: each value is handled for itself in an Arrow map over the scan; nothing is
 shuffled, gathered or kept between rows.
 
 Cases: null and empty values give a null type and no embedded media; any bytes are
-accepted; other columns are carried along.
+accepted; other columns are carried along; keys of :func:`carve` that are called like one of its own
+columns come out with ``key_`` before their names.
 """
 
 from __future__ import annotations
@@ -28,9 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Magic bytes by format.
+# Magic bytes by format, and how far into the file they stand where that isn't the start.
 MAGIC = {
     "wav": b"RIFF",
+    "webp": b"RIFF",
+    "jpeg": b"\xff\xd8\xff",
+    "tiff_le": b"II*\0",
+    "tiff_be": b"MM\0*",
+    "mp4": b"ftyp",
+    "mp3": b"ID3",
     "png": b"\x89PNG\r\n\x1a\n",
     "gif87": b"GIF87a",
     "gif89": b"GIF89a",
@@ -41,7 +49,10 @@ MAGIC = {
     "flac": b"fLaC",
     "ogg": b"OggS",
 }
+BEHIND = {"mp4": 4}
+NAMES = {"gif87": "gif", "gif89": "gif", "tiff_le": "tiff", "tiff_be": "tiff"}
 SAMPLE_RATE = 8_000
+PIECE = 1 << 20  # unpacked at once
 
 
 def wav(samples: bytes) -> bytes:
@@ -128,32 +139,188 @@ def _bmp(data: memoryview, at: int) -> int:
     return size if ok else 0
 
 
-def _zip(data: memoryview, at: int) -> int:
+def _jpeg(data: memoryview, at: int) -> int:
+    """Segments up to the end marker; entropy-coded data has no other marker than restarts."""
+    pos, frame = at + 2, False
+    while pos + 4 <= len(data) and data[pos] == 0xFF:
+        marker = data[pos + 1]
+        if marker == 0xFF:
+            pos += 1
+            continue
+        if marker == 0xD9:
+            return pos + 2 - at if frame else 0
+        n = int.from_bytes(data[pos + 2 : pos + 4], "big")
+        if n < 2 or marker in (0, 1) or 0xD0 <= marker <= 0xD8 or pos + 2 + n > len(data):
+            return 0
+        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            frame = n >= 8
+        pos += 2 + n
+        if marker == 0xDA:
+            if not frame:
+                return 0
+            rest = bytes(data[pos:])
+            k = rest.find(b"\xff")
+            while 0 <= k < len(rest) - 1 and (rest[k + 1] == 0 or 0xD0 <= rest[k + 1] <= 0xD7):
+                k = rest.find(b"\xff", k + 2)
+            if k < 0:
+                return 0
+            pos += k
+    return pos + 2 - at if frame and pos + 2 <= len(data) and bytes(data[pos : pos + 2]) == b"\xff\xd9" else 0
+
+
+def _webp(data: memoryview, at: int) -> int:
+    if len(data) < at + 20 or data[at + 8 : at + 12] != b"WEBP":
+        return 0
+    end, pos, first = at + 8 + struct.unpack_from("<I", data, at + 4)[0], at + 12, True
+    if end > len(data):
+        return 0
+    while pos + 8 <= end:
+        tag, n = struct.unpack_from("<4sI", data, pos)
+        if first and tag not in (b"VP8 ", b"VP8L", b"VP8X") or pos + 8 + n > end:
+            return 0
+        pos, first = pos + 8 + n + (n & 1), False
+    return end - at if pos in (end, end + 1) and not first else 0
+
+
+def _tiff(data: memoryview, at: int) -> int:
+    """Directories, the values that they point to, and strips or tiles."""
+    order = "<" if data[at] == 0x49 else ">"
+    sizes = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
+    if len(data) < at + 8:
+        return 0
+    place, end, seen = struct.unpack_from(order + "I", data, at + 4)[0], 8, set()
+    while place:
+        if place in seen or place < 8 or at + place + 2 > len(data):
+            return 0
+        seen.add(place)
+        n = struct.unpack_from(order + "H", data, at + place)[0]
+        after = place + 2 + 12 * n
+        if not n or at + after + 4 > len(data):
+            return 0
+        found: dict[int, list[int]] = {}
+        for k in range(n):
+            tag, kind, count = struct.unpack_from(order + "HHI", data, at + place + 2 + 12 * k)
+            width = sizes.get(kind, 0) * count
+            value = place + 2 + 12 * k + 8
+            if not width:
+                return 0
+            if width > 4:
+                value = struct.unpack_from(order + "I", data, at + value)[0]
+                end = max(end, value + width)
+            if at + value + width > len(data):
+                return 0
+            if tag in (273, 279, 324, 325) and kind in (3, 4):
+                found[tag] = list(struct.unpack_from(order + str(count) + "HI"[kind - 3], data, at + value))
+        starts, lengths = found.get(273, found.get(324, [])), found.get(279, found.get(325, []))
+        if not {256, 257} <= {struct.unpack_from(order + "H", data, at + place + 2 + 12 * k)[0] for k in range(n)} or len(starts) != len(lengths):
+            return 0
+        end = max([end, after + 4, *(a + b for a, b in zip(starts, lengths, strict=True))])
+        place = struct.unpack_from(order + "I", data, at + after)[0]
+    return end if seen and at + end <= len(data) else 0
+
+
+def _mp4(data: memoryview, at: int) -> int:
+    """Boxes one after the other; there must be a movie or a fragment of one."""
+    pos, kinds = at, []
+    while pos + 8 <= len(data):
+        n, kind = struct.unpack_from(">I4s", data, pos)
+        if n == 1 and pos + 16 <= len(data):
+            n = struct.unpack_from(">Q", data, pos + 8)[0]
+        elif n == 0:
+            n = len(data) - pos
+        if n < 8 or pos + n > len(data) or not kind.isalnum() or kinds and kind == b"ftyp":
+            break
+        kinds.append(kind)
+        pos += n
+    return pos - at if kinds[:1] == [b"ftyp"] and {b"moov", b"moof"} & set(kinds) else 0
+
+
+# Kilobits a second by version and layer (third), and samples a second by version.
+MP3_RATES = {3: (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320), 2: (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)}
+MP3_SAMPLES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
+
+
+def _mp3(data: memoryview, at: int) -> int:
+    """A tag and at least two frames of the third layer after it."""
+    if len(data) < at + 10 or data[at + 3] > 4 or any(data[at + k] & 0x80 for k in range(6, 10)):
+        return 0
+    pos, frames = at + 10 + sum(data[at + 9 - k] << 7 * k for k in range(4)), 0
+    while pos + 4 <= len(data) and data[pos] == 0xFF and data[pos + 1] & 0xE6 == 0xE2:
+        version, rate, samples = data[pos + 1] >> 3 & 3, data[pos + 2] >> 4, data[pos + 2] >> 2 & 3
+        if version == 1 or rate in (0, 15) or samples == 3:
+            break
+        n = (144 if version == 3 else 72) * 1000 * MP3_RATES[3 if version == 3 else 2][rate] // MP3_SAMPLES[version][samples] + (data[pos + 2] >> 1 & 1)
+        if pos + n > len(data):
+            break
+        pos, frames = pos + n, frames + 1
+    return pos - at if frames > 1 else 0
+
+
+def _inflated(data: memoryview, limit: int) -> tuple[int, int, int] | None:
+    """(size, checksum, bytes used) of raw deflated data, unpacked piece by piece; None if broken or larger than ``limit``."""
+    unpack, size, crc, rest = zlib.decompressobj(-15), 0, 0, data
+    try:
+        while not unpack.eof:
+            piece = unpack.decompress(rest, PIECE)
+            size, crc, rest = size + len(piece), zlib.crc32(piece, crc), unpack.unconsumed_tail
+            if size > limit or not piece and not rest and not unpack.eof:
+                return None
+    except zlib.error:
+        return None
+    return size, crc, len(data) - len(unpack.unused_data)
+
+
+def _entry(data: memoryview, at: int) -> int:
+    """A local entry whose sizes stand before it."""
     if len(data) < at + 30:
         return 0
     flags, method, _, _, crc, packed, plain, name, extra = struct.unpack_from("<HHHHIIIHH", data, at + 6)
     body = at + 30 + name + extra
     if flags & 8 or not name or body + packed > len(data) or method not in (0, 8):
         return 0
-    try:
-        raw = bytes(data[body : body + packed]) if method == 0 else zlib.decompress(data[body : body + packed], -15)
-    except zlib.error:
-        return 0
-    return body + packed - at if len(raw) == plain and zlib.crc32(raw) == crc else 0
+    if method == 0:
+        return body + packed - at if packed == plain and zlib.crc32(data[body : body + packed]) == crc else 0
+    return body + packed - at if _inflated(data[body : body + packed], plain) == (plain, crc, packed) else 0
+
+
+def _zip(data: memoryview, at: int) -> int:
+    """Up to the end record whose directory names the entry here; without one, the entry alone."""
+    rest = bytes(data[at:])
+    end = rest.find(b"PK\x05\x06")
+    while 0 <= end <= len(rest) - 22:
+        entries, size, start, comment = struct.unpack_from("<HIIH", rest, end + 10)
+        pos, n, first = start, 0, False
+        while start + size == end and rest[pos : pos + 4] == b"PK\x01\x02" and pos + 46 <= end:
+            name, extra, note = struct.unpack_from("<HHH", rest, pos + 28)
+            local = struct.unpack_from("<I", rest, pos + 42)[0]
+            if rest[local : local + 4] != MAGIC["zip"]:
+                break
+            first |= local == 0
+            pos, n = pos + 46 + name + extra + note, n + 1
+        if n and n == entries and pos == end and first and end + 22 + comment <= len(rest):
+            return end + 22 + comment
+        end = rest.find(b"PK\x05\x06", end + 1)
+    return _entry(data, at)
 
 
 def _gzip(data: memoryview, at: int) -> int:
-    unpack = zlib.decompressobj(31)
+    unpack, rest = zlib.decompressobj(31), data[at:]
     try:
-        unpack.decompress(data[at:])
+        while not unpack.eof:
+            piece = unpack.decompress(rest, PIECE)
+            rest = unpack.unconsumed_tail
+            if not piece and not rest and not unpack.eof:
+                return 0
     except zlib.error:
         return 0
-    return len(data) - at - len(unpack.unused_data) if unpack.eof else 0
+    return len(data) - at - len(unpack.unused_data)
 
 
 def _pdf(data: memoryview, at: int) -> int:
+    """Up to the last trailer before another header: a changed file has a trailer for each change."""
     rest = bytes(data[at:])
-    end = rest.find(b"%%EOF")
+    other = rest.find(b"%PDF-", 1)
+    end = rest.rfind(b"%%EOF", 0, other if other > 0 else len(rest))
     return end + 5 if rest[5:6].isdigit() and end > 0 and b"startxref" in rest[:end] else 0
 
 
@@ -183,7 +350,7 @@ def _ogg(data: memoryview, at: int) -> int:
     return 0
 
 
-VALIDATORS: dict[str, Callable[[memoryview, int], int]] = {"wav": _wav, "png": _png, "gif87": _gif, "gif89": _gif, "bmp": _bmp, "zip": _zip, "gzip": _gzip, "pdf": _pdf, "flac": _flac, "ogg": _ogg}
+VALIDATORS: dict[str, Callable[[memoryview, int], int]] = {"wav": _wav, "webp": _webp, "jpeg": _jpeg, "tiff_le": _tiff, "tiff_be": _tiff, "mp4": _mp4, "mp3": _mp3, "png": _png, "gif87": _gif, "gif89": _gif, "bmp": _bmp, "zip": _zip, "gzip": _gzip, "pdf": _pdf, "flac": _flac, "ogg": _ogg}
 
 
 class Sniffer:
@@ -193,17 +360,21 @@ class Sniffer:
         import ahocorasick
 
         self._automaton = ahocorasick.Automaton()
+        kinds: dict[bytes, list[str]] = {}
         for kind, magic in MAGIC.items():
-            self._automaton.add_word(magic.decode("latin-1"), (kind, len(magic)))
+            kinds.setdefault(magic, []).append(kind)
+        for magic, several in kinds.items():
+            self._automaton.add_word(magic.decode("latin-1"), (several, len(magic)))
         self._automaton.make_automaton()
 
     def __call__(self, data: bytes) -> list[tuple[int, int, str]]:
         found, view, behind = [], memoryview(data), 0
-        for end, (kind, n) in self._automaton.iter(data.decode("latin-1")):
-            at = end + 1 - n
-            if at >= behind and (length := VALIDATORS[kind](view, at)):
-                found.append((at, length, kind[:3] if kind.startswith("gif") else kind))
-                behind = at + length
+        for end, (kinds, n) in self._automaton.iter(data.decode("latin-1")):
+            for kind in kinds:
+                at = end + 1 - n - BEHIND.get(kind, 0)
+                if at >= behind and (length := VALIDATORS[kind](view, at)):
+                    found.append((at, length, NAMES.get(kind, kind)))
+                    behind = at + length
         return found
 
     def inside(self, data: bytes) -> tuple[str | None, list[tuple[int, int, str]]]:
@@ -241,9 +412,11 @@ def sniff(df: DataFrame, column: str, declared: str | None = None) -> DataFrame:
 
 def carve(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """One row per embedded file: ``keys``, offset, length, type and its bytes."""
-    found = sniff(df.select(*keys, column), column)
-    each = found.select(*keys, column, F.explode("embedded").alias("e"))
-    return each.select(*keys, "e.offset", "e.length", "e.type", F.substring(F.col(column), F.col("e.offset").cast("int") + 1, F.col("e.length").cast("int")).alias("bytes"))
+    own = ("offset", "length", "type", "bytes")
+    names = [f"key_{k}" if k in own else k for k in keys]
+    found = sniff(df.select(*[F.col(f"`{k}`").alias(f"_key_{n}") for n, k in enumerate(keys)], F.col(f"`{column}`").alias("_value")), "_value")
+    each = found.select(*[F.col(f"_key_{n}").alias(name) for n, name in enumerate(names)], "_value", F.explode("embedded").alias("_e"))
+    return each.select(*[F.col(f"`{n}`") for n in names], "_e.offset", "_e.length", "_e.type", F.substring(F.col("_value"), F.col("_e.offset").cast("int") + 1, F.col("_e.length").cast("int")).alias("bytes"))
 
 
 def payload(text: bytes, unit: int = 192) -> bytes:

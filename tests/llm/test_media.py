@@ -8,6 +8,8 @@ import struct
 import zipfile
 import zlib
 
+import pytest
+
 from lectern.llm import media as M
 
 
@@ -91,3 +93,74 @@ def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = {r["doc_id"]: r["n_bytes"] for r in M.digest(M.as_media(docs)).collect()}
     assert got == {r["doc_id"]: len(r["text"].encode()) for r in docs.collect()}
+
+
+def more_media():
+    """Files of the formats above, made by hand or by the standard library."""
+    import gzip
+    import io
+    import struct
+    import zipfile
+
+    seg = lambda m, body: b"\xff" + bytes([m]) + struct.pack(">H", len(body) + 2) + body
+    jpeg = b"\xff\xd8" + seg(0xE0, b"JFIF\0" + bytes(9)) + seg(0xDB, bytes(65)) + seg(0xC0, bytes([8, 0, 8, 0, 8, 1, 1, 17, 0])) + seg(0xDA, bytes(6)) + b"ab\xff\x00cd\xff\xd0ef\xff\xd9"
+    chunk = b"VP8L" + struct.pack("<I", 5) + b"/abcd\0"
+    webp = b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
+    box = lambda kind, body: struct.pack(">I", 8 + len(body)) + kind + body
+    mp4 = box(b"ftyp", b"isom\0\0\2\0") + box(b"mdat", b"x" * 40) + box(b"moov", box(b"mvhd", bytes(20)))
+    frame = b"\xff\xfb\x90\x00" + bytes(413)
+    mp3 = b"ID3\3\0\0" + bytes([0, 0, 0, 5]) + b"title" + frame * 3
+    tags = [(256, 3, 1, 4), (257, 3, 1, 2), (273, 4, 1, 8), (279, 4, 1, 8)]
+    tiff = b"II*\0" + struct.pack("<I", 16) + b"pixels!!" + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + bytes(4)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.txt", "hello " * 50)
+        z.writestr("b.txt", "there")
+    plain = out.getvalue()
+
+    class Pipe(io.RawIOBase):  # can't seek, so sizes follow the entries
+        def __init__(self):
+            self.data = b""
+
+        def writable(self):
+            return True
+
+        def write(self, b):
+            self.data += bytes(b)
+            return len(b)
+
+    pipe = Pipe()
+    with zipfile.ZipFile(pipe, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.txt", "hello " * 50)
+        z.writestr("b.txt", "there")
+    pdf = b"%PDF-1.4\nx startxref 1 %%EOF\nmore startxref 9 %%EOF"
+    return [("jpeg", jpeg), ("webp", webp), ("mp4", mp4), ("mp3", mp3), ("tiff", tiff), ("zip", plain), ("zip", pipe.data), ("pdf", pdf), ("gzip", gzip.compress(bytes(30_000_000)))]
+
+
+@pytest.mark.parametrize("k", range(9))
+def test_more_formats(k):
+    kind, data = more_media()[k]
+    sniffer = M.Sniffer()
+    assert sniffer.inside(data) == (kind, [])
+    assert sniffer.inside(b"text before " + data + b" and after") == (None, [(12, len(data), kind)])
+    if kind not in ("mp3", "pdf"):
+        assert sniffer(data[:-3]) == [] or kind == "zip" and sniffer(data[:-3])[0][1] < len(data)
+
+
+def test_all_in_a_row():
+    files = more_media()
+    data = b"-".join(d for _, d in files)
+    assert [k for _, _, k in M.Sniffer()(data)] == [k for k, _ in files]
+
+
+def test_magic_words_in_prose_are_nothing():
+    assert M.Sniffer()(b"BM RIFF ID3 ftyp II*\0 MM\0* PK\3\4 %PDF- \xff\xd8\xff GIF89a OggS fLaC \x1f\x8b\x08 " * 20) == []
+
+
+def test_carve_keeps_clashing_keys(spark):
+    kind, data = more_media()[0]
+    rows = spark.createDataFrame([(5, "t", b"xx" + data)], "offset int, type string, media binary")
+    out = M.carve(rows, "media", ["offset", "type"])
+    assert out.columns == ["key_offset", "key_type", "offset", "length", "type", "bytes"]
+    r = out.first()
+    assert (r["key_offset"], r["offset"], r["type"], bytes(r["bytes"])) == (5, 2, kind, data)
