@@ -17,8 +17,8 @@ rows isn't one task.  Blocks are bounded by their budget.  The per-source parame
 broadcast only below ``BROADCAST_SOURCES`` sources.
 
 Cases: tokens are words ``[^\\x20\\x09-\\x0D]+``; a null text has none; a null source
-counts as the empty one; a source without tokens has no weight and passes once; equal
-rows (doc_id, source, text) share a position and keep their number; an empty table gives
+counts as the empty one; a source without tokens has no weight and passes once, spread over
+all blocks; equal rows (doc_id, source, text) share a position and keep their number; an empty table gives
 an empty result; other columns are carried by :func:`mix` alone.
 """
 
@@ -108,7 +108,8 @@ def plan(docs: DataFrame, mixture: Mixture = PRODUCTION) -> DataFrame:
     copies = units.join(sources, "source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
     copies = copies.withColumn("order_key", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_md5", F.col("epoch").cast("string")).cast("binary")))
     n_buckets = max(1, (facts["units"] or 0) // mixture.bucket_rows)
-    copies = copies.withColumn("bucket", F.floor(F.conv(F.substring("order_key", 1, 7), 16, 10).cast("bigint") * n_buckets / F.lit(1 << 28)).cast("bigint"))
+    share = lambda n: F.conv(F.substring("order_key", 1, 7), 16, 10).cast("bigint") * F.lit(n) / F.lit(1 << 28)  # noqa: E731  0 to n, by the key
+    copies = copies.withColumn("bucket", F.floor(share(n_buckets)).cast("bigint"))
     weight = F.col("tokens") * F.col("n_same")
     inside = Window.partitionBy("source", "epoch", "bucket").orderBy("order_key").rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy("source", "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -117,7 +118,7 @@ def plan(docs: DataFrame, mixture: Mixture = PRODUCTION) -> DataFrame:
     placed = copies.withColumn("inside", F.coalesce(F.sum(weight).over(inside), F.lit(0))).join(bucket_starts, ["source", "epoch", "bucket"])
     at = F.col("epoch") * F.col("source_tokens") + F.col("bucket_start") + F.col("inside")
     placed = placed.withColumn("at", at).where("epoch = 0 or at < budget")
-    block = F.least(F.lit(blocks - 1), F.when(F.col("budget") > 0, F.floor(F.col("at").cast("decimal(38,0)") * F.lit(blocks).cast("decimal(20,0)") / F.col("budget").cast("decimal(38,0)"))).otherwise(0)).cast("bigint")
+    block = F.least(F.lit(blocks - 1), F.when(F.col("budget") > 0, F.floor(F.col("at").cast("decimal(38,0)") * F.lit(blocks).cast("decimal(20,0)") / F.col("budget").cast("decimal(38,0)"))).otherwise(F.floor(share(blocks)))).cast("bigint")
     placed = placed.withColumn("block_id", block)
     in_block = Window.partitionBy("block_id").orderBy(F.reverse("order_key"), "source").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("position", F.coalesce(F.sum("n_same").over(in_block), F.lit(0))).select("doc_id", "source", "text_md5", "tokens", "n_same", "epoch", "block_id", "position")
@@ -176,7 +177,7 @@ keyed as (select *, md5(coalesce(cast(doc_id as varchar), '') || ':' || text_md5
 placed as (
   select *, epoch * source_tokens + cast(coalesce(sum(tokens * n_same) over (partition by source, epoch order by order_key rows between unbounded preceding and 1 preceding), 0) as bigint) as stream_at
   from keyed),
-kept as (select p.*, least(b.n - 1, case when budget > 0 then cast(stream_at * b.n // budget as bigint) else 0 end) as block_id from placed p, blocks b where epoch = 0 or stream_at < budget),
+kept as (select p.*, least(b.n - 1, case when budget > 0 then cast(stream_at * b.n // budget as bigint) else cast(('0x' || substr(order_key, 1, 7)) as bigint) * b.n // 268435456 end) as block_id from placed p, blocks b where epoch = 0 or stream_at < budget),
 positions as (
   select *, cast(coalesce(sum(n_same) over (partition by block_id order by reverse(order_key), source rows between unbounded preceding and 1 preceding), 0) as bigint) as position
   from kept)

@@ -15,7 +15,6 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -30,25 +29,50 @@ MAX_RULES = 1_000_000
 # The production rules, verdict and host/path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
-# Words of the labelled table.
-BLOCK_NAMES = "casino-win free-bets cheap-pills online-casino poker-slots payday-loans viagra-shop replica-watches jackpot-city adult-cams crypto-doubler miracle-cure free-prizes keygen-crack xxx-video fast-cash pills-online bets-bonus ads-tracker pixel-track ads-server spam-links link-farm spam-blog adult-chat adult-x-rated".split()
-ALLOW_NAMES = "library museum news weather university wiki docs recipes gardening history science travel maps music school city-council bookshop astronomy football cycling".split()
-SYLLABLES = "an en er in le ma no ra sti ta the ver wh".split()
-DOMAINS = "example.com example.net example.org".split()
+# The labelled table's hosts, written down by hand, and the paths that its urls take in turn.
+BLOCK_HOSTS = """
+casino-win.com free-bets.net cheap-pills.biz online-casino.info pokerslots.club payday-loans-now.com viagra-shop.biz replica-watches.ru
+jackpotcity.win adult-cams.tv crypto-doubler.io miracle-cure.shop free-prizes.click keygen-crack.to xxx-video.tv fast-cash-loans.com
+pills-online.top bets-bonus.win ads-tracker.net pixel-track.net ads-server.com spam-links.net link-farm.org spamblog.info adult-chat.com
+xrated-videos.com slots-bonus.com bestcasino.club win-prizes.top cheap-replica.shop cracked-software.to serial-keygen.net torrent-cracks.ru
+hot-singles-dating.click forex-millions.biz bitcoin-casino.io weight-loss-pills.com diet-miracle.top penny-loans.biz betting-tips-win.com
+poker-bonus.net casino-spins.com freespins.win lottery-winner.click click-tracker.com adserver-cdn.net banner-ads.biz popup-ads.net
+seo-backlinks.info buy-backlinks.net linkexchange-farm.com porn-tube.tv sexcams.club escort-girls.info steroid-shop.biz fake-diploma.com
+cheap-meds.top no-prescription-pharmacy.biz instant-cash-advance.com crypto-giveaway.io double-your-coins.net spyware-cleaner-free.top
+""".split()
+ALLOW_HOSTS = """
+citylibrary.org national-museum.org dailynews.com weather-service.gov stateuniversity.edu openwiki.org devdocs.io homerecipes.com
+gardening-notes.com local-history.org sciencejournal.org travel-guide.com street-maps.com folkmusic.org primary-school.edu city-council.gov
+independent-bookshop.com amateur-astronomy.org football-league.com cycling-club.org hiking-trails.org birdwatching.net photography-blog.com
+opensource-projects.io programming-tutorials.com math-lessons.edu chemistry-lab.edu physics-forum.org medical-journal.org hospital-trust.org
+public-health.gov tax-office.gov parliament.gov railway-timetable.com airport-info.com bus-routes.net film-reviews.com theatre-season.org
+art-gallery.org architecture-review.com poetry-archive.org short-stories.net translation-society.org language-school.com chess-club.org
+knitting-patterns.com woodworking-shop.com bakery-recipes.com vegetable-garden.net farmers-market.org animal-shelter.org river-trust.org
+climate-data.org ocean-research.org geology-survey.gov forestry-commission.gov village-hall.org parish-church.org community-theatre.net
+running-club.org swimming-pool.com tennis-association.org family-tree.net genealogy-records.org photo-archive.org radio-station.com
+tv-schedule.com newspaper-archive.com economics-review.org law-society.org job-centre.gov housing-association.org charity-trust.org
+school-meals.edu student-union.edu alumni-network.edu conference-papers.org patent-search.gov standards-body.org statistics-bureau.gov
+energy-saving.org solar-power-guide.com electric-bikes.net car-maintenance.com motor-museum.org model-railways.net stamp-collectors.org
+coin-museum.org antique-clocks.net pottery-studio.com piano-lessons.com choir-concerts.org orchestra-hall.org dance-academy.com
+""".split()
+ENDINGS = "com net org edu gov info co.uk de fr es".split()
 PREFIXES = ("", "www.", "m.", "blog.")
-PATHS = ("/en/1042", "/fr/77.html", "/de/5310/", "/es/208", "/", "")
+ALLOW_PATHS = ("/", "", "/about", "/en/news/1042", "/articles/reading-list.html", "/fr/77.html", "/de/archiv/5310/", "/wiki/Main_Page", "/2021/03/report", "/es/208", "/events/spring")
+BLOCK_PATHS = ("/", "", "/bonus", "/en/win/1042", "/buy-now.html", "/fr/77.html", "/de/gratis/5310/", "/free?ref=9", "/signup/vip", "/es/208", "/deal/today")
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """(url, 1 for block): each name in turn with the domains, prefixes and paths, so that only names tell the classes apart."""
-    plain = [a + b + c for a, b, c in itertools.islice(itertools.product(SYLLABLES, repeat=3), 0, None, 41)]
-    turns = list(itertools.product(PREFIXES, DOMAINS, PATHS))
+    """(url, 1 for block): each host as written and with other endings, prefixes and paths in turn.
+
+    Either class has hosts of every ending, so that it tells nothing.
+    """
     rows = []
-    for label, names in ((1, BLOCK_NAMES), (0, ALLOW_NAMES + plain)):
-        for k, name in enumerate(names):
+    for label, hosts, paths in ((1, BLOCK_HOSTS, BLOCK_PATHS), (0, ALLOW_HOSTS, ALLOW_PATHS)):
+        for k, host in enumerate(hosts):
+            name, _, ending = host.partition(".")
             for step in range(4):
-                prefix, domain, path = turns[(k * 7 + step * 19) % len(turns)]
-                rows.append((f"https://{prefix}{name}.{domain}{path}", label))
+                other = ENDINGS[(3 * k + 7 * step) % len(ENDINGS)] if step else ending
+                rows.append((f"https://{PREFIXES[(k + step) % len(PREFIXES)]}{name}.{other}{paths[(5 * k + 3 * step) % len(paths)]}", label))
     return rows
 
 
@@ -102,13 +126,11 @@ class Regression:
 
     def fit(self, rows: Sequence[tuple[str, int]], epochs: int = 60, rate: float = 0.5, decay: float = 1e-4) -> Regression:
         examples = [(self.features(*host_and_path(url)), label) for url, label in rows]
-        share = np.mean([label for _, label in examples])
-        weight = {1: 0.5 / share, 0: 0.5 / (1 - share)}
         for epoch in range(epochs):
             for k in np.random.default_rng(epoch).permutation(len(examples)):
                 at, label = examples[k]
                 scale = max(len(at), 1) ** -0.5
-                slope = (self._probability(at) - label) * weight[label] * rate
+                slope = (self._probability(at) - label) * rate
                 self.weights[at] -= slope * scale + rate * decay * self.weights[at]
                 self.bias -= slope * 0.1
         return self

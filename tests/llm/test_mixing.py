@@ -76,3 +76,10 @@ def test_mixed_rows_follow_the_blocks(spark, make):
     mixture = G.Mixture(block_tokens=100)
     want = [r["doc_id"] for r in G.schedule(docs, mixture).orderBy("block_id", "position").collect()]
     assert [r["doc_id"] for r in G.mix(docs, mixture).collect()] == want
+
+
+def test_rows_without_tokens_are_spread(spark, make):
+    rows = [(k, "a b c d", "en", "full") for k in range(300)] + [(1000 + k, None if k % 2 else " ", "en", "empty") for k in range(400)]
+    out = G.schedule(make([(i, t, lang, source, 1) for i, t, lang, source in rows], extra=False), G.Mixture(block_tokens=100)).where("source = 'empty'").collect()
+    blocks = {r["block_id"] for r in out}
+    assert len(out) == 400 and len(blocks) > 8
