@@ -109,3 +109,74 @@ def test_scale_goes_both_ways():
     for level in (point / 2, point * 2):
         assert np.allclose(Q.settled(cov, level), np.linalg.inv(cov) * point / level)
     assert np.allclose(Q.settled(cov * 0, 1e-9), np.diag(np.array(list(Q.FLOORS.values())) ** -2.0))
+
+
+def plain_verdicts(rows):
+    """kept of every row by loops over groups and plain matrices; the counts are given."""
+    names = list(Q.FEATURES)
+    floors = np.array([Q.FLOORS[n] for n in names])
+
+    def vector(r):
+        words, lines = max(r["n_words"], 1), max(r["n_lines"], 1)
+        return [np.log(max(r["word_chars"], 1) / words), np.log1p(100 * r["n_symbols"] / words), np.log1p(100 * r["n_dup_lines"] / lines), np.log1p(100 * r["n_repeat_words"] / words), np.log(words)]
+
+    def covering(values, share):
+        """The least value that so large a share does not exceed."""
+        ordered = np.sort(values)
+        return ordered[int(np.ceil(share * len(ordered))) - 1]
+
+    def inverse(cov):
+        size, axes = np.linalg.eigh(cov / np.outer(floors, floors))
+        return axes @ np.diag(1 / np.maximum(size, 1)) @ axes.T / np.outer(floors, floors), np.clip(size, 0, 1).sum()
+
+    def quantile(df):
+        """The point that 75 % of chi-squared values don't exceed, for any number of degrees, by a line between whole ones."""
+        points = [0.0, 1.3233, 2.7726, 4.1083, 5.3853, 6.6257]
+        return np.interp(df, range(6), points)
+
+    passing = [r for r in rows if not (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"])]
+    by_own, by_lang = {}, {}
+    for r in passing:
+        by_own.setdefault((r["lang"], r["source"]), []).append(r)
+    for (lang, _), members in by_own.items():
+        if len(members) < 50:
+            by_lang.setdefault(lang, []).extend(members)
+    groups = [m for m in by_own.values() if len(m) >= 50] + [m for m in by_lang.values() if len(m) >= 50]
+    rest = [r for m in by_lang.values() if len(m) < 50 for r in m]
+    groups += [rest] if len(rest) >= 50 else []
+    distance = {}
+    for members in groups:
+        x = np.array([vector(r) for r in members])
+        steps = np.floor(x * 256)
+        lo, mid, hi = (np.array([covering(steps[:, k], share) for k in range(5)]) / 256 for share in (0.25, 0.5, 0.75))
+        centre, precision = mid, np.diag(1 / np.maximum((hi - lo) / 1.349, floors) ** 2)
+        for step in range(5):
+            d = np.einsum("ni,ij,nj->n", x - centre, precision, x - centre)
+            bins = np.floor(np.log2(d + 1e-9) * 32)
+            level = covering(bins, 0.75)
+            if step == 4:
+                break
+            inner = x[bins <= level]
+            centre, cov = inner.mean(axis=0), np.cov(inner.T, bias=True)
+            precision = inverse(cov)[0]
+        _, df = inverse(cov)
+        if df >= 0.5:
+            precision = inverse(cov * 2 ** ((level + 1) / 32) / quantile(df))[0]
+        for r, v in zip(members, x - centre, strict=True):
+            distance[r["doc_id"]] = v @ precision @ v
+    cutoff = 20.515  # the chi-squared point of 0.001 with five degrees
+    good = {r["doc_id"] for r in passing}
+    return {r["doc_id"]: r["doc_id"] in good and distance.get(r["doc_id"], 0.0) <= cutoff for r in rows}, distance
+
+
+def test_whole_table_against_plain_matrices(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = [r.asDict() for r in Q.statistics(docs).collect()]
+    want, distance = plain_verdicts(rows)
+    got = {r["doc_id"]: r for r in Q.judge(docs).collect()}
+    assert len(got) == len(rows) == len(want)
+    for k, kept in want.items():
+        if k in distance:
+            assert got[k]["distance"] == pytest.approx(distance[k], rel=2e-3, abs=1e-6)
+        assert got[k]["kept"] == kept or abs(distance[k] - 20.515) < 0.05
+    assert 0.02 < sum(not v for k, v in want.items() if k in distance) / len(distance) < 0.2
