@@ -87,7 +87,9 @@ def natural_key(text: Column | str, fold: bool = True) -> Column:
     text = column(text)
     parts = F.regexp_extract_all(F.lower(text) if fold else text, F.lit(r"(\d+|\D+)"), 1)
     first = F.when(text.rlike(r"^\d"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-    number = lambda t: F.when(t.rlike(r"^\d+$"), t.cast("decimal(38,0)")).otherwise(F.lit(0).cast("decimal(38,0)"))
+    # a number of any length sorts as its digits behind how many they are
+    digits = lambda t: F.regexp_replace(t, "^0+(?=.)", "")
+    number = lambda t: F.when(t.rlike(r"^\d+$"), F.concat(F.lpad(F.length(digits(t)).cast("string"), 10, "0"), digits(t))).otherwise("")
     return F.transform(F.concat(first, parts), lambda t: F.struct(F.when(t.rlike(r"^\d+$"), "").otherwise(t).alias("s"), number(t).alias("n")))
 
 

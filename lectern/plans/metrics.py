@@ -28,13 +28,17 @@ def manifest(spark, sf_dir):
     return words.select("page_key", *KEYS, F.col("image_index").cast("string").alias("image"), F.col("text").alias("ground_truth_text"), "image_path")
 
 
-def measured(spark, sf_dir, which="a"):
-    log = latest_log(spark, sf_dir, which, "completed").select(*KEYS, "input_path", "status", "text").withColumn("configuration", F.lit(which))
+def measured(spark, sf_dir, *which):
+    """Words of the logs ``which`` (the first by default), joined to the manifest in one go."""
+    done = [latest_log(spark, sf_dir, w, "completed").select(*KEYS, "input_path", "status", "text").withColumn("configuration", F.lit(w)) for w in which or ("a",)]
+    log = done[0]
+    for more in done[1:]:
+        log = log.unionByName(more)
     return metrics.word_metrics(log, manifest(spark, sf_dir), KEYS, fold=True)
 
 
 def both_measured(spark, sf_dir):
-    return measured(spark, sf_dir, "a").unionByName(measured(spark, sf_dir, "b"))
+    return measured(spark, sf_dir, "a", "b")
 
 
 def words_sql(which: str) -> str:

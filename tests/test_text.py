@@ -130,3 +130,13 @@ def test_text_of_html_by_either_way(spark):
     got = {r["k"]: r for r in frame.select("k", H.html_to_text("h").alias("one"), H.response_text(F.array(F.struct(F.lit(False).alias("skipped"), F.lit(False).alias("error"), F.lit(1).alias("reading_order"), F.col("h").alias("html")))).alias("block")).collect()}
     for k, page in enumerate(pages):
         assert got[k]["one"] == by_hand(page) == got[k]["block"]
+
+
+def test_numbers_of_any_length_sort(spark):
+    names = ["a9", "a10", "a0010b", "a" + "9" * 45, "a1" + "0" * 45, "a2" + "0" * 44, "b1", "10", "9"]
+    rows = spark.createDataFrame([(n,) for n in names], "x string")
+    got = [r["x"] for r in rows.orderBy(T.natural_key("x"), "x").collect()]
+    plain = lambda x: [(int(p) if p.isdigit() else 0, "" if p.isdigit() else p) for p in re.findall(r"\d+|\D+", x)]
+    want = sorted(names, key=lambda x: [(s, n) for n, s in plain(x)])
+    assert got[-1] == "b1" and got[:2] == ["9", "10"]
+    assert [x for x in got if x[0] == "a"] == [x for x in want if x[0] == "a"]
