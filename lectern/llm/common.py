@@ -8,6 +8,8 @@ over the whole buffer and not loops over Python strings.
 from __future__ import annotations
 
 import hashlib
+import re
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,15 +30,18 @@ LOWER[65:91] += 32
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage and intermediate tables.
+    """The shared folder for cut lineage and intermediate tables: the session's.
 
-    There is no default: a folder of the driver's own machine would be another one on each executor.
+    Where it is unset and everything runs in one process (tests), a temporary one; on a cluster such a
+    folder would be another one on each machine, so there it is an error.
     """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            if not re.match(r"local(\[|$)", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
