@@ -367,10 +367,11 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, texts: DataFrame, units: tuple[Unit, ...]) -> DataFrame:
     """th, tk, spans: for each text with any, the ranges [a, b) of symbols to remove, as they were found."""
     keyed = docs.select(*_text_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
-    again = runs(keyed, units, False).groupBy("h").agg(F.count("*").alias("c"), F.max("twice").alias("twice")).where("c > 1 or twice").select("h")
+    # written down before it is joined, so that Spark can split what a very common anchor brings to the join; likewise below
+    again = cut(runs(keyed, units, False).groupBy("h").agg(F.count("*").alias("c"), F.max("twice").alias("twice")).where("c > 1 or twice").select("h"))
     kept = cut(runs(keyed, units, True).join(again, "h", "left_semi"))
     segments = cut(kept.groupBy(*SEGMENT).agg(F.count("*").alias("c"), F.min(F.struct("th", "tk", "s")).alias("one"), F.max("twice").alias("twice")))
-    several = segments.groupBy("h").agg(F.count("*").alias("m"), F.max("twice").alias("some_twice")).where("m > 1 or some_twice")
+    several = cut(segments.groupBy("h").agg(F.count("*").alias("m"), F.max("twice").alias("some_twice")).where("m > 1 or some_twice").select("h", "m"))
     wanted = segments.join(several, "h").select(*SEGMENT, (F.col("c") > 1).alias("counted"), "one.th", "one.tk", "one.s", F.ceil(F.col("m") / GROUP_SEGMENTS).cast("int").alias("buckets"))
     counted = segments.where("c > 1").select(*SEGMENT, F.lit(0).cast("bigint").alias("lo"), (F.col("n") - 1).cast("bigint").alias("hi"))
     marks = counted.union(_sorted_out(_segments(texts, wanted, units), units))
