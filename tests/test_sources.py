@@ -150,3 +150,20 @@ def test_stream_keeps_the_latest(spark, tmp_path):
 
     batch = latest(spark.read.parquet(source), ["key"])
     assert {tuple(r) for r in upsert.read_latest(spark, table).collect()} == {tuple(r) for r in batch.collect()} == {(1, 5, "error"), (2, 2, "error"), (3, 3, "ok")}
+
+
+def test_batches_rewrite_their_own_buckets(spark, tmp_path):
+    from lectern.operators.logs import latest
+
+    source, table, checkpoint = (str(tmp_path / n) for n in ("in", "table", "check"))
+    schema = "key long, pos long"
+    parts = [[(k, k) for k in range(40)], [(3, 100)], [(3, 99), (3, 101)], [(3, 102), (41, 1)]]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        upsert.keep_latest(spark.readStream.schema(schema).parquet(source), table, checkpoint, ["key"], buckets=4).awaitTermination()
+    want = {tuple(r) for r in latest(spark.read.parquet(source), ["key"]).collect()}
+    assert {tuple(r) for r in upsert.read_latest(spark, table).collect()} == want and (3, 102) in want
+    versions = upsert._versions(spark, table)
+    assert sum(len(v) for v in versions.values()) < 4 * len(parts)  # untouched buckets stay
+    of_three = [p for p in (tmp_path / "table/data").glob("_version=*/_bucket=*") if len(versions[int(p.name.split("=")[1])]) > 2]
+    assert len(of_three) <= 2 * len([v for v in versions.values() if len(v) > 2])
