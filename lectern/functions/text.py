@@ -1,7 +1,7 @@
 """Text and path functions: Column in, Column out.
 
 All of them stay in generated code, except the composition of accents, which Spark
-lacks: it is an Arrow function that gets only the texts with non-ASCII characters.
+lacks: it is an Arrow function that gets the texts with non-ASCII characters, and nulls for the others.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ def _compose(texts: pd.Series) -> pd.Series:
 
 
 def nfc(text: Column | str) -> Column:
-    """Composed accents; ASCII texts never leave the JVM."""
+    """Composed accents; of an ASCII text only a null crosses to Python."""
     text = column(text)
     return F.coalesce(_compose(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 

@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from lectern.operators.edges import long_thin_at_edge
+
 IMAGES = "id bigint, width int, height int, pixels binary"
 PREPARED = IMAGES + ", status string, error string"
 COMPONENTS = "id bigint, label int, x int, y int, w int, h int, area int"
@@ -154,10 +156,7 @@ def component_table(labels: np.ndarray) -> np.ndarray:
 def _at_edge(table: np.ndarray, width: int, height: int) -> np.ndarray:
     """Long thin components that touch the edge."""
     _, x, y, w, h, _ = table.T
-    touches = (x == 0) | (y == 0) | (x + w >= width) | (y + h >= height)
-    flat = (h <= max(12, height * 0.05)) & ((w >= width * 0.25) | (w >= h * 12))
-    upright = (w <= max(12, width * 0.05)) & ((h >= height * 0.25) | (h >= w * 12))
-    return touches & (flat | upright)
+    return long_thin_at_edge(x, y, w, h, width, height)
 
 
 def _without(labels: np.ndarray, table: np.ndarray, drop: np.ndarray) -> np.ndarray:

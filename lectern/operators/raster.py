@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.edges import long_thin_at_edge
+
 IMAGE = "vec_id"
 
 
@@ -115,11 +117,7 @@ def laplacian_variance(pixels: DataFrame, image: str = IMAGE) -> DataFrame:
 
 def likely_edges(components: DataFrame) -> Column:
     """Whether a component (x, y, w, h in an image of width, height) is a long thin one at the edge."""
-    x, y, w, h, width, height = (F.col(c) for c in ("x", "y", "w", "h", "width", "height"))
-    touches = (x == 0) | (y == 0) | (x + w >= width) | (y + h >= height)
-    flat = (h <= F.greatest(F.lit(12.0), height * 0.05)) & ((w >= width * 0.25) | (w >= h * 12))
-    upright = (w <= F.greatest(F.lit(12.0), width * 0.05)) & ((h >= height * 0.25) | (h >= w * 12))
-    return touches & (flat | upright)
+    return long_thin_at_edge(*(F.col(c) for c in ("x", "y", "w", "h", "width", "height")))
 
 
 def keep_components(components: DataFrame, least_area: int = 250) -> DataFrame:
