@@ -184,7 +184,9 @@ def score(docs: DataFrame, model: Model = PRODUCTION) -> DataFrame:
             sums[some] = np.add.reduceat(logs, grams.first[some])
         return pa.table({"doc_id": table["doc_id"], "n_same": table["n_same"], "n_words": pa.array(grams.n_words, pa.int64()), "log_score": pa.array(sums)})
 
-    dealt = blocks.groupBy("block").applyInArrow(count, "bucket int, block int, hash array<bigint>, n array<bigint>").repartition(shuffle_partitions(docs.sparkSession), "bucket")
+    dealt = blocks.groupBy("block").applyInArrow(count, "bucket int, block int, hash array<bigint>, n array<bigint>")
+    # arrays are a fraction of the rows that they become, so these are dealt more thinly than what else is shuffled
+    dealt = dealt.repartition(4 * shuffle_partitions(docs.sparkSession), "bucket")
     asked = dealt.select("bucket", "block", F.inline(F.arrays_zip("hash", "n")))
     # the table's aggregate and its join to the rows are one window: what a bucket holds is in one partition, so neither shuffles again
     total = F.sum("n").over(Window.partitionBy("hash", "bucket"))
