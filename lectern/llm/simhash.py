@@ -403,13 +403,14 @@ def hex_digits(word: Column) -> Column:
 def one_of_each(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
     """``docs`` without the documents that are near-duplicates of a kept one: one row of each component stays.
 
-    It is the one with the smallest doc_id, null last, and of these the first by a hash of the text.
+    It is the one with the smallest doc_id, null last, and of these the first by a hash of the text; a null text
+    counts as empty, and an empty one is kept rather than it.
     """
     names = docs.columns
     _, rooted, _ = _similar_groups(docs, scheme)
     first = F.min(F.struct(F.isnull("first_id").alias("no_id"), "first_id", *TEXT)).alias("first")
     keep = rooted.groupBy("root").agg(first).select(F.col("first.first_id").alias("_keep"), *[F.col(f"first.{k}").alias(f"_{k}") for k in TEXT])
     # the key of a text is in one component, so this leaves one doc_id and text for each; of repeated rows one stays
-    renamed = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"_doc_{k}") for k, c in enumerate(names)]).alias("_row"), F.col("doc_id").alias("_id"), *[c.alias(f"_{k}") for k, c in zip(TEXT, _text_key(F.col("text")), strict=True)])
+    renamed = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"_doc_{k}") for k, c in enumerate(names)]).alias("_row"), F.col("doc_id").alias("_id"), F.isnull("text").alias("_null"), *[c.alias(f"_{k}") for k, c in zip(TEXT, _text_key(F.col("text")), strict=True)])
     kept = renamed.join(keep, [*[renamed[f"_{k}"] == keep[f"_{k}"] for k in TEXT], renamed["_id"].eqNullSafe(keep["_keep"])], "left_semi")
-    return kept.groupBy(*[f"_{k}" for k in TEXT]).agg(F.first("_row").alias("_row")).select(*[F.col(f"_row._doc_{k}").alias(c) for k, c in enumerate(names)])
+    return kept.groupBy(*[f"_{k}" for k in TEXT]).agg(F.min_by("_row", "_null").alias("_row")).select(*[F.col(f"_row._doc_{k}").alias(c) for k, c in enumerate(names)])

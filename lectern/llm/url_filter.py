@@ -1,7 +1,7 @@
 """URL filters: path rules first, then logistic regression on hashed character n-grams.
 
 A rule names a host and the start of a path; it fits the host and all its subdomains, and
-of the rules that fit the longest wins.  Urls without a rule get the verdict of a
+of the rules that fit the longest wins, of equal ones the first in the list.  Urls without a rule get the verdict of a
 logistic regression over the hashed character n-grams of host and path, trained from a
 small labelled table of urls.
 

@@ -106,3 +106,8 @@ def test_own_table(spark):
         U.regression_of(frame.where("label = 1"))
     with pytest.raises(ValueError):
         U.regression_of(frame, max_rows=5)
+
+
+def test_equal_rules_the_first_decides():
+    assert U.Rules((("block", "a.org/x"), ("allow", "a.org/x"), ("allow", "a.org/")))("b.a.org", "/x/y") == ("a.org/x", "block")
+    assert U.Rules(())("a.org", "/") is None
