@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Poly, group_starts, mix, shuffle_partitions, slices, whole_groups, word_hashes
+from lectern.llm.common import Poly, group_starts, mix, shuffle_partitions, slices, tidy, whole_groups, word_hashes
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -119,7 +119,7 @@ def blocks_of(docs: DataFrame, n_blocks: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["block", "doc_id", "n_same", "z"])
 
     whole = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", whole), F.xxhash64(F.lit(7), whole)).mapInArrow(deal, "block int, doc_id bigint, n_same bigint, z binary")
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", whole), F.xxhash64(F.lit(7), whole)).mapInArrow(tidy(deal), "block int, doc_id bigint, n_same bigint, z binary")
 
 
 def score(docs: DataFrame, model: Model = PRODUCTION) -> DataFrame:
@@ -191,7 +191,7 @@ def score(docs: DataFrame, model: Model = PRODUCTION) -> DataFrame:
     # the table's aggregate and its join to the rows are one window: what a bucket holds is in one partition, so neither shuffles again
     total = F.sum("n").over(Window.partitionBy("hash", "bucket"))
     found = asked.select("bucket", "block", "hash", total.alias("total"))
-    answers = found.sortWithinPartitions("bucket", "block", "hash").select("bucket", "block", "total").mapInArrow(pack, "block int, bucket int, totals binary")
+    answers = found.sortWithinPartitions("bucket", "block", "hash").select("bucket", "block", "total").mapInArrow(tidy(pack), "block int, bucket int, totals binary")
     scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, "doc_id bigint, n_same bigint, n_words bigint, log_score double")
     return scored.select("doc_id", F.explode(F.sequence(F.lit(1).cast("bigint"), "n_same")), "n_words", "log_score").drop("col")
 

@@ -48,7 +48,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import LOWER, Poly, components, cut, group_starts, mix, shuffle_partitions, text_bytes, word_hashes
+from lectern.llm.common import LOWER, Poly, components, cut, group_starts, mix, shuffle_partitions, text_bytes, tidy, word_hashes
 from lectern.llm.suffix_dedup import TEXT, _text_key, distinct_texts
 
 DENSE = 4_096
@@ -116,7 +116,7 @@ def fingerprints(docs: DataFrame, scheme: Scheme = EXACT, keyed: bool = False) -
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(prints[:, k].copy().view(np.int64)) for k in range(scheme.words)], *batch.columns[2:]], ["doc_id", *names, *more])
 
     more = TEXT if keyed else []
-    return docs.select("doc_id", "text", *(_text_key(F.col("text")) if keyed else [])).mapInArrow(make, ", ".join(f"{n} bigint" for n in ("doc_id", *names, *more)))
+    return docs.select("doc_id", "text", *(_text_key(F.col("text")) if keyed else [])).mapInArrow(tidy(make), ", ".join(f"{n} bigint" for n in ("doc_id", *names, *more)))
 
 
 def ring_bounds(bits: int, segments: int) -> list[int]:
@@ -278,7 +278,7 @@ def links(distinct: DataFrame, scheme: Scheme, n: int) -> DataFrame:
                 full = np.flatnonzero(np.diff(bounds))
                 yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([packed[k] for k in full], pa.binary())], ["bucket", "packed"])
 
-    dealt = distinct.select("id", *names).mapInArrow(spread, "bucket int, packed binary").repartition(partitions, "bucket").select("packed")
+    dealt = distinct.select("id", *names).mapInArrow(tidy(spread), "bucket int, packed binary").repartition(partitions, "bucket").select("packed")
     dense_too = scheme.recall >= 1
     budgets = [scheme.budget] if dense_too else [scheme.budget * k // 4 for k in (1, 2, 3, 4)]
     record = 8 * (2 + words) + 2
@@ -321,7 +321,7 @@ def links(distinct: DataFrame, scheme: Scheme, n: int) -> DataFrame:
         for members in dense:
             yield pa.RecordBatch.from_arrays([pa.array(members), pa.nulls(len(members), pa.int64())], ["a", "b"])
 
-    edges = cut(dealt.mapInArrow(join, "a bigint, b bigint").distinct())
+    edges = cut(dealt.mapInArrow(tidy(join), "a bigint, b bigint").distinct())
     near = edges.where("b is not null")
     if not dense_too or not edges.where("b is null").head(1):
         return near
@@ -363,7 +363,7 @@ def similar_edges(edges: DataFrame, nodes: DataFrame, docs: DataFrame, scheme: S
                 keep.append(common >= scheme.similarity * (len(one) + len(other) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return cut(pairs.select("a", "b", "za", "zb").mapInArrow(check, "a bigint, b bigint"))
+    return cut(pairs.select("a", "b", "za", "zb").mapInArrow(tidy(check), "a bigint, b bigint"))
 
 
 def grouped(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:

@@ -45,7 +45,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Poly, cut, group_starts, mix, shuffle_partitions, slices, text_bytes, told_apart, whole_groups, word_spans
+from lectern.llm.common import Poly, cut, group_starts, mix, shuffle_partitions, slices, text_bytes, tidy, told_apart, whole_groups, word_spans
 
 LENGTH, GRAM = 400, 128
 CHUNK = 2 << 20
@@ -169,7 +169,7 @@ def runs(keyed: DataFrame, units: tuple[Unit, ...], told: bool) -> DataFrame:
                         numbers = [np.full(len(s), unit.number, np.int32), (s - symbols.offsets[doc]).astype(np.int32), n.astype(np.int32), h.view(np.int64), d[:, 0].copy(), d[:, 1].copy()]
                         yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *map(pa.array, numbers), pa.array(twice)], [x.strip().split(" ")[0] for x in RUNS.split(",")])
 
-    return keyed.mapInArrow(scan, RUNS if told else "h bigint, twice boolean")
+    return keyed.mapInArrow(tidy(scan), RUNS if told else "h bigint, twice boolean")
 
 
 class SuffixSort:
@@ -304,7 +304,7 @@ def _segments(texts: DataFrame, wanted: DataFrame, units: tuple[Unit, ...]) -> D
                 columns = list(zip(*rows, strict=True)) or [[]] * len(types)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["unit", "h", "bucket", "n", "d1", "d2", "counted", "bytes", "starts"])
 
-    return joined.mapInArrow(extract, schema)
+    return joined.mapInArrow(tidy(extract), schema)
 
 
 def _sorted_out(segments: DataFrame, units: tuple[Unit, ...]) -> DataFrame:
@@ -341,7 +341,7 @@ def _sorted_out(segments: DataFrame, units: tuple[Unit, ...]) -> DataFrame:
                 yield from mark(table.slice(bounds[lo], bounds[hi] - bounds[lo]), poly)
                 lo = hi
 
-    return dealt.mapInArrow(work, "unit int, h bigint, n int, d1 bigint, d2 bigint, lo bigint, hi bigint")
+    return dealt.mapInArrow(tidy(work), "unit int, h bigint, n int, d1 bigint, d2 bigint, lo bigint, hi bigint")
 
 
 def _text_key(text: Column) -> list[Column]:
@@ -361,7 +361,7 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["th", "tk", "z"])
 
     keyed = docs.select(*_text_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
-    return keyed.mapInArrow(pack, "th bigint, tk bigint, z binary").groupBy(*TEXT).agg(F.first("z").alias("z"))
+    return keyed.mapInArrow(tidy(pack), "th bigint, tk bigint, z binary").groupBy(*TEXT).agg(F.first("z").alias("z"))
 
 
 def repeated_spans(docs: DataFrame, texts: DataFrame, units: tuple[Unit, ...]) -> DataFrame:
@@ -429,7 +429,7 @@ def digest(docs: DataFrame, units: tuple[Unit, ...] = UNITS) -> DataFrame:
             types = [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], [x.strip().split(" ")[0] for x in schema.split(",")])
 
-    measured = texts.join(spans, TEXT, "left").select(*TEXT, "z", "spans").mapInArrow(measure, schema)
+    measured = texts.join(spans, TEXT, "left").select(*TEXT, "z", "spans").mapInArrow(tidy(measure), schema)
     return docs.select("doc_id", *_text_key(F.col("text"))).join(measured, TEXT).drop(*TEXT)
 
 
@@ -457,4 +457,4 @@ def cut_out(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, [f"_doc_{k}" for k in range(len(names))])
 
-    return joined.mapInArrow(rewrite, schema).toDF(*names)
+    return joined.mapInArrow(tidy(rewrite), schema).toDF(*names)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import LOWER, Poly, mix, slices, text_bytes, word_spans
+from lectern.llm.common import LOWER, Poly, mix, slices, text_bytes, tidy, word_spans
 
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = False
@@ -242,7 +242,7 @@ def labelled(docs: DataFrame, labels: DataFrame, settings: Settings = PRODUCTION
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(np.diff(first)), pa.array(packed, pa.binary())], ["doc_id", "lang", "toxic", "turn", "text_hash", "words", "buckets"])
 
-    return rows.select("doc_id", "lang", "toxic", turn.alias("turn"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(hash_words, schema).dropDuplicates(["doc_id", "text_hash", "words"])
+    return rows.select("doc_id", "lang", "toxic", turn.alias("turn"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(tidy(hash_words), schema).dropDuplicates(["doc_id", "text_hash", "words"])
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = PRODUCTION) -> Network | None:
@@ -267,7 +267,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = PRODUCTION) -
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_trained(settings, rows))], pa.binary())], ["network"])
 
     known = labelled(docs, labels, settings).repartition(1).sortWithinPartitions("turn", "doc_id", "text_hash")
-    made = known.select("lang", "toxic", "words", "buckets").mapInArrow(learn, "network binary").collect()
+    made = known.select("lang", "toxic", "words", "buckets").mapInArrow(tidy(learn), "network binary").collect()
     return pickle.loads(made[0]["network"]) if made else None
 
 
@@ -308,7 +308,7 @@ def scored(docs: DataFrame, net: Network | None, threshold: float = PRODUCTION.t
             columns = [batch.column(0), batch.column(3), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), pa.array(_rejects(net, scores, batch.column(1).to_pylist()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted", "rejected"])
 
-    return kept.mapInArrow(score, "doc_id bigint, held_out boolean, score double, predicted int, rejected boolean")
+    return kept.mapInArrow(tidy(score), "doc_id bigint, held_out boolean, score double, predicted int, rejected boolean")
 
 
 def clean_only(docs: DataFrame, net: Network | None) -> DataFrame:
@@ -322,4 +322,4 @@ def clean_only(docs: DataFrame, net: Network | None) -> DataFrame:
             rejected = _rejects(net, _batch_scores(net, batch.column(text)), batch.column(lang).to_pylist())
             yield batch.filter(pa.array(~rejected))
 
-    return docs.toDF(*[f"_doc_{k}" for k in range(len(names))]).mapInArrow(keep, schema).toDF(*names)
+    return docs.toDF(*[f"_doc_{k}" for k in range(len(names))]).mapInArrow(tidy(keep), schema).toDF(*names)
