@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Poly, cut, mix, slices, text_bytes, told_apart, word_spans
+from lectern.llm.common import Poly, cut, mix, slices, text_bytes, tidy, told_apart, word_spans
 
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 COVERAGE, STEPS, MIN_GROUP = 0.75, 4, 50
@@ -133,7 +133,7 @@ def statistics(docs: DataFrame) -> DataFrame:
                 numbers = [pa.array(x, pa.int64()) for x in (n_words, word_chars, n_symbols, n_dup, n_repeat, n_lines)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *numbers], ["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"])
 
-    return docs.select("doc_id", "lang", "source", "text").mapInArrow(count, STATS)
+    return docs.select("doc_id", "lang", "source", "text").mapInArrow(tidy(count), STATS)
 
 
 def base_failed() -> Column:
@@ -178,8 +178,11 @@ ESTIMATE = "grp string, n bigint, " + ", ".join([f"m{i} double" for i in range(P
 SETTLED = "grp string, " + ", ".join([f"m{i} double" for i in range(P)] + [f"p{i}_{j} double" for i, j in PAIRS])
 
 
-def _names(schema: str) -> list[str]:
-    return [part.strip().split(" ")[0] for part in schema.split(",")]
+def _batch(rows: list[list], schema: str) -> pa.RecordBatch:
+    types = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}
+    fields = [part.strip().split(" ") for part in schema.split(",")]
+    columns = list(zip(*rows, strict=True)) or [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, types[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], [name for name, _ in fields])
 
 
 def floored(cov: np.ndarray) -> tuple[np.ndarray, float]:
@@ -242,40 +245,36 @@ def _concentrate(judged: DataFrame, estimate: DataFrame, n_groups: int) -> DataF
     sums = [F.sum(off[i]).alias(f"s{i}") for i in range(P)] + [F.sum(off[i] * off[j]).alias(f"s{i}_{j}") for i, j in PAIRS] + [F.max(f"m{i}").alias(f"m{i}") for i in range(P)]
     moments = inner.groupBy("grp").agg(F.max("n").alias("n"), F.count("*").alias("h"), *sums)
 
-    def invert(frames: Iterator) -> Iterator:
-        import pandas as pd
-
-        for frame in frames:
+    def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for r in frame.to_dict("records"):
+            for r in batch.to_pylist():
                 shift = np.array([r[f"s{i}"] for i in range(P)]) / r["h"]
                 cov = np.zeros((P, P))
                 for i, j in PAIRS:
                     cov[i, j] = cov[j, i] = r[f"s{i}_{j}"] / r["h"] - shift[i] * shift[j]
                 precision, _ = floored(cov)
                 rows.append([r["grp"], r["n"], *[r[f"m{i}"] + shift[i] for i in range(P)], *[precision[i, j] for i, j in PAIRS], *[cov[i, j] for i, j in PAIRS]])
-            yield pd.DataFrame(rows, columns=_names(ESTIMATE))
+            yield _batch(rows, ESTIMATE)
 
-    return moments.mapInPandas(invert, ESTIMATE)
+    return moments.mapInArrow(invert, ESTIMATE)
 
 
 def _settle(estimate: DataFrame, levels: DataFrame) -> DataFrame:
     """The last estimate, scaled by the group's level."""
 
-    def scale(frames: Iterator) -> Iterator:
-        import pandas as pd
-
-        for frame in frames:
+    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for r in frame.to_dict("records"):
+            for r in batch.to_pylist():
                 cov = np.zeros((P, P))
                 for i, j in PAIRS:
                     cov[i, j] = cov[j, i] = r[f"c{i}_{j}"]
                 precision = settled(cov, 2 ** ((r["level"] + 1) / 32))
                 rows.append([r["grp"], *[r[f"m{i}"] for i in range(P)], *[precision[i, j] for i, j in PAIRS]])
-            yield pd.DataFrame(rows, columns=_names(SETTLED))
+            yield _batch(rows, SETTLED)
 
-    return estimate.join(levels, "grp").mapInPandas(scale, SETTLED)
+    return estimate.join(levels, "grp").mapInArrow(scale, SETTLED)
 
 
 def _groups(table: DataFrame) -> DataFrame:
