@@ -3,31 +3,33 @@
 Distances of short texts are the built-in ones.  Word distances become character distances by
 writing each word that both sides have as a letter of its own, and any other word as one of
 two letters that never match.  The built-in distance takes the product of both lengths, so
-pairs beyond ``CELLS`` go to an Arrow function that handles a whole column of the table as the
-bits of one integer.  The agreement ratio has no equivalent in SQL and is an
+pairs beyond ``CELLS`` go to an Arrow function that handles many pairs at once, near the diagonal and 64
+cells to a word (:mod:`lectern.functions.edits`).  The agreement ratio has no equivalent in SQL and is an
 Arrow function; equal and empty texts are decided before it.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Hashable, Sequence
+from collections.abc import Callable, Hashable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from lectern.functions.common import bind, column
+from lectern.functions.edits import many_edits
 
 #: Letters for words that both sides have: more than fit into CELLS.
 ALPHABET = "".join(map(chr, range(0x4E00, 0x9E00)))
 #: Product of two lengths up to which the built-in distance is used.
-CELLS = 1_000_000
+CELLS = 2_000
 
 
 def bit_edits(pattern: Sequence[Hashable], text: Sequence[Hashable]) -> int:
-    """Levenshtein distance; the differences between neighbours of a column are two integers' bits."""
+    """Levenshtein distance of one pair; the differences between neighbours of a column are two integers' bits."""
     m = len(pattern)
     if not m or not len(text):
         return m + len(text)
@@ -55,9 +57,28 @@ def bit_edits(pattern: Sequence[Hashable], text: Sequence[Hashable]) -> int:
     return edits
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def _numbered(a: str, b: str) -> tuple[np.ndarray, np.ndarray]:
+    """Both texts' words by number."""
+    ids: dict[str, int] = {}
+    one, two = ([ids.setdefault(t, len(ids)) for t in x.split(" ") if t] for x in (a, b))
+    return np.array(one, np.uint32), np.array(two, np.uint32)
+
+
+def _where_both(edits: Callable[[list[str], list[str]], np.ndarray], a: pd.Series, b: pd.Series) -> pd.Series:
+    both = (a.notna() & b.notna()).to_numpy()
+    out = pd.Series(pd.NA, index=a.index, dtype="Int32")
+    if both.any():
+        out[both] = edits(a[both].tolist(), b[both].tolist())
+    return out
+
+
 @F.pandas_udf(IntegerType())
 def _long_char_edits(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else bit_edits(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+    return _where_both(lambda x, y: many_edits([(_codes(p), _codes(q)) for p, q in zip(x, y, strict=True)]), a, b)
 
 
 def char_edits(reference: Column | str, text: Column | str) -> Column:
@@ -79,7 +100,7 @@ def words(text: Column | str) -> Column:
 
 @F.pandas_udf(IntegerType())
 def _long_word_edits(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else bit_edits([t for t in x.split(" ") if t], [t for t in y.split(" ") if t]) for x, y in zip(a, b, strict=True)], dtype="Int32")
+    return _where_both(lambda x, y: many_edits([_numbered(p, q) for p, q in zip(x, y, strict=True)]), a, b)
 
 
 def word_edits(reference: Column | str, text: Column | str) -> Column:
@@ -99,6 +120,17 @@ def word_edits(reference: Column | str, text: Column | str) -> Column:
     return F.when(reference == text, 0).when(long, far).otherwise(short)
 
 
+@F.pandas_udf(StructType().add("edits", IntegerType()).add("word_edits", IntegerType()))
+def _both_edits(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame({"edits": _long_char_edits.func(a, b), "word_edits": _long_word_edits.func(a, b)})
+
+
+def both_edits(reference: Column | str, text: Column | str) -> Column:
+    """struct(edits, word_edits) of columns that hold their texts; null where both are equal."""
+    reference, text = column(reference), column(text)
+    return _both_edits(F.when(reference != text, reference), F.when(reference != text, text))
+
+
 def wer(reference: Column | str, text: Column | str) -> Column:
     """Word edits per reference word; null for an empty reference."""
     return word_edits(reference, text) / F.nullif(F.size(words(reference)), F.lit(0))

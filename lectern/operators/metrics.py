@@ -27,18 +27,29 @@ def word_metrics(completed: DataFrame, manifest: DataFrame, keys: Sequence[str],
     """
     # one row can be much work, so rows are dealt by key and not by size; a merge join takes that dealing over
     n = int(completed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ready = completed.repartition(n, *keys).withColumn("prediction_text", T.normalize("text")).drop("text")
-    truth = manifest.withColumn("ground_truth_text", T.normalize("ground_truth_text"))
-    joined = ready.join(truth.hint("merge"), list(keys))
-    ref, hyp = (T.ascii_fold(c) if fold else F.col(c) for c in ("ground_truth_text", "prediction_text"))
-    measured = joined.withColumns({"edits": D.char_edits(ref, hyp), "ref_chars": F.length(ref), "word_edits": D.word_edits(ref, hyp), "ref_words": F.size(D.words(ref))})
-    return measured.withColumns({
+    ready = normalized(completed.repartition(n, *keys), "text", "prediction_text").drop("text")
+    truth = normalized(manifest, "ground_truth_text", "ground_truth_text")
+    joined = compared(ready.join(truth.hint("merge"), list(keys)), fold).withColumn("_both", D.both_edits("_ref", "_hyp"))
+    # of two equal texts there is no struct, and of a null one no number
+    edits = lambda f: F.when(F.col("_ref") == F.col("_hyp"), 0).otherwise(F.col(f"_both.{f}"))
+    measured = joined.withColumns({"edits": edits("edits"), "ref_chars": F.length("_ref"), "word_edits": edits("word_edits"), "ref_words": F.size(D.words("_ref"))})
+    return measured.drop("_ref", "_hyp", "_both").withColumns({
         "cer": F.col("edits") / F.nullif("ref_chars", F.lit(0)),
         "wer": F.col("word_edits") / F.nullif("ref_words", F.lit(0)),
         "exact_match": F.col("ground_truth_text") == F.col("prediction_text"),
     })
 
 
+def normalized(table: DataFrame, name: str, out: str) -> DataFrame:
+    """``table`` with a text normalised; what takes a pattern is a column of its own, so it is done once a row."""
+    return table.withColumn("_collapsed", T.collapse(name)).withColumn(out, T.nfc("_collapsed")).drop("_collapsed")
+
+
+def compared(table: DataFrame, fold: bool) -> DataFrame:
+    """``table`` with the texts that are compared as columns _ref and _hyp."""
+    return table.withColumns({to: T.ascii_fold(c) if fold else F.col(c) for to, c in (("_ref", "ground_truth_text"), ("_hyp", "prediction_text"))})
+
+
 def expected_sizes(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("page_key").agg(F.count("*").alias("expected_words"))
 
@@ -55,15 +66,16 @@ def page_texts(words: DataFrame, by: Sequence[str] = (), order: str = "image") -
     members = F.array_sort(F.collect_list(F.struct(T.image_order(order).alias("n"), F.col(order).alias("o"), F.col("ground_truth_text").alias("t"), F.col("prediction_text").alias("p"))))
     n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pages = words.repartition(n, *by, "page_key").groupBy(*by, "page_key").agg(members.alias("m"))
-    joined = lambda f: T.normalize(F.array_join(F.transform("m", lambda x: x[f]), " "))
-    return pages.select(*by, "page_key", joined("t").alias("ground_truth_text"), joined("p").alias("prediction_text"), F.size("m").alias("completed_words"))
+    joined = lambda f: F.array_join(F.transform("m", lambda x: x[f]), " ")
+    texts = pages.select(*by, "page_key", joined("t").alias("ground_truth_text"), joined("p").alias("prediction_text"), F.size("m").alias("completed_words"))
+    return normalized(normalized(texts, "ground_truth_text", "ground_truth_text"), "prediction_text", "prediction_text").select(*texts.columns)
 
 
 def page_metrics(words: DataFrame, manifest: DataFrame, by: Sequence[str] = (), order: str = "image", fold: bool = False) -> DataFrame:
     """Rates of the joined texts."""
     pages = page_texts(words, by, order).join(expected_sizes(manifest), "page_key")
-    ref, hyp = (T.ascii_fold(c) if fold else F.col(c) for c in ("ground_truth_text", "prediction_text"))
-    return pages.withColumns({"cer": D.cer(ref, hyp), "wer": D.wer(ref, hyp), "complete_page": F.col("completed_words") == F.col("expected_words")})
+    out = compared(pages, fold).withColumns({"cer": D.cer("_ref", "_hyp"), "wer": D.wer("_ref", "_hyp"), "complete_page": F.col("completed_words") == F.col("expected_words")})
+    return out.drop("_ref", "_hyp")
 
 
 def summary(words: DataFrame, pages: DataFrame, manifest: DataFrame, by: Sequence[str] = CONFIG) -> DataFrame:

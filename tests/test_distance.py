@@ -100,3 +100,37 @@ def test_components_by_flood(cells, width):
             todo += near
         assert len({labels[p] for p in seen}) == 1
     assert labels.max() == n
+
+
+def test_many_pairs_at_once():
+    import numpy as np
+
+    from lectern.functions.edits import many_edits
+
+    rng, pairs = random.Random(10), []
+    for size in [*range(6), 63, 64, 65, 127, 200, 700, 2500] * 12:
+        a = rng.choices(range(rng.choice([2, 30])), k=size)
+        cut, to = sorted(rng.choices(range(size + 1), k=2))
+        near = [x if rng.random() < 0.8 else 99 for x in a if rng.random() < 0.9]
+        pairs += [(a, near), (near, a), (a, a[:cut] + a[to:]), (a, a[to:] + a[:cut]), (a, rng.choices(range(30), k=rng.randrange(size + 9)))]
+    got = many_edits([(np.array(a, np.uint32), np.array(b, np.uint32)) for a, b in pairs])
+    assert got.tolist() == [D.bit_edits(a, b) for a, b in pairs]
+
+
+def test_changed_lines_are_measured_together(spark):
+    """Pairs of some hundred characters and more go to the batches, both distances in one go, and no other plan is left."""
+    import pandas as pd
+
+    from lectern.operators import metrics
+
+    rng = random.Random(11)
+    one = ["".join(rng.choices("etaoin shrdlu", k=300)).strip() for _ in range(40)] + ["", "same", "é x"]
+    two = [t.translate(str.maketrans("aeo", "eoa")) for t in one[:40]] + ["x", "same", ""]
+    got = D._both_edits.func(pd.Series(one), pd.Series(two))
+    assert got["edits"].tolist() == [edits(a, b) for a, b in zip(one, two, strict=True)]
+    assert got["word_edits"].tolist() == [edits(a.split(), b.split()) for a, b in zip(one, two, strict=True)]
+    log = spark.createDataFrame([(k, "p", "ok", t) for k, t in enumerate(two)], "k int, input_path string, status string, text string")
+    truth = spark.createDataFrame([(k, "page", t, "i") for k, t in enumerate(one)], "k int, page_key string, ground_truth_text string, image string")
+    words = metrics.word_metrics(log, truth, ["k"])
+    assert "levenshtein" not in words._jdf.queryExecution().executedPlan().toString()
+    assert {r["k"]: (r["edits"], r["word_edits"]) for r in words.collect()} == {k: (edits(" ".join(a.split()), " ".join(b.split())), edits(a.split(), b.split())) for k, (a, b) in enumerate(zip(one, two, strict=True))}
