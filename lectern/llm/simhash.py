@@ -18,7 +18,8 @@ bits after another, and their number follows from the probability that one of th
 without a difference, so the recall asked for holds at every size.  The budget leaves room for
 how a similarity of 0.8 scatters in 256 bits; what the chains and the Hamming check let
 through is a candidate, and is linked only if the texts' shingle sets themselves have a
-similarity of 0.8 or more.
+similarity of 0.8 or more.  Where that refuses an edge of a group's tree, every other candidate
+between the parts it leaves is looked at too, so a refused edge costs no link.
 
 Scale: equal texts (equal fingerprints for :data:`EXACT`) are one before anything is joined, so
 thousands of copies are one row.  Keys travel as packed columns, one array per task and
@@ -253,8 +254,21 @@ def link_group(places: Places, place: int, ids: np.ndarray, prints: np.ndarray,
     return edges
 
 
-def links(distinct: DataFrame, scheme: Scheme, n: int) -> DataFrame:
-    """Edges (a, b) between ids of different rows (id, f0 ..) that connect what is within the budget."""
+def crossing(places: Places, place: int, ids: np.ndarray, prints: np.ndarray, labels: np.ndarray) -> Iterator[np.ndarray]:
+    """All pairs of a group that are within the budget and have different labels; ids rise."""
+    for one in range(len(ids) - 1):
+        others = one + 1 + np.flatnonzero(labels[one + 1 :] != labels[one])
+        if len(others):
+            found = others[places.linked(place, prints[one], prints[others])]
+            if len(found):
+                yield np.stack([np.full(len(found), ids[one]), ids[found]], axis=1)
+
+
+def links(distinct: DataFrame, scheme: Scheme, n: int, labelled: bool = False) -> DataFrame:
+    """Edges (a, b) between ids of different rows (id, f0 ..) that connect what is within the budget.
+
+    ``labelled``: not such trees, but every pair within the budget whose rows differ in their ``label``.
+    """
     names = [f"f{k}" for k in range(scheme.words)]
     places, partitions, words = Places(scheme, n), shuffle_partitions(distinct.sparkSession), scheme.words
     n_places = len(places.masks)
@@ -264,7 +278,7 @@ def links(distinct: DataFrame, scheme: Scheme, n: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 columns = [c.to_numpy(zero_copy_only=False) for c in batch.slice(at, step).columns]
-                prints = np.stack([c.view(np.uint64) for c in columns[1:]], axis=1)
+                prints = np.stack([c.view(np.uint64) for c in columns[1 : 1 + words]], axis=1)
                 place = np.tile(np.arange(n_places, dtype=np.uint16), len(prints))
                 key = places.keys(prints).reshape(-1)
                 row = np.repeat(np.arange(len(prints)), n_places)
@@ -274,27 +288,43 @@ def links(distinct: DataFrame, scheme: Scheme, n: int) -> DataFrame:
                 packed = []
                 for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
                     mine = order[lo:hi]
-                    packed.append(b"".join([key[mine].tobytes(), columns[0][row[mine]].tobytes(), prints[row[mine]].tobytes(), place[mine].tobytes()]))
+                    packed.append(b"".join([key[mine].tobytes(), columns[0][row[mine]].tobytes(), prints[row[mine]].tobytes(), *[c[row[mine]].tobytes() for c in columns[1 + words :]], place[mine].tobytes()]))
                 full = np.flatnonzero(np.diff(bounds))
                 yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([packed[k] for k in full], pa.binary())], ["bucket", "packed"])
 
-    dealt = distinct.select("id", *names).mapInArrow(tidy(spread), "bucket int, packed binary").repartition(partitions, "bucket").select("packed")
+    dealt = distinct.select("id", *names, *["label"] * labelled).mapInArrow(tidy(spread), "bucket int, packed binary").repartition(partitions, "bucket").select("packed")
     dense_too = scheme.recall >= 1
     budgets = [scheme.budget] if dense_too else [scheme.budget * k // 4 for k in (1, 2, 3, 4)]
-    record = 8 * (2 + words) + 2
+    record = 8 * (2 + words + labelled) + 2
+    kinds, each_has = [np.uint64, np.int64, np.uint64, *[np.int64] * labelled, np.uint16], [1, 1, words, *[1] * labelled, 1]
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
-        parts: list[list[np.ndarray]] = [[], [], [], []]
+        parts: list[list[np.ndarray]] = [[] for _ in kinds]
         for batch in batches:
             for blob in batch.column(0):
                 data = blob.as_buffer()
                 size, at = len(data) // record, 0
-                for part, kind, each in zip(parts, (np.uint64, np.int64, np.uint64, np.uint16), (1, 1, words, 1), strict=True):
+                for part, kind, each in zip(parts, kinds, each_has, strict=True):
                     part.append(np.frombuffer(data, kind, size * each, at))
                     at += part[-1].nbytes
-        key, ids, prints, place = (np.concatenate(p) if p else np.zeros(0, t) for p, t in zip(parts, (np.uint64, np.int64, np.uint64, np.uint16), strict=True))
+        key, ids, prints, *label, place = (np.concatenate(p) if p else np.zeros(0, t) for p, t in zip(parts, kinds, strict=True))
         order = np.lexsort((ids, key, place))
-        return [place[order].astype(np.int64), key[order], ids[order], prints.reshape(-1, words)[order]]
+        return [place[order].astype(np.int64), key[order], ids[order], prints.reshape(-1, words)[order], *[c[order] for c in label]]
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, key, ids, prints, label = unpacked(batches)
+        bounds = group_starts(place, key)
+        found, held = [], 0
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            for pairs in crossing(places, int(place[lo]), ids[lo:hi], prints[lo:hi], label[lo:hi]) if hi - lo > 1 and (label[lo:hi] != label[lo]).any() else ():
+                found.append(pairs)
+                held += len(pairs)
+                if held >= PAIRS:
+                    a, b = np.unique(np.concatenate(found), axis=0).T
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    found, held = [], 0
+        a, b = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0).T
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, key, ids, prints = unpacked(batches)
@@ -321,7 +351,7 @@ def links(distinct: DataFrame, scheme: Scheme, n: int) -> DataFrame:
         for members in dense:
             yield pa.RecordBatch.from_arrays([pa.array(members), pa.nulls(len(members), pa.int64())], ["a", "b"])
 
-    edges = cut(dealt.mapInArrow(tidy(join), "a bigint, b bigint").distinct())
+    edges = cut(dealt.mapInArrow(tidy(cross if labelled else join), "a bigint, b bigint").distinct())
     near = edges.where("b is not null")
     if not dense_too or not edges.where("b is null").head(1):
         return near
@@ -392,8 +422,20 @@ def _similar_groups(docs: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFra
     names = [f"f{k}" for k in range(scheme.words)]
     # the numbers are written down with the rows, so they stay as they are
     distinct = cut(members.groupBy(*TEXT, *names).agg(F.min("doc_id").alias("first_id")).withColumn("id", F.monotonically_increasing_id()))
-    edges = links(distinct, scheme, distinct.count())
-    return members, _rooted(distinct, similar_edges(edges, distinct, docs, scheme)), TEXT
+    n = distinct.count()
+    edges = links(distinct, scheme, n).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = similar_edges(edges, distinct, docs, scheme)
+    rooted = _rooted(distinct, near)
+    refused = cut(edges.join(near, ["a", "b"], "left_anti"))
+    if not refused.head(1):
+        return members, rooted, TEXT
+    # the candidates' trees are broken where an edge is refused, so there all other candidates between parts are looked at
+    rooted, tied = cut(rooted), components(edges)
+    broken = tied.withColumnRenamed("root", "tree").unionByName(tied.select(F.col("root").alias("node"), F.col("root").alias("tree")).distinct())
+    open_ = broken.join(refused.select(F.col("a").alias("node")).distinct().join(broken, "node").select("tree").distinct(), "tree").select(F.col("node").alias("id"))
+    parts = cut(rooted.withColumnRenamed("root", "label").join(open_, "id", "left_semi"))
+    others = links(parts, scheme, n, labelled=True).join(refused, ["a", "b"], "left_anti")
+    return members, _rooted(distinct, near.unionByName(similar_edges(others, distinct, docs, scheme))), TEXT
 
 
 def hex_digits(word: Column) -> Column:

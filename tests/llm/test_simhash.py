@@ -215,3 +215,31 @@ def test_large_groups_are_trees(spark, make):
     frame = S.grouped(make(rows), S.SIMILAR)
     assert {r["component_id"] for r in frame.collect()} == {0}
     assert [r["doc_id"] for r in S.one_of_each(make(rows)).collect()] == [0]
+
+
+def test_a_refused_edge_costs_no_link(spark, make, monkeypatch):
+    """Candidates are linked as trees before their texts are compared; a bridge that is refused must not part alike texts."""
+    bits = np.zeros((3, 4), np.uint64)
+    bits[1, 3], bits[2, 3] = 1, 3  # 0 - 1 - 2 is the shortest tree; 0 and 2 are two bits apart
+    words = [f"w{k}" for k in range(100)]
+    texts = [" ".join(words), " ".join(f"other{k}" for k in range(100)), " ".join([*words[:99], "end"])]
+    assert jaccard(texts[0], texts[2]) >= 0.8 > jaccard(texts[0], texts[1])
+    frame = make(list(enumerate(texts)))
+
+    def given(docs, scheme, keyed):
+        rows = spark.createDataFrame([(k, *row) for k, row in enumerate(bits.view(np.int64).tolist())], "id bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
+        return docs.select("doc_id", *S._text_key(S.F.col("text"))).join(rows, S.F.col("doc_id") == rows["id"]).select("doc_id", "f0", "f1", "f2", "f3", *S.TEXT)
+
+    monkeypatch.setattr(S, "fingerprints", given)
+    assert {r["doc_id"]: r["component_id"] for r in S.grouped(frame, S.SIMILAR).collect()} == {0: 0, 1: 1, 2: 0}
+
+
+def test_crossing_pairs_of_a_large_group():
+    rng = np.random.default_rng(5)
+    places, n = S.Places(S.SIMILAR, 20_000), 90
+    prints = np.zeros((n, 4), np.uint64)
+    prints[:, 0] = rng.integers(0, 2**63, n, dtype=np.uint64)
+    labels = rng.integers(0, 5, n)
+    got = [tuple(p) for pairs in S.crossing(places, 0, np.arange(n) * 3, prints, labels) for p in pairs.tolist()]
+    want = [(3 * i, 3 * j) for i in range(n) for j in range(i + 1, n) if labels[i] != labels[j] and len(places.linked(0, prints[i], prints[j : j + 1]))]
+    assert sorted(got) == want and want
