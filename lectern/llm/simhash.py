@@ -56,6 +56,7 @@ DENSE = 4_096
 SMALL = 48  # members of groups whose pairs are all compared at once
 PAIRS = 1 << 20  # compared at once
 SPREAD = 1 << 19  # keys packed together
+HELD = 1 << 22  # shingles kept for further pairs of their texts
 
 
 @dataclass(frozen=True)
@@ -382,13 +383,26 @@ def similar_edges(edges: DataFrame, nodes: DataFrame, docs: DataFrame, scheme: S
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         poly, open_ = Poly(5), zstandard.ZstdDecompressor()
-        last: tuple[int, np.ndarray] | None = None
+        sets: dict[int, np.ndarray] = {}  # of texts that came before, as one text is often in many pairs
+        held = 0
+
+        def of(k: int, z: pa.Scalar) -> np.ndarray:
+            nonlocal held
+            if k not in sets:
+                if held > HELD:
+                    sets.clear()
+                    held = 0
+                sets[k] = shingle_set(open_.decompress(z.as_py()), scheme.shingle, poly)
+                held += len(sets[k])
+            return sets[k]
+
         for batch in batches:
             keep = []
-            for a, za, zb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if last is None or last[0] != a:
-                    last = a, shingle_set(open_.decompress(za.as_py()), scheme.shingle, poly)
-                one, other = last[1], shingle_set(open_.decompress(zb.as_py()), scheme.shingle, poly)
+            for a, b, za, zb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                one, other = of(a, za), of(b, zb)
+                if min(len(one), len(other)) < scheme.similarity * max(len(one), len(other)):
+                    keep.append(False)  # even if one holds the other
+                    continue
                 common = len(np.intersect1d(one, other, assume_unique=True))
                 keep.append(common >= scheme.similarity * (len(one) + len(other) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
