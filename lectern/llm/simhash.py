@@ -17,9 +17,9 @@ chance candidates stay in proportion to it.  Places are disjoint runs of one ord
 bits after another, and their number follows from the probability that one of them is
 without a difference, so the recall asked for holds at every size.  The budget leaves room for
 how a similarity of 0.8 scatters in 256 bits; what the chains and the Hamming check let
-through is a candidate, and is linked only if the texts' shingle sets themselves have a
-similarity of 0.8 or more.  Where that refuses an edge of a group's tree, every other candidate
-between the parts it leaves is looked at too, so a refused edge costs no link.
+through is a candidate.  Candidates form trees, and inside a tree the texts' shingle sets decide:
+whatever two texts of it have a similarity of 0.8 or more end in one group (:func:`alike`), so a
+candidate that is refused costs no link.
 
 Scale: equal texts (equal fingerprints for :data:`EXACT`) are one before anything is joined, so
 thousands of copies are one row.  Keys travel as packed columns, one array per task and
@@ -28,7 +28,9 @@ place and emits the edges of a tree over it, shortest first, never its pairs.  G
 ``DENSE`` different 64-bit fingerprints go another exact way: two fingerprints differ in at most
 two bits just when both are within one bit of some value, so each emits its 65 values and
 those that share one (65 at most) are linked.  Texts travel compressed to the check of
-similarities, and only those in an edge.  Components are found by joins.
+similarities, and only those of a tree: each once, beside its tree and not beside its pairs, and what
+comes back is fewer edges than texts.  A tree of over ``BLOCK`` bytes of text is dealt in blocks, and each two
+blocks meet in one task, so no task holds more than two.  Components are found by joins.
 
 Cases: null text counts as empty; texts without words have fingerprint zero and are
 linked like any other, and are alike; a null doc_id never names a component unless all its
@@ -49,14 +51,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import LOWER, Poly, components, cut, group_starts, mix, shuffle_partitions, text_bytes, tidy, word_hashes
+from lectern.llm.common import LOWER, Poly, components, cut, group_starts, mix, shuffle_partitions, tidy, whole_groups, word_hashes
 from lectern.llm.suffix_dedup import TEXT, _text_key, distinct_texts
 
 DENSE = 4_096
 SMALL = 48  # members of groups whose pairs are all compared at once
 PAIRS = 1 << 20  # compared at once
 SPREAD = 1 << 19  # keys packed together
-HELD = 1 << 22  # shingles kept for further pairs of their texts
+BLOCK = 1 << 22  # bytes of text of a tree of candidates that are one block
 
 
 @dataclass(frozen=True)
@@ -256,7 +258,7 @@ def link_group(places: Places, place: int, ids: np.ndarray, prints: np.ndarray,
 
 
 def crossing(places: Places, place: int, ids: np.ndarray, prints: np.ndarray, labels: np.ndarray) -> Iterator[np.ndarray]:
-    """All pairs of a group that are within the budget and have different labels; ids rise."""
+    """All pairs of a group that are within the budget and have different labels; ids rise.  For measuring: no stage uses it."""
     for one in range(len(ids) - 1):
         others = one + 1 + np.flatnonzero(labels[one + 1 :] != labels[one])
         if len(others):
@@ -265,11 +267,8 @@ def crossing(places: Places, place: int, ids: np.ndarray, prints: np.ndarray, la
                 yield np.stack([np.full(len(found), ids[one]), ids[found]], axis=1)
 
 
-def links(distinct: DataFrame, scheme: Scheme, n: int, labelled: bool = False) -> DataFrame:
-    """Edges (a, b) between ids of different rows (id, f0 ..) that connect what is within the budget.
-
-    ``labelled``: not such trees, but every pair within the budget whose rows differ in their ``label``.
-    """
+def links(distinct: DataFrame, scheme: Scheme, n: int) -> DataFrame:
+    """Edges (a, b) between ids of different rows (id, f0 ..) that connect what is within the budget."""
     names = [f"f{k}" for k in range(scheme.words)]
     places, partitions, words = Places(scheme, n), shuffle_partitions(distinct.sparkSession), scheme.words
     n_places = len(places.masks)
@@ -289,15 +288,15 @@ def links(distinct: DataFrame, scheme: Scheme, n: int, labelled: bool = False) -
                 packed = []
                 for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
                     mine = order[lo:hi]
-                    packed.append(b"".join([key[mine].tobytes(), columns[0][row[mine]].tobytes(), prints[row[mine]].tobytes(), *[c[row[mine]].tobytes() for c in columns[1 + words :]], place[mine].tobytes()]))
+                    packed.append(b"".join([key[mine].tobytes(), columns[0][row[mine]].tobytes(), prints[row[mine]].tobytes(), place[mine].tobytes()]))
                 full = np.flatnonzero(np.diff(bounds))
                 yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([packed[k] for k in full], pa.binary())], ["bucket", "packed"])
 
-    dealt = distinct.select("id", *names, *["label"] * labelled).mapInArrow(tidy(spread), "bucket int, packed binary").repartition(partitions, "bucket").select("packed")
+    dealt = distinct.select("id", *names).mapInArrow(tidy(spread), "bucket int, packed binary").repartition(partitions, "bucket").select("packed")
     dense_too = scheme.recall >= 1
     budgets = [scheme.budget] if dense_too else [scheme.budget * k // 4 for k in (1, 2, 3, 4)]
-    record = 8 * (2 + words + labelled) + 2
-    kinds, each_has = [np.uint64, np.int64, np.uint64, *[np.int64] * labelled, np.uint16], [1, 1, words, *[1] * labelled, 1]
+    record = 8 * (2 + words) + 2
+    kinds, each_has = [np.uint64, np.int64, np.uint64, np.uint16], [1, 1, words, 1]
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
         parts: list[list[np.ndarray]] = [[] for _ in kinds]
@@ -308,24 +307,9 @@ def links(distinct: DataFrame, scheme: Scheme, n: int, labelled: bool = False) -
                 for part, kind, each in zip(parts, kinds, each_has, strict=True):
                     part.append(np.frombuffer(data, kind, size * each, at))
                     at += part[-1].nbytes
-        key, ids, prints, *label, place = (np.concatenate(p) if p else np.zeros(0, t) for p, t in zip(parts, kinds, strict=True))
+        key, ids, prints, place = (np.concatenate(p) if p else np.zeros(0, t) for p, t in zip(parts, kinds, strict=True))
         order = np.lexsort((ids, key, place))
-        return [place[order].astype(np.int64), key[order], ids[order], prints.reshape(-1, words)[order], *[c[order] for c in label]]
-
-    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, key, ids, prints, label = unpacked(batches)
-        bounds = group_starts(place, key)
-        found, held = [], 0
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            for pairs in crossing(places, int(place[lo]), ids[lo:hi], prints[lo:hi], label[lo:hi]) if hi - lo > 1 and (label[lo:hi] != label[lo]).any() else ():
-                found.append(pairs)
-                held += len(pairs)
-                if held >= PAIRS:
-                    a, b = np.unique(np.concatenate(found), axis=0).T
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-                    found, held = [], 0
-        a, b = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0).T
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        return [place[order].astype(np.int64), key[order], ids[order], prints.reshape(-1, words)[order]]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, key, ids, prints = unpacked(batches)
@@ -352,7 +336,7 @@ def links(distinct: DataFrame, scheme: Scheme, n: int, labelled: bool = False) -
         for members in dense:
             yield pa.RecordBatch.from_arrays([pa.array(members), pa.nulls(len(members), pa.int64())], ["a", "b"])
 
-    edges = cut(dealt.mapInArrow(tidy(cross if labelled else join), "a bigint, b bigint").distinct())
+    edges = cut(dealt.mapInArrow(tidy(join), "a bigint, b bigint").distinct())
     near = edges.where("b is not null")
     if not dense_too or not edges.where("b is null").head(1):
         return near
@@ -375,39 +359,161 @@ def shingle_set(text: bytes, shingle: int, poly: Poly) -> np.ndarray:
     return np.unique(out)
 
 
-def similar_edges(edges: DataFrame, nodes: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """The ``edges`` whose texts have a similarity of at least the scheme's; ``nodes`` has id and the text's key."""
-    used = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = cut(nodes.select("id", *TEXT).join(used, "id").join(distinct_texts(docs), TEXT).select("id", "z"))
-    pairs = edges.join(texts.select(F.col("id").alias("a"), F.col("z").alias("za")), "a").join(texts.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b")
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of several ranges one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        poly, open_ = Poly(5), zstandard.ZstdDecompressor()
-        sets: dict[int, np.ndarray] = {}  # of texts that came before, as one text is often in many pairs
-        held = 0
-
-        def of(k: int, z: pa.Scalar) -> np.ndarray:
-            nonlocal held
-            if k not in sets:
-                if held > HELD:
-                    sets.clear()
-                    held = 0
-                sets[k] = shingle_set(open_.decompress(z.as_py()), scheme.shingle, poly)
-                held += len(sets[k])
-            return sets[k]
 
+def _partnered(size: np.ndarray, shared: np.ndarray, similarity: float) -> np.ndarray:
+    """Which sets, with so many of their elements in others too, may be alike to another by these two numbers."""
+    reach = shared * (1 + 1 / similarity) - size + 1e-6  # the largest partner, if it had all that is shared
+    order = np.argsort(size, kind="stable")
+    most = np.maximum.accumulate(reach[order])
+    second = np.maximum.accumulate(np.minimum(np.append(-np.inf, most[:-1]), reach[order]))
+    upto = np.searchsorted(size[order], reach[order], side="right")
+    at = np.maximum(upto - 1, 0)
+    itself = (np.arange(len(order)) < upto) & (reach[order] >= most[at])
+    out = np.zeros(len(size), bool)
+    out[order] = (upto > 0) & (np.where(itself, second[at], most[at]) >= size[order])
+    return out
+
+
+class _Parts:
+    """Labels of what is linked so far, and the edges that did it."""
+
+    def __init__(self, n: int):
+        self.label, self.members, self.edges = np.arange(n), [[k] for k in range(n)], []
+        self.largest = 0
+
+    def link(self, a: int, b: int) -> None:
+        p, q = int(self.label[a]), int(self.label[b])
+        if p == q:
+            return
+        self.edges.append((a, b))
+        if len(self.members[p]) < len(self.members[q]):
+            p, q = q, p
+        self.label[self.members[q]] = p
+        self.members[p] += self.members[q]
+        self.members[q] = []
+        if len(self.members[p]) > len(self.members[self.largest]):
+            self.largest = p
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Edges that connect sets as all pairs of at least that similarity would, fewer than there are sets.
+
+    Elements in one set only count for its size alone, so sets with the same others are a class: what links with
+    one of them links with its smallest.  Sets that by these counts have no partner go first, until none does.
+    Then a class is compared with all that hold one of its rarest elements (so many that a partner can't do without
+    all of them), as long as a class with sets outside the largest part has not had its turn: a link between
+    two parts is always seen from one side.
+    """
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    parts = _Parts(len(sets))
+    none = np.flatnonzero(size == 0).tolist()
+    for k in none[1:]:
+        parts.link(none[0], k)
+    owner = np.repeat(np.arange(len(sets)), size)
+    element = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)[1].astype(np.int32)
+    left = size > 0
+    while left.any():
+        shared = np.bincount(element)[element] > 1
+        owner, element = owner[shared], element[shared]
+        alive = np.flatnonzero(left)
+        gone = alive[~_partnered(size[alive], np.bincount(owner, minlength=len(sets))[alive], similarity)]
+        if not len(gone):
+            break
+        left[gone] = False
+        owner, element = owner[left[owner]], element[left[owner]]
+    bounds = np.searchsorted(owner, np.arange(len(sets) + 1))
+    classes: dict[bytes, list[int]] = {}
+    alive = np.flatnonzero(left)
+    for k in alive[np.argsort(size[alive], kind="stable")].tolist():
+        classes.setdefault(element[bounds[k] : bounds[k + 1]].tobytes(), []).append(k)  # in the order of their values
+    of = list(classes.values())
+    least = np.array([c[0] for c in of], np.int64)
+    n_of = np.fromiter(map(len, of), np.int64, len(of))
+    start_of, everyone = np.cumsum(n_of) - n_of, np.array([k for c in of for k in c], np.int64)
+    width, small = np.diff(bounds)[least], size[least]
+    element = element[_ranges(bounds[least], width)]
+    owner, start = np.repeat(np.arange(len(of)), width), np.cumsum(width) - width
+    common_first = np.bincount(element)
+    element = element[np.lexsort((element, common_first[element], owner))]  # rarest first
+    holders, first = owner[np.argsort(element, kind="stable")], np.append(0, np.cumsum(common_first))
+    for k in range(len(of)):
+        for x in of[k][1:]:
+            if width[k] < similarity * (size[x] + small[k] - width[k]):
+                break
+            parts.link(of[k][0], x)
+    mine = np.zeros(len(common_first), bool)
+    turns = np.argsort(small - width * (1 + 1 / similarity) + small, kind="stable").tolist()
+    while True:
+        waiting = []
+        for k in turns:
+            if (parts.label[of[k]] == parts.largest).all():
+                waiting.append(k)
+                continue
+            row = element[start[k] : start[k] + width[k]]
+            rare = row[: max(0, width[k] - math.ceil(similarity * small[k] - 1e-6) + 1)]
+            others = np.unique(holders[_ranges(first[rare], common_first[rare])])
+            others = others[(others != k) & (np.minimum(width[others], width[k]) * (1 + similarity) + 1e-6 >= similarity * (small[others] + small[k]))]
+            if not len(others):
+                continue
+            mine[row] = True
+            common = np.add.reduceat(mine[element[_ranges(start[others], width[others])]], np.cumsum(width[others]) - width[others], dtype=np.int64)
+            mine[row] = False
+            near = common >= similarity * (small[k] + small[others] - common)
+            others, common = others[near], common[near]
+            if not len(others):
+                continue
+            found, each = everyone[_ranges(start_of[others], n_of[others])], np.repeat(common, n_of[others])
+            found = found[each >= similarity * (small[k] + size[found] - each)]
+            for y in found[parts.label[found] != parts.label[least[k]]].tolist():
+                parts.link(of[k][0], y)
+            for x in of[k][1:]:
+                if parts.label[x] != parts.label[least[k]]:
+                    best = np.argmax(common * (1 + 1 / similarity) - small[others])
+                    if common[best] >= similarity * (size[x] + small[others[best]] - common[best]):
+                        parts.link(int(least[others[best]]), x)
+        if len(waiting) == len(turns):
+            return parts.edges
+        turns = waiting
+
+
+def similar_edges(trees: DataFrame, nodes: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """Edges that connect the texts of each tree (node, root) as their similarities of at least the scheme's do.
+
+    ``nodes`` has id and the text's key.
+    """
+    both = trees.select(F.col("root").alias("tree"), F.col("node").alias("id")).union(trees.select(F.col("root").alias("tree"), F.col("root").alias("id")).distinct())
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b, za, zb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                one, other = of(a, za), of(b, zb)
-                if min(len(one), len(other)) < scheme.similarity * max(len(one), len(other)):
-                    keep.append(False)  # even if one holds the other
-                    continue
-                common = len(np.intersect1d(one, other, assume_unique=True))
-                keep.append(common >= scheme.similarity * (len(one) + len(other) - common))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            size = [zstandard.frame_content_size(z.as_py()) for z in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size, pa.int64())], ["tree", "id", "z", "size"])
+
+    keyed = nodes.select("id", *TEXT).join(both, "id").join(distinct_texts(docs), TEXT)
+    texts = cut(keyed.select("tree", "id", "z").mapInArrow(tidy(measure), "tree bigint, id bigint, z binary, size bigint"))
+    blocks = texts.groupBy("tree").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    meet = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != block), lambda k: F.struct(F.least(k, block).alias("i"), F.greatest(k, block).alias("j")))
+    alone = F.array(F.struct(F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("j")))
+    dealt = texts.join(blocks, "tree", "left").select("tree", "id", "z", F.explode(F.coalesce(meet, alone)).alias("m")).select("tree", "m.i", "m.j", "id", "z")
+    dealt = dealt.repartition(shuffle_partitions(docs.sparkSession), "tree", "i", "j").sortWithinPartitions("tree", "i", "j", "id")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        poly, open_ = Poly(5), zstandard.ZstdDecompressor()
+        for table in whole_groups(batches, ["tree", "i", "j"]):
+            bounds = group_starts(*[table[k].to_numpy() for k in ("tree", "i", "j")])
+            ids, z, out = table["id"].to_numpy(), table["z"], []
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                sets = [shingle_set(open_.decompress(x.as_py()), scheme.shingle, poly) for x in z.slice(lo, hi - lo)]
+                out += [(ids[lo + a], ids[lo + b]) for a, b in alike(sets, scheme.similarity)]
+            a, b = np.array(out, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return cut(pairs.select("a", "b", "za", "zb").mapInArrow(tidy(check), "a bigint, b bigint"))
+    return cut(dealt.mapInArrow(tidy(check), "a bigint, b bigint"))
 
 
 def grouped(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
@@ -436,20 +542,8 @@ def _similar_groups(docs: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFra
     names = [f"f{k}" for k in range(scheme.words)]
     # the numbers are written down with the rows, so they stay as they are
     distinct = cut(members.groupBy(*TEXT, *names).agg(F.min("doc_id").alias("first_id")).withColumn("id", F.monotonically_increasing_id()))
-    n = distinct.count()
-    edges = links(distinct, scheme, n).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    near = similar_edges(edges, distinct, docs, scheme)
-    rooted = _rooted(distinct, near)
-    refused = cut(edges.join(near, ["a", "b"], "left_anti"))
-    if not refused.head(1):
-        return members, rooted, TEXT
-    # the candidates' trees are broken where an edge is refused, so there all other candidates between parts are looked at
-    rooted, tied = cut(rooted), components(edges)
-    broken = tied.withColumnRenamed("root", "tree").unionByName(tied.select(F.col("root").alias("node"), F.col("root").alias("tree")).distinct())
-    open_ = broken.join(refused.select(F.col("a").alias("node")).distinct().join(broken, "node").select("tree").distinct(), "tree").select(F.col("node").alias("id"))
-    parts = cut(rooted.withColumnRenamed("root", "label").join(open_, "id", "left_semi"))
-    others = links(parts, scheme, n, labelled=True).join(refused, ["a", "b"], "left_anti")
-    return members, _rooted(distinct, near.unionByName(similar_edges(others, distinct, docs, scheme))), TEXT
+    trees = components(links(distinct, scheme, distinct.count()))
+    return members, _rooted(distinct, similar_edges(trees, distinct, docs, scheme)), TEXT
 
 
 def hex_digits(word: Column) -> Column:

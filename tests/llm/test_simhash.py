@@ -243,3 +243,88 @@ def test_crossing_pairs_of_a_large_group():
     got = [tuple(p) for pairs in S.crossing(places, 0, np.arange(n) * 3, prints, labels) for p in pairs.tolist()]
     want = [(3 * i, 3 * j) for i in range(n) for j in range(i + 1, n) if labels[i] != labels[j] and len(places.linked(0, prints[i], prints[j : j + 1]))]
     assert sorted(got) == want and want
+
+
+def linked(n, edges):
+    parent = list(range(n))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in edges:
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    return [root(k) for k in range(n)]
+
+
+def test_alike_against_all_pairs():
+    rng = random.Random(31)
+    for turn in range(400):
+        n, rare, sets = rng.choice([3, 10, 40, 80]), rng.choice([4, 10**6]), []
+        for _ in range(rng.choice([1, 2])):
+            base = [rng.randrange(10**6) for _ in range(n)]
+            for _ in range(rng.randrange(1, 40)):
+                copy = [*base[: max(1, n - rng.randrange(n // 2 + 1))], *(rng.randrange(10**6) for _ in range(rng.randrange(n // 3 + 1)))] if turn % 3 == 0 else list(base)
+                at = rng.randrange(n)
+                for k in range(at, min(len(copy), at + rng.randrange(n // 8 + 2))):
+                    copy[k] = rng.randrange(rare)
+                sets.append(np.unique(np.array(copy if rng.randrange(30) else [], np.uint64)))
+        rng.shuffle(sets)
+        plain = [set(s.tolist()) for s in sets]
+        near = {(i, j) for j in range(len(sets)) for i in range(j) if 5 * len(plain[i] & plain[j]) >= 4 * len(plain[i] | plain[j])}
+        edges = S.alike(sets, 0.8)
+        assert {(min(e), max(e)) for e in edges} <= near
+        assert linked(len(sets), edges) == linked(len(sets), near)
+        assert len(edges) < len(sets)
+
+
+def one_word_changed(rng, n):
+    """Candidates of each other, of which only those with changes within two words of each other are similar."""
+    base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    texts = []
+    for k in range(n):
+        at = 4 + 6 * rng.randrange(12)
+        texts.append(" ".join([*base[:at], f"x{k}", *base[at + 1 :]]))
+    return texts
+
+
+@pytest.mark.parametrize("block", [None, 20_000])
+def test_trees_are_linked_by_similarity(spark, make, monkeypatch, block):
+    if block:
+        monkeypatch.setattr(S, "BLOCK", block)  # the tree is some ten blocks then
+    texts = one_word_changed(random.Random(32), 300)
+    wanted, _ = plain_similar_groups(texts)
+    got = {r["doc_id"]: r["component_id"] for r in S.grouped(make(list(enumerate(texts))), S.SIMILAR).collect()}
+    assert [got[w] for w in wanted] == [got[k] for k in range(len(texts))]
+    assert len(set(got.values())) == len(set(wanted)) == 12
+
+
+def query_numbers(spark):
+    queries = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return [queries.apply(k).executionId() for k in range(queries.size())]
+
+
+def join_rows(spark, since):
+    """Rows out of each join of the queries after number ``since``."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    out = []
+    for number in [k for k in query_numbers(spark) if k > since]:
+        values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for n in range(nodes.size()):
+            metrics = nodes.apply(n).metrics()
+            for m in range(metrics.size() if "Join" in nodes.apply(n).name() else 0):
+                value = values.get(metrics.apply(m).accumulatorId())
+                if metrics.apply(m).name() == "number of output rows" and value.isDefined():
+                    out.append(int(value.get().replace(",", "")))
+    return out
+
+
+def test_refused_candidates_make_no_pairs(spark, make):
+    """A group of candidates that are mostly not similar: joins made a row for nearly each of its 44,850 pairs."""
+    docs = make(list(enumerate(one_word_changed(random.Random(33), 300))))
+    since = max(query_numbers(spark), default=-1)
+    S.grouped(docs, S.SIMILAR).collect()
+    rows = join_rows(spark, since)
+    assert rows and max(rows) <= 10 * 300  # the trees of the places have up to a few edges for each text
