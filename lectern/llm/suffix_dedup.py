@@ -38,6 +38,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Poly, cut, group_starts, mix, shuffle_partitions, slices, text_bytes, tidy, told_apart, whole_groups, word_spans
+from lectern.llm.common import SPACE, Poly, cut, group_starts, mix, shuffle_partitions, slices, text_bytes, tidy, told_apart, whole_groups, word_spans
 
 LENGTH, GRAM = 400, 128
 CHUNK = 2 << 20
@@ -87,53 +88,56 @@ class Symbols:
     The bytes of words are joined by single spaces.
     """
 
-    def __init__(self, unit: Unit, data: np.ndarray, offsets: np.ndarray, poly: Poly):
-        self.unit = unit
+    def __init__(self, unit: Unit, data: np.ndarray, offsets: np.ndarray, poly: Poly, prefix: np.ndarray | None = None):
+        """``prefix``: the data's, where it is known already."""
+        self.unit, self.data = unit, data
         if unit.number == BYTES.number:
-            self.values, self.offsets, self.plain = data, offsets, data
+            self.values, self.offsets, self.prefix = data, offsets, prefix
             return
         starts, ends, self.offsets = word_spans(data, offsets)
-        self.spans = starts, ends
-        self.values = told_apart(mix(poly.spans(poly.prefix(data), starts, ends)), data, starts, ends)
+        self.spans, self.prefix = (starts, ends), None
+        self.values = told_apart(mix(poly.spans(poly.prefix(data) if prefix is None else prefix, starts, ends)), data, starts, ends)
         sizes = ends - starts
         self._ends = np.cumsum(sizes + 1) - 1
         self._starts = self._ends - sizes
-        self.plain = np.full(int(sizes.sum()) + len(sizes), 0x20, np.uint8)
-        letters = np.ones(len(self.plain), bool)
+
+    @cached_property
+    def plain(self) -> np.ndarray:
+        if self.unit.number == BYTES.number:
+            return self.data
+        plain = np.full(int(self._ends[-1]) + 1 if len(self._ends) else 0, 0x20, np.uint8)
+        letters = np.ones(len(plain), bool)
         letters[self._ends] = False
-        inside = np.zeros(len(data) + 1, np.int8)
-        inside[starts] += 1
-        inside[ends] -= 1
-        self.plain[letters] = data[np.cumsum(inside[:-1]).astype(bool)]
+        plain[letters] = self.data[~SPACE[self.data]]
+        return plain
 
     def bounds(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where in ``plain`` the symbols a .. b - 1 stand."""
         return (a, b) if self.unit.number == BYTES.number else (self._starts[a], self._ends[b - 1])
 
 
-def find_runs(unit: Unit, values: np.ndarray, offsets: np.ndarray, poly: Poly) -> tuple[np.ndarray, ...]:
-    """The runs of some texts: arrays first symbol, number of windows, anchor hash, whether the anchor repeats in it."""
+def find_runs(unit: Unit, values: np.ndarray, offsets: np.ndarray, poly: Poly, prefix: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """The runs of some texts: arrays first symbol, number of windows, anchor hash, whether the anchor repeats in it.
+
+    ``prefix``: that of ``values``, where it is known already.
+    """
     if len(values) < unit.length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
-    grams = mix(poly.every(poly.prefix(values), unit.gram) + np.uint64(unit.number << 32))
-    least = sliding_minimum((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), unit.length - unit.gram + 1)
-    anchor = (least & _PLACE).astype(np.int64)
-    own = grams[anchor]
-    at = np.arange(len(anchor))
-    whole = at + unit.length <= np.repeat(offsets[1:], np.diff(offsets))[: len(anchor)]
-    follows = np.zeros(len(at), bool)
-    follows[1:] = whole[1:] & whole[:-1]
-    same = np.zeros(len(at), bool)
-    same[1:] = own[1:] == own[:-1]
-    first = whole & ~(follows & same)
-    starts = np.flatnonzero(first)
-    moved = np.zeros(len(at), bool)
-    moved[1:] = anchor[1:] != anchor[:-1]
+    grams = mix(poly.every(poly.prefix(values) if prefix is None else prefix, unit.gram) + np.uint64(unit.number << 32))
+    least = grams & ~_PLACE
+    least |= np.arange(len(grams), dtype=np.uint64)
+    anchor = (sliding_minimum(least, unit.length - unit.gram + 1) & _PLACE).view(np.int64)
+    # runs begin with a text's first window or where the anchor moves to another string; only there hashes are looked at
+    moved = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
+    text = np.searchsorted(offsets, moved, side="right") - 1
+    moved = moved[(moved + unit.length <= offsets[text + 1]) & (moved > offsets[text])]
+    same = grams[anchor[moved]] == grams[anchor[moved - 1]]
+    starts = np.sort(np.concatenate([offsets[:-1][np.diff(offsets) >= unit.length], moved[~same]]))
     twice = np.zeros(len(starts), bool)
-    twice[(np.cumsum(first) - 1)[follows & same & moved]] = True
-    upto = np.cumsum(whole)
-    n = np.diff(np.append(upto[starts] - 1, upto[-1])) if len(starts) else starts
-    return starts, n, own[starts], twice
+    twice[np.searchsorted(starts, moved[same], side="right") - 1] = True
+    last = offsets[np.searchsorted(offsets, starts, side="right")] - unit.length + 1
+    n = np.minimum(np.append(starts[1:], len(values)), last) - starts if len(starts) else starts
+    return starts, n, grams[anchor[starts]], twice
 
 
 def digests(symbols: Symbols, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -151,23 +155,26 @@ def runs(keyed: DataFrame, units: tuple[Unit, ...], told: bool) -> DataFrame:
         poly = Poly(1)
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
+            keys = [batch.column(k).to_numpy() for k in range(2)]
             for lo, hi in slices(offsets, SCAN):
+                here = data[offsets[lo] : offsets[hi]]
+                prefix = poly.prefix(here)
                 for unit in units:
-                    symbols = Symbols(unit, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], poly)
+                    symbols = Symbols(unit, here, offsets[lo : hi + 1] - offsets[lo], poly, prefix)
                     size = int(symbols.offsets[-1])
                     step = CHUNK if hi - lo == 1 else max(size, 1)
                     for base in range(0, size - unit.length + 1, step):
                         upto = min(base + step + unit.length - 1, size)
-                        s, n, h, twice = find_runs(unit, symbols.values[base:upto], symbols.offsets if hi - lo > 1 else np.array([0, upto - base]), poly)
+                        whole = upto - base == size
+                        s, n, h, twice = find_runs(unit, symbols.values[base:upto], symbols.offsets if hi - lo > 1 else np.array([0, upto - base]), poly, symbols.prefix if whole else None)
                         s = s + base
                         if not told:
                             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(twice)], ["h", "twice"])
                             continue
                         doc = np.searchsorted(symbols.offsets, s, side="right") - 1
-                        part = batch.slice(lo, hi - lo).take(pa.array(doc))
                         d = digests(symbols, s, n)
-                        numbers = [np.full(len(s), unit.number, np.int32), (s - symbols.offsets[doc]).astype(np.int32), n.astype(np.int32), h.view(np.int64), d[:, 0].copy(), d[:, 1].copy()]
-                        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *map(pa.array, numbers), pa.array(twice)], [x.strip().split(" ")[0] for x in RUNS.split(",")])
+                        numbers = [*[k[lo + doc] for k in keys], np.full(len(s), unit.number, np.int32), (s - symbols.offsets[doc]).astype(np.int32), n.astype(np.int32), h.view(np.int64), d[:, 0].copy(), d[:, 1].copy()]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), pa.array(twice)], [x.strip().split(" ")[0] for x in RUNS.split(",")])
 
     return keyed.mapInArrow(tidy(scan), RUNS if told else "h bigint, twice boolean")
 
@@ -211,9 +218,15 @@ class SuffixSort:
         return sign
 
     def order(self) -> np.ndarray:
-        """Suffix numbers in order: groups are split by their suffixes' heads, then a bottom-up mergesort orders all parts at once."""
+        """Suffix numbers in order.
+
+        Suffixes of equal hashes take one place.  Groups are split by their suffixes' heads, then a bottom-up
+        mergesort orders all parts at once.
+        """
         group = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
-        order = np.lexsort((self.head, group))
+        alike, places = self._alike(group)
+        first = alike[places[:-1]]
+        order = first[np.lexsort((self.head[first], group[first]))]
         parts = group_starts(group[order], self.head[order])
         sizes = np.diff(parts)
         low, high = np.repeat(parts[:-1], sizes), np.repeat(parts[1:], sizes)
@@ -238,7 +251,30 @@ class SuffixSort:
             merged = order.copy()
             merged[target] = mine
             order, run = merged, run * 2
-        return order
+        if len(order) == len(alike):
+            return order
+        place = np.empty(len(group), np.int64)
+        place[first] = np.arange(len(first))
+        place = place[order]
+        sizes = np.diff(places)[place]
+        before = np.cumsum(sizes) - sizes
+        return alike[np.repeat(places[place] - before, sizes) + np.arange(len(alike))]
+
+    def _alike(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix numbers, those of one group with equal hashes of the whole length side by side and in rising order, and where each such set begins."""
+        if not len(group):
+            return np.zeros(0, np.int64), np.zeros(1, np.int64)
+        place = np.uint64((1 << len(group).bit_length()) - 1)
+        keys = self.full & ~place
+        keys |= np.arange(len(group), dtype=np.uint64)
+        keys.sort()
+        alike = (keys & place).view(np.int64)
+        full, of = self.full[alike], group[alike]
+        near = (keys[1:] ^ keys[:-1]) <= place
+        if (near & ((full[1:] != full[:-1]) | (of[1:] != of[:-1]))).any():  # the upper bits have not told all apart
+            alike = np.lexsort((self.full, group))
+            full, of = self.full[alike], group[alike]
+        return alike, group_starts(full, of)
 
     def repeated(self) -> np.ndarray:
         """Which suffixes agree with another of their group over the whole length."""
@@ -254,12 +290,18 @@ class SuffixSort:
         return marked
 
     def _verified(self, p: np.ndarray, q: np.ndarray) -> bool:
-        """Whether windows with equal hashes have equal bytes: the bytes themselves have the last word."""
-        plain = self.symbols.plain
-        if self.data.dtype == np.uint8:
-            inside = np.arange(self.length)
-            return all((plain[p[k : k + 4_096, None] + inside] == plain[q[k : k + 4_096, None] + inside]).all() for k in range(0, len(p), 4_096))
-        (a, b), (c, d), text = self.symbols.bounds(p, p + self.length), self.symbols.bounds(q, q + self.length), plain.tobytes()
+        """Whether windows with equal hashes have equal bytes: the bytes themselves have the last word.
+
+        Pairs of windows that overlap at the same distance are compared as one pair of stretches.
+        """
+        if not len(p):
+            return True
+        away = q - p
+        order = np.lexsort((p, away))
+        p, away = p[order], away[order]
+        new = np.flatnonzero(np.r_[True, (away[1:] != away[:-1]) | (p[1:] > p[:-1] + self.length)])
+        lo, hi, away = p[new], p[np.r_[new[1:], len(p)] - 1] + self.length, away[new]
+        (a, b), (c, d), text = self.symbols.bounds(lo, hi), self.symbols.bounds(lo + away, hi + away), self.symbols.plain.tobytes()
         return all(text[w:x] == text[y:z] for w, x, y, z in zip(a.tolist(), b.tolist(), c.tolist(), d.tolist(), strict=True))
 
     def _by_bytes(self) -> np.ndarray:

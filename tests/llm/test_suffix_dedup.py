@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lectern.llm import suffix_dedup as S
@@ -175,3 +177,65 @@ def test_colliding_polynomials_remove_nothing(spark, make):
     got = {r["doc_id"]: tuple(r)[1:5] for r in S.digest(make([(0, one), (1, two)])).collect()}
     assert [got[k] for k in range(2)] == brute([one, two])
     assert not any(n for _, n, _, _ in got.values())
+
+
+class Rows:
+    """Stands for a DataFrame: the function that would be mapped over it."""
+
+    def mapInArrow(self, mapper, schema):
+        return mapper
+
+
+def test_a_long_text_is_not_copied_for_its_runs():
+    text = prose(random.Random(7), 60_000)
+    table = pa.table({"th": [1], "tk": [2], "text": [text]})
+    before = pa.total_allocated_bytes()
+    held = [(batch.num_rows, pa.total_allocated_bytes() - before) for batch in S.runs(Rows(), S.UNITS, True)(iter(table.to_batches()))]
+    assert sum(n for n, _ in held) > 2_000
+    assert max(size for _, size in held) < 8 * len(text.encode())  # one copy for each run would be over 100 million bytes
+
+
+def test_overlapping_windows_are_verified_once():
+    rng = np.random.default_rng(8)
+    passage = rng.integers(97, 123, 20_000).astype(np.uint8)
+    data = np.concatenate([passage, passage])
+    at = np.arange(len(passage) - S.LENGTH + 1)
+    sort = S.SuffixSort(data, np.concatenate([at, at + len(passage)]), np.array([0, 2 * len(at)]), Poly(1))
+    tracemalloc.start()
+    assert sort._verified(at, at + len(passage))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4_096 * S.LENGTH  # what a block of windows takes as bytes
+    for wrong in (0, 10_000, len(passage) - 1):
+        kept, data[wrong] = data[wrong], 0
+        assert not sort._verified(at, at + len(passage))
+        data[wrong] = kept
+    data[0] = 0
+    assert sort._verified(at[1:], at[1:] + len(passage))  # no window has the first byte
+
+
+def test_equal_suffixes_take_one_place(monkeypatch):
+    rng = np.random.default_rng(9)
+    text = rng.integers(97, 99, 600).astype(np.uint8)
+    data = np.tile(text, 40)
+    starts = np.sort(np.concatenate([600 * k + np.arange(0, 200) for k in range(40)]))
+    compared = []
+    compare = S.SuffixSort.compare
+    monkeypatch.setattr(S.SuffixSort, "compare", lambda self, a, b: compared.append(len(a)) or compare(self, a, b))
+    sort = S.SuffixSort(data, starts, np.array([0, len(starts)]), Poly(1))
+    order, whole = sort.order(), data.tobytes()
+    assert sorted(order) == list(range(len(starts)))
+    windows = [whole[starts[k] : starts[k] + S.LENGTH] for k in order]
+    assert windows == sorted(windows)
+    assert sum(compared) < len(starts)
+    assert sort.repeated().all()
+
+
+def test_hashes_that_agree_in_their_upper_bits():
+    data = np.random.default_rng(10).integers(97, 123, 3_000).astype(np.uint8)
+    data[1_500:2_500] = data[:1_000]
+    starts = np.array([0, 5, 9, 1_500, 1_505, 1_509, 2_600])
+    for bounds in ([0, 7], [0, 3, 7]):  # one group, and equal windows in two
+        sort = S.SuffixSort(data, starts, np.array(bounds), Poly(1))
+        sort.full = np.array([6, 5, 4, 6, 5, 4, 3], np.uint64)
+        assert sort.repeated().tolist() == ([True] * 6 + [False] if len(bounds) == 2 else [False] * 7)
