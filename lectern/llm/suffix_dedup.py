@@ -53,6 +53,7 @@ CHUNK = 2 << 20
 SCAN = 1 << 17  # bytes scanned at once: what fits a core's cache
 GROUP_SEGMENTS = 4_096
 SORT_WINDOWS = 1 << 18
+SEGMENT_BYTES = 1 << 20  # of segments handed on at once
 _PLACE = np.uint64((1 << 24) - 1)
 _KEY = b"segments"
 
@@ -90,17 +91,23 @@ class Symbols:
 
     def __init__(self, unit: Unit, data: np.ndarray, offsets: np.ndarray, poly: Poly, prefix: np.ndarray | None = None):
         """``prefix``: the data's, where it is known already."""
-        self.unit, self.data = unit, data
+        self.unit, self.data, self.offsets, self._poly, self._prefix = unit, data, offsets, poly, prefix
         if unit.number == BYTES.number:
-            self.values, self.offsets, self.prefix = data, offsets, prefix
             return
         starts, ends, self.offsets = word_spans(data, offsets)
-        self.spans, self.prefix = (starts, ends), None
-        self.values = told_apart(mix(poly.spans(poly.prefix(data) if prefix is None else prefix, starts, ends)), data, starts, ends)
+        self.spans = starts, ends
         sizes = ends - starts
         self._ends = np.cumsum(sizes + 1) - 1
         self._starts = self._ends - sizes
 
+    @cached_property
+    def values(self) -> np.ndarray:
+        if self.unit.number == BYTES.number:
+            return self.data
+        starts, ends = self.spans
+        prefix = self._poly.prefix(self.data) if self._prefix is None else self._prefix
+        return told_apart(mix(self._poly.spans(prefix, starts, ends)), self.data, starts, ends)
+
     @cached_property
     def plain(self) -> np.ndarray:
         if self.unit.number == BYTES.number:
@@ -165,8 +172,8 @@ def runs(keyed: DataFrame, units: tuple[Unit, ...], told: bool) -> DataFrame:
                     step = CHUNK if hi - lo == 1 else max(size, 1)
                     for base in range(0, size - unit.length + 1, step):
                         upto = min(base + step + unit.length - 1, size)
-                        whole = upto - base == size
-                        s, n, h, twice = find_runs(unit, symbols.values[base:upto], symbols.offsets if hi - lo > 1 else np.array([0, upto - base]), poly, symbols.prefix if whole else None)
+                        known = prefix if unit.number == BYTES.number and upto - base == size else None
+                        s, n, h, twice = find_runs(unit, symbols.values[base:upto], symbols.offsets if hi - lo > 1 else np.array([0, upto - base]), poly, known)
                         s = s + base
                         if not told:
                             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(twice)], ["h", "twice"])
@@ -326,25 +333,42 @@ def _segments(texts: DataFrame, wanted: DataFrame, units: tuple[Unit, ...]) -> D
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         poly, other, open_ = Poly(1), Poly(3), zstandard.ZstdDecompressor()
         for batch in batches:
-            for packed, asked_here in zip(batch.column(0), batch.column(1), strict=True):
-                data, rows = np.frombuffer(open_.decompress(packed.as_py()), np.uint8), []
-                wanted_here = asked_here.as_py()
+            bounds, asked_here = batch.column(1).offsets.to_numpy(), batch.column(1).values
+            number, n, s, buckets = (asked_here.field(k).to_numpy() for k in ("unit", "n", "s", "buckets"))
+            rows: list[tuple[int, int, bytes, bytes | None]] = []  # which of those asked for, bucket, bytes, starts
+            held = 0
+
+            def made(rows: list[tuple], asked_here: pa.StructArray = asked_here) -> pa.RecordBatch:
+                of, bucket, found, starts = zip(*rows, strict=True)
+                part = asked_here.take(pa.array(of))
+                columns = {"unit": part.field("unit"), "h": part.field("h"), "bucket": pa.array(bucket, pa.int32())}
+                columns |= {name: part.field(name) for name in ("n", "d1", "d2", "counted")}
+                columns |= {"bytes": pa.array(found, pa.binary()), "starts": pa.array(starts, pa.binary())}
+                return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+            for k, packed in enumerate(batch.column(0)):
+                data = np.frombuffer(open_.decompress(packed.as_py()), np.uint8)
                 for unit in units:
-                    mine = [a for a in wanted_here if a["unit"] == unit.number]
-                    if not mine:
+                    mine = bounds[k] + np.flatnonzero(number[bounds[k] : bounds[k + 1]] == unit.number)
+                    if not len(mine):
                         continue
                     symbols = Symbols(unit, data, np.array([0, len(data)]), poly)
-                    for a in mine:
-                        lo, hi = (int(x) for x in symbols.bounds(a["s"], a["s"] + a["n"] + unit.length - 1))
-                        head = (a["n"], a["d1"], a["d2"], a["counted"], symbols.plain[lo:hi].tobytes())
-                        if a["buckets"] == 1:
-                            rows.append((unit.number, a["h"], 0, *head, None))
-                            continue
-                        bucket = mix(other.every(other.prefix(symbols.values[a["s"] : a["s"] + a["n"] + unit.length - 1]), unit.length)) % np.uint64(a["buckets"])
-                        rows += [(unit.number, a["h"], int(b), *head, np.flatnonzero(bucket == b).astype(np.int32).tobytes()) for b in np.unique(bucket)]
-                types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
-                columns = list(zip(*rows, strict=True)) or [[]] * len(types)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["unit", "h", "bucket", "n", "d1", "d2", "counted", "bytes", "starts"])
+                    upto = s[mine] + n[mine] + unit.length - 1
+                    for a, end, lo, hi in zip(mine.tolist(), upto.tolist(), *(x.tolist() for x in symbols.bounds(s[mine], upto)), strict=True):
+                        found = symbols.plain[lo:hi].tobytes()
+                        if buckets[a] == 1:
+                            parts = [(a, 0, found, None)]
+                        else:
+                            bucket = mix(other.every(other.prefix(symbols.values[s[a] : end]), unit.length)) % np.uint64(buckets[a])
+                            parts = [(a, int(b), found, np.flatnonzero(bucket == b).astype(np.int32).tobytes()) for b in np.unique(bucket)]
+                        for row in parts:
+                            rows.append(row)
+                            held += len(found) + len(row[3] or b"")
+                            if held > SEGMENT_BYTES:
+                                yield made(rows)
+                                rows, held = [], 0
+            if rows:
+                yield made(rows)
 
     return joined.mapInArrow(tidy(extract), schema)
 

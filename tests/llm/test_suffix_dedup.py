@@ -7,6 +7,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
 from lectern.llm import suffix_dedup as S
 from lectern.llm.common import Poly
@@ -185,6 +186,9 @@ class Rows:
     def mapInArrow(self, mapper, schema):
         return mapper
 
+    def __getattr__(self, name):
+        return lambda *columns: self
+
 
 def test_a_long_text_is_not_copied_for_its_runs():
     text = prose(random.Random(7), 60_000)
@@ -239,3 +243,25 @@ def test_hashes_that_agree_in_their_upper_bits():
         sort = S.SuffixSort(data, starts, np.array(bounds), Poly(1))
         sort.full = np.array([6, 5, 4, 6, 5, 4, 3], np.uint64)
         assert sort.repeated().tolist() == ([True] * 6 + [False] if len(bounds) == 2 else [False] * 7)
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 2_000])
+def test_segments_of_many_texts_come_together(spark, monkeypatch, limit):
+    monkeypatch.setattr(S, "SEGMENT_BYTES", limit)
+    rng = random.Random(11)
+    texts = [prose(rng, 150) for _ in range(300)]
+    fields = ["unit", "h", "n", "d1", "d2", "counted", "s", "buckets"]
+    asked = [[dict(zip(fields, (u, k, 2 + u, 5, 6, u == 1, 3 + u, 1 + 2 * (k % 9 == 0)), strict=True)) for u in (0, 1)] for k in range(300)]
+    types = pa.struct([pa.field(f, pa.bool_() if f == "counted" else pa.int64() if f in ("h", "d1", "d2") else pa.int32()) for f in fields])
+    table = pa.table({"z": [zstandard.compress(t.encode()) for t in texts], "asked": pa.array(asked, pa.list_(types))})
+    got = list(S._segments(Rows(), Rows(), S.UNITS)(iter(table.to_batches())))
+    rows = [r for batch in got for r in batch.to_pylist()]
+    for k, text in enumerate(texts):
+        for unit, whole in ((0, text.encode()[3 : 3 + 2 + 399]), (1, b" ".join(text.encode().split()[4 : 4 + 3 + 49]))):
+            here = [r for r in rows if (r["unit"], r["h"]) == (unit, k)]
+            assert {(r["n"], r["d1"], r["d2"], r["counted"], r["bytes"]) for r in here} == {(2 + unit, 5, 6, unit == 1, whole)}
+            if k % 9:
+                assert [(r["bucket"], r["starts"]) for r in here] == [(0, None)]
+            else:  # every window once
+                assert sorted(x for r in here for x in np.frombuffer(r["starts"], np.int32)) == list(range(2 + unit))
+    assert len(got) == 1 if limit > 2_000 else 50 < len(got) < 300
